@@ -66,16 +66,23 @@ def spans(n: int) -> np.ndarray:
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias) such that sigmoid(average + bias) is the probability of class 1 of a passage."""
-    docs = [w for w in map(words, texts) if w]
-    y = np.array([v for v, t in zip(labels, texts, strict=True) if words(t)], np.float64)
+    number: dict[bytes, int] = {}
+    docs, y = [], []
+    for text, label in zip(texts, labels, strict=True):
+        w = words(text)
+        if w:
+            docs.append(np.array([number.setdefault(x, len(number)) for x in w], np.int32))
+            y.append(float(label))
+    y = np.array(y)
     if not docs or y.min() == y.max():  # nothing to tell apart
         mean = float(np.mean(labels)) if len(labels) else 0.5
         return np.zeros(BUCKETS), float(np.log((mean + 0.01) / (1.01 - mean)))
-    forms = sorted({x for d in docs for x in d})
-    number = {x: i for i, x in enumerate(forms)}
-    bucket, size = grams(forms)
+    forms = list(number)
+    parts = [grams(forms[k : k + 10_000]) for k in range(0, len(forms), 10_000)]  # little at a time: the driver's memory is small
+    bucket, size = np.concatenate([x[0].astype(np.int32) for x in parts]), np.concatenate([x[1] for x in parts])
+    del number, parts
     begin = np.cumsum(size) - size
-    token = np.concatenate([np.array([number[x] for x in d]) for d in docs])
+    token = np.concatenate(docs)
     length = np.array([len(d) for d in docs])
     start = np.concatenate([spans(n) + o for n, o in zip(length, np.cumsum(length) - length, strict=True)])
     width = np.diff(np.r_[start, len(token)])
@@ -86,14 +93,15 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndar
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     moments = [np.zeros_like(x) for x in (e, w, bias)]
     peak = [0.0, 0.0, 0.0]  # one rate for a block: the largest step so far is RATE
-    doc = np.repeat(np.arange(len(docs)), length)
-    held_by = np.bincount(np.unique(doc * len(forms) + token) % len(forms), minlength=len(forms))
+    held_by = np.zeros(len(forms))
+    for d in docs:
+        held_by[np.unique(d)] += 1
     held_by = np.bincount(bucket, np.repeat(held_by, size), minlength=BUCKETS)
     # by chance an n-gram's gradient grows with the root of its documents: what many documents agree on moves most
     rate = np.where(held_by >= 2, 1 / np.sqrt(held_by + 1), 0)
     for step in range(1, STEPS + 1):
         way = w[:, 1] - w[:, 0]
-        value = e @ way
+        value = (e @ way).astype(np.float32)
         span = np.add.reduceat((np.add.reduceat(value[bucket], begin) / size)[token], start) / width
         if step <= WARM:
             pick, share = np.arange(len(start)), np.repeat(1 / per, per)
