@@ -111,6 +111,12 @@ def coin_fit(df: DataFrame, min_score: float, min_count: int, ret: str = "actual
     return coins, coins.agg(F.regr_slope("mean_return", "mean_score").alias("slope"), F.regr_intercept("mean_return", "mean_score").alias("intercept"), F.regr_r2("mean_return", "mean_score").alias("r2"))
 
 
+def _passed(edges: Sequence[float], column: str, closed: bool) -> Column:
+    """How many of the edges lie below the value, or at it too."""
+    c = F.col(column)
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= c if closed else e < c))
+
+
 def chi_square_p(x: float | None) -> float | None:
     """Upper tail for one degree of freedom."""
     return None if x is None else math.erfc(math.sqrt(x / 2))
@@ -119,7 +125,7 @@ def chi_square_p(x: float | None) -> float | None:
 def subpopulations(df: DataFrame, columns: Sequence[str], n: int, y: str = "actual", least: int = 5) -> DataFrame:
     """(feature, bin): size, positives, lift and chi-square with Yates's correction against all other rows."""
     edges = {c: df.agg(F.percentile(c, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q")).first()["q"] for c in columns}
-    b = [F.struct(F.lit(c).alias("feature"), (F.size(F.filter(F.array(*map(F.lit, edges[c])), lambda e, c=c: e < F.col(c))) + 1).alias("bin")) for c in columns]
+    b = [F.struct(F.lit(c).alias("feature"), (_passed(edges[c], c, False) + 1).alias("bin")) for c in columns]
     g = df.select(F.explode(F.array(*b)).alias("x"), (F.col(y) == 1).alias("p")).groupBy("x.feature", "x.bin").agg(F.count("*").alias("n"), F.count_if("p").alias("pos"))
     t = df.agg(F.count("*").alias("tn"), F.count_if(F.col(y) == 1).alias("tp"))
     g = g.crossJoin(F.broadcast(t))
@@ -211,7 +217,7 @@ def tiers(df: DataFrame, ret: str, metrics: Sequence[str], top: float = 0.75, ne
 def metric_segments(df: DataFrame, metrics: Sequence[str], n: int, ret: str) -> DataFrame:
     """(metric, segment): returns in n quantile segments, lower edges included and the last one closed."""
     edges = {m: df.agg(F.percentile(m, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q")).first()["q"] for m in metrics}
-    s = [F.struct(F.lit(m).alias("metric"), (F.size(F.filter(F.array(*map(F.lit, edges[m])), lambda e, m=m: e <= F.col(m))) + 1).alias("segment")) for m in metrics]
+    s = [F.struct(F.lit(m).alias("metric"), (_passed(edges[m], m, True) + 1).alias("segment")) for m in metrics]
     return df.select(ret, F.explode(F.array(*s)).alias("x")).groupBy("x.metric", "x.segment").agg(F.count("*").alias("n"), F.avg(ret).alias("mean_return"))
 
 
