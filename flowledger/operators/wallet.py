@@ -55,7 +55,7 @@ def trading(ledger: DataFrame, start, end, keys: Sequence[str] = ()) -> DataFram
     """All trading features of a period, a row for each wallet of the ledger, NULL as 0."""
     flows = cumulative(boundary_flows(ledger, start, end), keys)
     both = gain_and_investment(flows, keys).join(observed_activity(ledger, keys), [*keys, "wallet_address"], "left")
-    return both.na.fill(0)
+    return both.na.fill(0, [c for c in both.columns if c not in (*keys, "wallet_address")])
 
 
 def cost_basis(df: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def timing(ledger: DataFrame, changes: DataFrame, columns: Sequence[str], minimu
     rows = ledger.where((F.abs("usd_net_transfers") >= minimum) & ~F.col("is_imputed")).join(changes.select("coin_id", "date", *columns), ["coin_id", "date"], "left")
     t = F.col("usd_net_transfers")
     aggs = [F.try_divide(F.sum(F.when(side, F.coalesce(F.col(c), F.lit(0.0)) * F.abs(t))), F.sum(F.when(side, F.abs(t)))).alias(f"{c}/{name}_weighted") for c in columns for name, side in (("buy", t > 0), ("sell", t < 0))]
-    return ledger.select("wallet_address").distinct().join(rows.groupBy("wallet_address").agg(*aggs), "wallet_address", "left").na.fill(0)
+    return ledger.select("wallet_address").distinct().join(rows.groupBy("wallet_address").agg(*aggs), "wallet_address", "left").na.fill(0, [f"{c}/{side}_weighted" for c in columns for side in ("buy", "sell")])
 
 
 # scenarios
