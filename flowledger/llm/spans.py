@@ -3,7 +3,7 @@
 A text is cut into sentences, and long sentences into clauses; every run of several consecutive ones is hashed, the
 hashes are joined over all documents, and sentences covered by a run that is not the first with its hash are removed. A
 sentence ends behind a stop or a line. Since a repeated passage may begin and end inside sentences, a clause ends also
-behind words chosen by their own hash, one in sixteen, wherever they stand: the same passage is cut at the same places in
+behind words chosen by their own hash, one in eight, wherever they stand: the same passage is cut at the same places in
 any surroundings. A run has at least SENTENCES of them and at least WORDS words, so that a few short words met by
 chance don't count.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from flowledger.llm.scratch import keep
 
 SENTENCES, WORDS = 3, 20
-_STOPS, _EVERY = frozenset(b".!?"), 16
+_STOPS, _EVERY = frozenset(b".!?"), 8
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
