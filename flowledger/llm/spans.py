@@ -3,8 +3,8 @@
 A text is cut into sentences, and long sentences into clauses; every run of several consecutive ones is hashed, the
 hashes are joined over all documents, and sentences covered by a run that is not the first with its hash are removed. A
 sentence ends behind a stop or a line. Since a repeated passage may begin and end inside sentences, a clause ends also
-behind words chosen by their own hash, one in eight, wherever they stand: the same passage is cut at the same places in
-any surroundings. A run has at least SENTENCES of them and at least WORDS words, so that a few short words met by
+behind words chosen by their own hash, one in eight, and behind a word said twice, wherever they stand: the same passage
+is cut at the same places in any surroundings. A run has at least SENTENCES of them and at least WORDS words, so that a few short words met by
 chance don't count.
 """
 
@@ -24,10 +24,18 @@ from pyspark.sql import functions as F
 from flowledger.llm.scratch import keep
 
 SENTENCES, WORDS = 3, 20
+#: Words of a clause that chance has given no end; it gets some at least hashes.
+LONG = 64
 _STOPS, _EVERY = frozenset(b".!?"), 8
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
+def _cuts(words: list[bytes], a: int, b: int) -> list[int]:
+    """Ends inside a long clause: behind each word whose hash is the least of those of the LONG / 2 words up to it."""
+    h = [crc32(x) for x in words[a:b]]
+    return [a + i + 1 for i in range(LONG // 2 - 1, b - a) if h[i] == min(h[i + 1 - LONG // 2 : i + 1])]
+
+
 def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[list[int], list[int], list[int]]:
     """(hash, first word, end) of each run of a text: from each sentence, the fewest next ones that make a run."""
     words: list[bytes] = []
@@ -37,10 +45,13 @@ def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[lis
         w = line.split()
         if w:
             words += w
-            ends += [i for i, x in enumerate(w, at + 1) if x[-1] in _STOPS or not crc32(x) % _EVERY]
+            ends += [i for i, (x, y) in enumerate(zip(w, [b"", *w], strict=False), at + 1) if x[-1] in _STOPS or x == y or not crc32(x) % _EVERY]
             if not ends or ends[-1] != len(words):
                 ends.append(len(words))
     starts = [0, *ends]
+    if any(b - a > LONG for a, b in zip(starts, ends, strict=False)):
+        ends = sorted({*ends, *(i for a, b in zip(starts, ends, strict=False) if b - a > LONG for i in _cuts(words, a, b))})
+        starts = [0, *ends]
     hashes, first, last = [], [], []
     to = 0
     for i in range(len(ends) - sentences + 1):
