@@ -108,3 +108,20 @@ def conservation(windows: DataFrame, whole: DataFrame) -> DataFrame:
     """One row: the sum of absolute transfers over all windows and over the whole period."""
     total = lambda x, n: x.agg(F.round(F.sum(F.abs("usd_net_transfers")), 2).alias(n))
     return total(windows, "windows").crossJoin(total(whole, "whole"))
+
+
+def scenario_bounds(actual: DataFrame, ideal: DataFrame, worst: DataFrame, column: str = "net_gain") -> DataFrame:
+    """One row: wallets whose actual figure is above the ideal or below the worst one by more than 0.01 % or 0.01."""
+    pick = lambda x, n: x.select("wallet_address", F.col(column).alias(n))
+    slack = F.greatest(F.abs("a") * 0.0001, F.lit(0.01))
+    rows = pick(actual, "a").join(pick(ideal, "i"), "wallet_address").join(pick(worst, "w"), "wallet_address")
+    return rows.agg(F.count("*").alias("wallets"), F.count_if(F.col("a") > F.col("i") + slack).alias("above_ideal"), F.count_if(F.col("a") < F.col("w") - slack).alias("below_worst"))
+
+
+def model_input(x: DataFrame, y: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
+    """One row: rows, keys on one side only, duplicate keys, columns that aren't numbers, and the commonest target's share."""
+    numbers = [c for c, t in x.dtypes if c not in keys and t not in ("double", "float", "bigint", "int", "boolean", "smallint", "tinyint")]
+    alone = key_difference(x, y, keys).agg(F.count("*").alias("unmatched"))
+    twice = x.groupBy(*keys).count().where("count > 1").agg(F.count("*").alias("duplicates"))
+    share = y.groupBy(target).count().agg((F.max("count") / F.sum("count")).alias("commonest_share"))
+    return x.agg(F.count("*").alias("rows")).crossJoin(alone).crossJoin(twice).crossJoin(share).withColumn("not_numbers", F.lit(len(numbers)))

@@ -167,3 +167,17 @@ def wallet_cohort(metrics: DataFrame, limits: dict) -> DataFrame:
         (m("max_investment") >= x["min_investment"]) & (m("max_investment") < x["max_investment"]) & (m("unique_coins_traded") >= x["min_coins"]) & (m("unique_coins_traded") <= x["max_coins"])
         & (m("total_volume") >= x["min_volume"]) & (m("total_volume") <= x["max_volume"]) & (F.abs("net_gain") < x["max_gain"])
     )
+
+
+def imputation_dates(start: str, end: str, window_starts: Sequence[str] = (), lookbacks: Sequence[str] = ()) -> list[str]:
+    """Days that need as-of rows: the day before the period, its end, the day before each window but the first, and the
+    starts of cohort look-backs."""
+    from datetime import date, timedelta
+
+    before = lambda d: str(date.fromisoformat(d) - timedelta(1))
+    return sorted({before(start), end, *map(before, window_starts[1:]), *lookbacks})
+
+
+def cohort_rows(df: DataFrame, cleaned: DataFrame, key: str = "coin_id") -> DataFrame:
+    """Rows of the assets that are left after cleaning, for this or any later period."""
+    return df.join(cleaned.select(key).distinct(), key, "left_semi")

@@ -166,3 +166,30 @@ def with_parent(pairs: DataFrame, wallets: DataFrame, prefix: str = "cw_") -> Da
     """Pair rows with the wallet's own columns under a prefix."""
     renamed = wallets.toDF(*[c if c == "wallet_address" else prefix + c for c in wallets.columns])
     return pairs.join(renamed, "wallet_address", "left")
+
+
+def quantile_index(df: DataFrame, column: str, n: int, out: str) -> DataFrame:
+    """1-based bucket of equal counts; where quantile edges coincide, of equal width."""
+    r = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("q")).first()["q"]
+    if not r:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    edges = r[1:-1] if len(set(r)) == n + 1 else [r[0] + (r[-1] - r[0]) * i / n for i in range(1, n)]
+    c = F.col(column)
+    return df.withColumn(out, F.when(c.isNotNull(), F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < c)) + 1))
+
+
+def pair_metrics(balances: DataFrame, trading: DataFrame, wallets: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Balances and trading figures of each pair, 0 where missing, with chosen columns of its wallet, NULL where missing."""
+    if missing := [c for c in columns if c not in wallets.columns]:
+        raise ValueError(f"no such wallet columns: {missing}")
+    rows = trading.join(balances, PAIR, "left")
+    rows = rows.na.fill(0, [c for c in rows.columns if c not in PAIR])
+    return rows.join(wallets.select("wallet_address", *columns), "wallet_address", "left")
+
+
+def coin_matrix(wallet_features: DataFrame, macro_row: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row for each asset of the wallet features: a date-only row on all, other asset tables joined, NULL kept."""
+    out = wallet_features.crossJoin(F.broadcast(macro_row))
+    for df in others:
+        out = out.join(df, "coin_id", "left")
+    return out

@@ -78,3 +78,24 @@ def join_by_policy(sets: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str
 
 def join_log(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
     return before.agg(F.lit(name).alias("step"), F.count("*").alias("rows_before")).crossJoin(after.agg(F.count("*").alias("rows_after")))
+
+
+def prefixed(df: DataFrame, prefix: str, keys: Sequence[str], metrics: Sequence[str] = ()) -> DataFrame:
+    """Feature columns as prefix|name; the first _ behind a known metric becomes /."""
+    def name(c: str) -> str:
+        m = max((m for m in metrics if c.startswith(f"{m}_")), key=len, default=None)
+        return f"{prefix}|{m}/{c[len(m) + 1 :]}" if m else f"{prefix}|{c}"
+
+    return df.toDF(*[c if c in keys else name(c) for c in df.columns])
+
+
+def in_windows(df: DataFrame, starts: Sequence[str], days: int) -> DataFrame:
+    """Rows of the ``days`` days before each modeling start, with it as time_window; one range join for all windows."""
+    t = df.sparkSession.createDataFrame([(s,) for s in starts], "s string").select(F.to_date("s").alias("time_window"))
+    return df.join(F.broadcast(t), F.col("date").between(F.date_sub("time_window", days), F.date_sub("time_window", 1)))
+
+
+def without_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The given columns of a date-only series, but those with any NULL."""
+    n = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return df.select("date", *[c for c in columns if not n[c]])

@@ -199,3 +199,34 @@ def correlated(df: DataFrame, columns: Sequence[str], limit: float, protected: S
     r = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
     gone = {b for i, (a, b) in enumerate(pairs) if r[f"r{i}"] is not None and abs(r[f"r{i}"]) > limit}
     return [c for c in columns if c in gone and not c.startswith(tuple(protected))]
+
+
+def wallet_targets(cohort: DataFrame, features: DataFrame) -> DataFrame:
+    """The modeling period's figures for every wallet of the cohort, 0 where it wasn't active."""
+    return cohort.select("wallet_address").distinct().join(features, "wallet_address", "left").na.fill(0, [c for c in features.columns if c != "wallet_address"])
+
+
+def pair_targets(pairs: DataFrame, returns: DataFrame, cutoff: float) -> DataFrame:
+    """The asset's return on each pair, 0 where unknown; winsorized, and as a percent rank."""
+    rows = pairs.join(returns.select("coin_id", "coin_return"), "coin_id", "left").na.fill(0.0, ["coin_return"])
+    rows = winsorize(rows.withColumn("coin_return_winsorized", F.col("coin_return")), ["coin_return_winsorized"], cutoff)
+    return pct_rank(rows, "coin_return", "coin_return_pctile")
+
+
+def preprocess(splits: Mapping[str, DataFrame], categorical: Sequence[str], dropped: Sequence[str], same_share: float, how: Mapping[str, str]) -> dict[str, DataFrame]:
+    """Every split encoded, cut and scaled as the train split says: encode, drop by list, drop too uniform columns, scale."""
+    train = splits["train"]
+    if not train.limit(1).collect():
+        raise ValueError("the train split is empty")
+    encoded = {n: one_hot(d, train, categorical).drop(*dropped) for n, d in splits.items()}
+    base = encoded["train"]
+    same = [r["column"] for r in sameness(base, [c for c in how if c in base.columns]).where(F.col("share") > same_share).collect()]
+    kept = {n: d.drop(*same) for n, d in encoded.items()}
+    rules = {c: k for c, k in how.items() if c not in same and c in base.columns}
+    return {n: scale(d, kept["train"], rules) for n, d in kept.items()}
+
+
+def modeling_cohort(features: DataFrame, targets: DataFrame, inflow: str, min_inflow: float, coins: str, max_coins: int) -> DataFrame:
+    """Feature rows of the wallets whose target figures lie within the limits."""
+    ok = targets.where((F.col(inflow) >= min_inflow) & (F.col(coins) <= max_coins)).select("wallet_address")
+    return features.join(ok, "wallet_address", "left_semi")
