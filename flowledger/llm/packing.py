@@ -30,7 +30,7 @@ REMEMBERED = 600_000
 
 _ODD = re.compile("[\x1c-\x1f]")
 #: White space in Unicode, which is what the vocabulary's splitting pattern drops.
-_SPACE = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _TAIL = re.compile(r"^([a-z]+)([.,]*)$")
 
 
