@@ -25,7 +25,7 @@ TOXIC, OTHER = 1500, 3000
 STEPS, WARM, RATE, DECAY = 80, 15, 0.5, 1e-3
 THRESHOLD = 0.7
 #: Word forms whose score a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 def grams(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +82,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndar
     bucket, size = np.concatenate([x[0].astype(np.int32) for x in parts]), np.concatenate([x[1] for x in parts])
     del number, parts
     begin = np.cumsum(size) - size
-    token = np.concatenate(docs)
+    token = np.concatenate(docs).astype(np.int32)
     length = np.array([len(d) for d in docs])
     start = np.concatenate([spans(n) + o for n, o in zip(length, np.cumsum(length) - length, strict=True)])
     width = np.diff(np.r_[start, len(token)])
@@ -96,7 +96,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndar
     held_by = np.zeros(len(forms))
     for d in docs:
         held_by[np.unique(d)] += 1
-    held_by = np.bincount(bucket, np.repeat(held_by, size), minlength=BUCKETS)
+    held_by = sum(np.bincount(bucket[begin[k] : begin[k] + size[k : k + 10_000].sum()], np.repeat(held_by[k : k + 10_000], size[k : k + 10_000]), minlength=BUCKETS) for k in range(0, len(forms), 10_000))
     # by chance an n-gram's gradient grows with the root of its documents: what many documents agree on moves most
     rate = np.where(held_by >= 2, 1 / np.sqrt(held_by + 1), 0)
     for step in range(1, STEPS + 1):
@@ -117,9 +117,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> tuple[np.ndar
         each = np.repeat(g, per) * share if step <= WARM else g
         tokens = np.repeat(start[pick], width[pick]) + np.arange(width[pick].sum()) - np.repeat(np.cumsum(width[pick]) - width[pick], width[pick])
         by_word = np.bincount(token[tokens], np.repeat(each / width[pick], width[pick]), minlength=len(forms)) / size
-        used = np.flatnonzero(by_word)
-        rows = np.repeat(begin[used], size[used]) + np.arange(size[used].sum()) - np.repeat(np.cumsum(size[used]) - size[used], size[used])
-        by_bucket = np.bincount(bucket[rows], np.repeat(by_word[used], size[used]), minlength=BUCKETS)
+        used, by_bucket = np.flatnonzero(by_word), np.zeros(BUCKETS)
+        for k in range(0, len(used), 10_000):  # little at a time: the driver's memory is small
+            u = used[k : k + 10_000]
+            rows = np.repeat(begin[u] - np.cumsum(size[u]) + size[u], size[u]) + np.arange(size[u].sum())
+            by_bucket += np.bincount(bucket[rows], np.repeat(by_word[u], size[u]), minlength=BUCKETS)
         down = by_bucket @ e
         grads = (np.outer(by_bucket * rate, way), np.stack([-down, down], 1), np.array([-g.sum(), g.sum()]))
         for k, (x, d, m) in enumerate(zip((e, w, bias), grads, moments, strict=True)):
