@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.scratch import lean
+
 #: Characters of a text, and ids of a list, that are handled without halving.
 LEAF, LEAF_IDS = 4096, 1024
 #: First length of the window on each side of a cut.
@@ -113,6 +115,7 @@ def _digests(ranks_path: str, pattern: str, texts: Iterator[pd.Series]) -> Itera
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text; null counts as empty, which has no ids. No shuffle."""
+    lean(docs.sparkSession)
     kind = F.pandas_udf(partial(_encoded, ranks_path, pattern), "array<int>", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(ids, kind(F.col(text)))
 
@@ -128,5 +131,6 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
     One row for each row, repeated ids included; a null text is an empty one.
     """
+    lean(docs.sparkSession)
     kind = F.pandas_udf(partial(_digests, ranks_path, pattern), "n_tokens long, ids_sha256 string, decoded_sha256 string", F.PandasUDFType.SCALAR_ITER)
     return docs.select(F.col(id_col), kind(F.col(text)).alias("d")).select(id_col, "d.*")

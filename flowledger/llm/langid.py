@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.scratch import lean
+
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 16
 #: About so many labelled documents, chosen by hash, are learned from at most.
@@ -133,6 +135,7 @@ def identify(docs: DataFrame, train: int = TRAIN, penalty: float = PENALTY, id_c
     hash. A text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0. Rows
     without an id aren't learned from and count as not held out.
     """
+    lean(docs.sparkSession)
     pool = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     part = int(2**31 * min(1.0, train / max(1, pool.count())))
     langs, p = learn(pool.where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(2**31)) < part))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import keep
+from flowledger.llm.scratch import keep, lean
 
 CAPACITY = 2048
 #: Groups into which the pieces of one length are dealt for ranking.
@@ -161,6 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     A null or blank text is the id ``end`` alone. Repeated rows are packed each; equal pieces of equal ids may swap
     places between runs. An empty table gives no rows.
     """
+    lean(docs.sparkSession)
     spark = docs.sparkSession
     cut = keep(pieces(docs, vocabulary, capacity, end, id_col, text).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS))), "pieces")
     counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))

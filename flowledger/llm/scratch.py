@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -19,6 +22,12 @@ def folder(spark: SparkSession) -> str:
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="flowledger-"))
 
 
+def lean(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to a few MB: ten thousand whole texts, Spark's default, are too many to hold at
+    once, on either side, for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

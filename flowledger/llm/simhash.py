@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowledger.llm.components import components, forest
-from flowledger.llm.scratch import keep
+from flowledger.llm.scratch import keep, lean
 
 WORDS, BITS = 4, 4
 #: First bit and width of each block.
@@ -193,6 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     Null and blank texts have the fingerprint 0 and link like any other. Null ids take part, but count only where a
     component has no other id, which is then null. Rows with the same id are all returned. An empty table gives no rows.
     """
+    lean(docs.sparkSession)
     fps = keep(fingerprints(docs.select(F.col(id_col), F.col(text)), text).select(F.col(id_col), F.xxhash64(text).alias("text_hash"), "fp"), "fingerprints")
     first = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     roots = components(links(first.select("fp"))).withColumnRenamed("u", "fp")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import keep
+from flowledger.llm.scratch import keep, lean
 
 SENTENCES, WORDS = 3, 20
 #: Words of a clause that chance has given no end; it gets some at least hashes.
@@ -124,6 +124,7 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS, id_co
     count as one document: they don't take from each other, equal rows come out equal. Only ids and hashes are shuffled
     until the end, where each text meets the numbers of its removed runs.
     """
+    lean(docs.sparkSession)
     key = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(text)).withColumn("_text", F.col(text))
     found = keep(key.select("_id", "_t", "_text").mapInPandas(partial(_first_runs, sentences, least), "h long, _id long, _t long, at int"), "runs")
     shared = found.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").drop("last")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowledger.llm.scratch import lean
+
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 16
 #: Labelled documents of either class that are learned from, about so many at most, chosen by hash.
@@ -172,6 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     ``other`` of them, chosen by hash, at most. Null and blank texts have the bias's score; with no labels, or of one class
     alone, every text has a score by the share of class 1. Other labels and null ids are passed over.
     """
+    lean(docs.sparkSession)
     pool = labels.select(F.col("doc_id").alias("_i"), F.col("toxic").cast("int").alias("_y")).where(F.col("_i").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_i")).distinct()
     count = {r["_y"]: r["count"] for r in pool.groupBy("_y").count().collect()}
     limit = F.when(F.col("_y") == 1, int(2**31 * min(1.0, toxic / max(1, count.get(1, 0))))).otherwise(int(2**31 * min(1.0, other / max(1, count.get(0, 0)))))
