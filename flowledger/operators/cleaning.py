@@ -87,19 +87,18 @@ def clean_ledger(df: DataFrame, max_wallet_inflows: float) -> tuple[DataFrame, D
 def impute_rows(ledger: DataFrame, prices: DataFrame, dates: Sequence) -> DataFrame:
     """As-of rows: for each date and pair with an earlier row but none on it, one row valued at that day's price.
 
-    Marker rows, one for each pair and date, are sorted into the pair's own rows, and a running last non-marker row is read
-    off at each: one shuffle by pair for all dates. A pair's price must exist on both days; else ``missing_prices`` shows it.
+    A row stands for its pair until the pair's next one, so it gives a row for each of the dates in between: one window
+    over the pair serves all dates, and the ledger isn't multiplied by them. Without a price on both days there is no row.
     """
-    spark = ledger.sparkSession
-    days = spark.createDataFrame([(str(d),) for d in dates], "d string").select(F.to_date("d").alias("date"))
-    keep = ["date", "usd_balance", "profits_cumulative", "usd_inflows_cumulative"]
-    own = ledger.select(*PAIR, "date", F.struct(*keep).alias("row"))
-    marks = own.select(*PAIR).distinct().crossJoin(F.broadcast(days)).withColumn("row", F.lit(None).cast(own.schema["row"].dataType))
-    w = Window.partitionBy(*PAIR).orderBy("date", F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    asof = own.unionByName(marks).withColumn("last", F.last("row", True).over(w)).where("row is null and last.date < date")
+    days = F.array(*[F.lit(str(d)).cast("date") for d in dates])
+    after = F.lead("date").over(Window.partitionBy(*PAIR).orderBy("date"))
+    keep = ["usd_balance", "profits_cumulative", "usd_inflows_cumulative"]
+    between = F.filter("_days", lambda t: (t > F.col("d0")) & (F.col("_next").isNull() | (t < F.col("_next"))))
+    rows = ledger.select(*PAIR, F.col("date").alias("d0"), F.struct(*keep).alias("last"), after.alias("_next"), days.alias("_days"))
+    asof = rows.select(*PAIR, "d0", "last", F.explode(between).alias("date"))
     now = prices.select("coin_id", "date", F.col("price").alias("p1"))
     then = prices.select("coin_id", F.col("date").alias("d0"), F.col("price").alias("p0"))
-    priced = asof.withColumn("d0", F.col("last.date")).join(now, ["coin_id", "date"]).join(then, ["coin_id", "d0"])
+    priced = asof.join(now, ["coin_id", "date"]).join(then, ["coin_id", "d0"])
     change = F.try_divide(F.col("p1"), F.col("p0"))
     return priced.select(
         *PAIR, "date", F.lit(0.0).alias("usd_net_transfers"), (F.col("last.usd_balance") * change).alias("usd_balance"), F.lit(0.0).alias("usd_inflows"),
