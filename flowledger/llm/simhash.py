@@ -196,7 +196,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     lean(docs.sparkSession)
     fps = keep(fingerprints(docs.select(F.col(id_col), F.col(text)), text).select(F.col(id_col), F.xxhash64(text).alias("text_hash"), "fp"), "fingerprints")
     first = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    roots = components(links(first.select("fp"))).withColumnRenamed("u", "fp")
+    return grouped(fps, first, links(first.select("fp")), id_col)
+
+
+def grouped(fps: DataFrame, first: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id, text_hash, fp, root, component_id) for each row of ``fps``, whose distinct fp are in ``first`` with their
+    smallest id, by the links ``found``."""
+    roots = components(found).withColumnRenamed("u", "fp")
     named = keep(first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(least, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_hash", "fp", "root", "component_id")
@@ -205,7 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the smallest id. Of rows with the same
     id in one group, the one with the smallest text hash stays, once."""
-    groups = near_duplicates(docs, id_col, text)
+    return first_of_each(docs, near_duplicates(docs, id_col, text), id_col, text)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with one document of each of the ``groups`` that near_duplicates gives."""
     best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("b"))
     stay = best.select(F.col("b.id").alias("_id"), F.col("b.h").alias("_h"))
     cols = docs.columns
