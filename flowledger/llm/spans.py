@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and long sentences into clauses; every run of several consecutive ones is hashed, the
-hashes are joined over all documents, and sentences covered by a run that is not the first with its hash are removed. A
-sentence ends behind a stop or a line. Since a repeated passage may begin and end inside sentences, a clause ends also
-behind words chosen by their own hash, one in eight, and behind a word said twice, wherever they stand: the same passage
-is cut at the same places in any surroundings. A run has at least SENTENCES of them and at least WORDS words, so that a few short words met by
-chance don't count.
+A text is cut into sentences, and sentences into clauses; every run of several consecutive ones is hashed, the hashes
+are joined over all documents, and sentences covered by a run that is not the first with its hash are removed. A sentence
+ends behind a stop or a line. Since a repeated passage may begin and end inside sentences, a clause ends also where the
+hash of a word and the one before it is the least of some NEAR consecutive words, the last of equal ones: so any NEAR words
+hold an end, whatever the text, and the same passage is cut at the same places in any surroundings, but for NEAR words at
+either side. A run has at least SENTENCES of them and at least WORDS words, so that a few short words met by chance don't
+count. In a passage of 51 words some end lies behind word 9 to 16 (from 1), and the run from there ends at word 43 at the
+latest: every such passage holds a run.
 """
 
 from __future__ import annotations
@@ -18,22 +20,30 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import keep, lean
+from flowledger.llm.scratch import lean
 
 SENTENCES, WORDS = 3, 20
-#: Words of a clause that chance has given no end; it gets some at least hashes.
-LONG = 64
-_STOPS, _EVERY = frozenset(b".!?"), 8
+#: Consecutive words of which one ends a clause; with more, a passage of 51 words might hold no run.
+NEAR = 8
+_STOPS = frozenset(b".!?")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def _cuts(words: list[bytes], a: int, b: int) -> list[int]:
-    """Ends inside a long clause: behind each word whose hash is the least of those of the LONG / 2 words up to it."""
-    h = [crc32(x) for x in words[a:b]]
-    return [a + i + 1 for i in range(LONG // 2 - 1, b - a) if h[i] == min(h[i + 1 - LONG // 2 : i + 1])]
+def _cuts(words: list[bytes]) -> np.ndarray:
+    """Ends of clauses by the hashes of word pairs, a word by itself being too often a separator."""
+    if len(words) < NEAR:
+        return np.empty(0, np.int64)
+    h = np.fromiter(map(crc32, words), np.uint64, len(words))
+    h[1:] ^= h[:-1] * np.uint64(0x9E3779B97F4A7C15)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(h[::-1], NEAR).argmin(1)
+    ends = np.zeros(len(words) + 1, bool)
+    ends[len(words) - np.arange(len(least)) - least] = True
+    return np.flatnonzero(ends)
 
 
 def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[list[int], list[int], list[int]]:
@@ -45,13 +55,11 @@ def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[lis
         w = line.split()
         if w:
             words += w
-            ends += [i for i, (x, y) in enumerate(zip(w, [b"", *w], strict=False), at + 1) if x[-1] in _STOPS or x == y or not crc32(x) % _EVERY]
+            ends += [i for i, x in enumerate(w, at + 1) if x[-1] in _STOPS]
             if not ends or ends[-1] != len(words):
                 ends.append(len(words))
+    ends = sorted({*ends, *_cuts(words).tolist()})
     starts = [0, *ends]
-    if any(b - a > LONG for a, b in zip(starts, ends, strict=False)):
-        ends = sorted({*ends, *(i for a, b in zip(starts, ends, strict=False) if b - a > LONG for i in _cuts(words, a, b))})
-        starts = [0, *ends]
     hashes, first, last = [], [], []
     to = 0
     for i in range(len(ends) - sentences + 1):
@@ -126,9 +134,8 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS, id_co
     """
     lean(docs.sparkSession)
     key = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(text)).withColumn("_text", F.col(text))
-    found = keep(key.select("_id", "_t", "_text").mapInPandas(partial(_first_runs, sentences, least), "h long, _id long, _t long, at int"), "runs")
-    shared = found.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first <> last").drop("last")
-    later = found.join(shared, "h").where(F.col("_id") != F.col("first"))
+    found = key.select("_id", "_t", "_text").mapInPandas(partial(_first_runs, sentences, least), "h long, _id long, _t long, at int")
+    later = found.withColumn("first", F.min("_id").over(Window.partitionBy("h"))).where(F.col("_id") != F.col("first"))
     gone = later.groupBy("_id", "_t").agg(F.collect_set("at").alias("_gone"))
     kind = F.pandas_udf(partial(_cut, sentences, least), "text string, removed long", F.PandasUDFType.SCALAR_ITER)
     both = key.drop("_text").join(gone, ["_id", "_t"], "left").withColumn("_c", kind(F.col(text), F.col("_gone")))

@@ -66,6 +66,31 @@ def test_odd_rows(spark):
     assert [r["text"] for r in again][2] is None and again[0]["text"] == text and len(again[1]["text"]) < 30 and again[1]["text"] == again[3]["text"]
 
 
+def test_every_passage_holds_a_run():
+    """Any 51 words, without stops, with separators or looping, have a run at the same place in any surroundings."""
+    rng = random.Random(6)
+    for kind in range(4):
+        for _ in range(400):
+            w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(51)]
+            if kind == 1:
+                w[1::2] = ["|"] * 25
+            if kind == 2:
+                w = (w[: rng.randint(1, 20)] * 51)[:51]
+            if kind == 3:
+                w = [x + "." if rng.random() < 0.1 else x for x in w]
+            around = [[rng.choice("klmnop") * rng.randint(1, 5) for _ in range(rng.randint(0, 30))] for _ in range(4)]
+            first, second = (set(spans.runs(" ".join([*around[i], *w, *around[i + 1]]))[0]) for i in (0, 2))
+            assert first & second, (kind, w)
+
+
+def test_passages_with_separators(spark):
+    rng = random.Random(8)
+    passages = [" | ".join(words(rng, 1).replace(".", "") for _ in range(26)) for _ in range(30)]
+    texts = [f"{words(rng, 20)} {p} {words(rng, 20)}" for _ in range(3) for p in passages]
+    got = {r["doc_id"]: r["n_removed"] for r in spans.dedup(cases.documents(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in range(30)) and all(20 <= got[i] <= 51 for i in range(30, 90))
+
+
 def test_cut_keeps_the_rest():
     rng = random.Random(9)
     t = words(rng, 80)
