@@ -11,7 +11,9 @@ taken within salted groups, so that no length needs to meet in one task.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -23,46 +25,85 @@ from pyspark.sql import functions as F
 from flowledger.llm.scratch import keep, lean
 
 CAPACITY = 2048
-#: Groups into which the pieces of one length are dealt for ranking.
-SALTS = 256
-#: Word forms whose ids a worker remembers; when there are more it starts anew.
-REMEMBERED = 600_000
+#: Groups into which the pieces of one length are dealt for ranking: so many at least, and one for so many pieces.
+SALTS, SALTED = 256, 50_000
+#: Bytes of word forms and their ids that a worker remembers, about; when there are more it starts anew.
+REMEMBERED = 320 << 20
 
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: White space in Unicode, which is what the vocabulary's splitting pattern drops.
 _SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_TAIL = re.compile(r"^([a-z]+)([.,]*)$")
+#: The vocabulary's splitting pattern on lower-case Latin-1 text, with its letters and numbers spelt out.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 
 
-class Words:
-    """Ids by white-space separated part of a text.
+def _visible() -> dict[int, str]:
+    """Byte-level vocabularies show a byte as a printable character: itself, or the next one from 256 on if it is none."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class Words(dict):
+    """Ids by white-space separated part of a text, learned as they are asked for.
 
     The vocabulary's normalizer and splitting pattern work on each such part alone, so a text's ids are those of its
-    parts, one after the other; a part is looked up once and then remembered. Ids are little-endian 32-bit numbers.
+    parts, one after the other; a part is looked up once and then remembered. Parts of Latin-1 characters, which the
+    normalizer only makes lower-case, are split here, and each piece goes to the vocabulary's model; other parts go
+    through the whole tokenizer, and so do whole texts that hold one of its special tokens. Ids are little-endian 32-bit
+    numbers.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.base = Tokenizer.from_file(path)
-        self.base.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.model, self.visible = self.base.model, _visible()
+        self.special = [x.content for x in self.base.get_added_tokens_decoder().values()]
+        self.number = [struct.pack("<I", i) for i in range(self.base.get_vocab_size())]
+        self.pieces: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.split() if not _ODD.search(x) else _SPACE.findall(x) for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = {y for x in parts for y in x}.difference(self.known)
-        if new:
-            # most parts are letters with a stop behind: letters and stops are split anyway, so fewer forms are left
-            cut = {x: m.groups() for x in new if (m := _TAIL.match(x)) and m[2]}
-            forms = list({y for x in new for y in cut.get(x, (x,))}.difference(self.known))
-            for at in range(0, len(forms), 4096):
-                for x, e in zip(forms[at : at + 4096], self.base.encode_batch_fast(forms[at : at + 4096], add_special_tokens=False), strict=True):
-                    self.known[x] = np.array(e.ids, "<u4").tobytes()
-            for x, (a, b) in cut.items():
-                self.known[x] = self.known[a] + self.known[b]
-        return [b"".join(map(self.known.__getitem__, x)) for x in parts]
+        if self.size > REMEMBERED:
+            self.clear()
+            self.pieces.clear()
+            self.size = 0
+        return [b"".join(map(self.__getitem__, self._parts(x))) if not any(t in x for t in self.special) else self._whole(x) for x in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.number.__getitem__, self.base.encode(text, add_special_tokens=False).ids))
+
+    def _parts(self, text: str) -> list[str]:
+        if _latin(text):
+            text = text.lower()
+        return _SPACE.findall(text) if any(x in text for x in _ODD) else text.split()
+
+    def __missing__(self, x: str) -> bytes:
+        if x.isascii() and x.isalpha() and x.islower():
+            found = self._piece(x)
+        else:
+            found = b"".join(map(self._piece, _SPLIT.findall(x.lower()))) if _latin(x) else self._whole(x)
+            self.size += 200 + len(x) + len(found)
+        self[x] = found
+        return found
+
+    def _piece(self, x: str) -> bytes:
+        found = self.pieces.get(x)
+        if found is None:
+            shown = x if x.isascii() and x.isalpha() else x.encode().decode("latin-1").translate(self.visible)
+            found = self.pieces[x] = b"".join([self.number[t.id] for t in self.model.tokenize(shown)])
+            self.size += 350 + len(x) + len(found)
+        return found
+
+
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        return bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
 
 
 @lru_cache(2)
@@ -155,6 +196,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return runs
 
 
+def stretches(histogram: dict[int, int], runs: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """(length, width) and (length, stretch, run): the ranks of each length are cut into as many stretches of equal width
+    as it has runs, and a run is listed under all that it touches. So a rank needs to meet only its stretch's runs, two
+    on average."""
+    number = Counter(r[0] for r in runs)
+    width = {length: -(-n // number[length]) for length, n in histogram.items()}
+    touched = [(r[0], s, *r[1:]) for r in runs for s in range(r[1] // width[r[0]], (r[1] + r[2] - 1) // width[r[0]] + 1)]
+    return list(width.items()), touched
+
+
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each document.
 
@@ -163,15 +214,19 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int =
     """
     lean(docs.sparkSession)
     spark = docs.sparkSession
-    cut = keep(pieces(docs, vocabulary, capacity, end, id_col, text).withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS))), "pieces")
-    counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = spark.createDataFrame(plan(histogram, capacity), "length long, r0 long, ranks long, s0 long, each long, o0 long")
+    cut = keep(pieces(docs, vocabulary, capacity, end, id_col, text), "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    salts = max(SALTS, -(-max(histogram.values(), default=0) // SALTED))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))  # at most capacity x SALTS rows
+    offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
     by = Window.partitionBy("length", "salt").orderBy(id_col, "piece", "ids_crc32")
-    ranked = cut.withColumn("k", F.row_number().over(by) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("base"))
-    # the runs depend on the capacity alone, some tens of thousands at most
-    found = ranked.join(F.broadcast(runs), "length").where("rank >= r0 and rank < r0 + ranks").withColumn("t", F.col("rank") - F.col("r0"))
+    ranked = salted.withColumn("k", F.row_number().over(by) - 1).join(offsets, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("base"))
+    # the runs depend on the capacity alone, some tens of thousands at most, and so do their stretches
+    widths, runs = stretches(histogram, plan(histogram, capacity))
+    widths = spark.createDataFrame(widths, "length long, width long")
+    runs = spark.createDataFrame(runs, "length long, stretch long, r0 long, ranks long, s0 long, each long, o0 long")
+    near = ranked.join(F.broadcast(widths), "length").withColumn("stretch", F.expr("rank div width")).join(F.broadcast(runs), ["length", "stretch"])
+    found = near.where("rank >= r0 and rank < r0 + ranks").withColumn("t", F.col("rank") - F.col("r0"))
     place = (F.col("o0") + F.col("t") % F.col("each") * F.col("length")).alias("offset")
     return found.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("s0") + F.expr("t div each")).alias("sequence_id"), place)

@@ -43,7 +43,6 @@ def test_plan_is_best_fit_decreasing():
 
 def check(docs):
     base = Tokenizer.from_file(PATH)
-    base.encode_special_tokens = True
     want = Counter()
     for r in docs.select("doc_id", "text").collect():
         ids = [*base.encode(r["text"] or "", add_special_tokens=False).ids, 0]
@@ -70,8 +69,30 @@ def test_odd_rows(spark):
 
 def test_parts_by_white_space():
     base = Tokenizer.from_file(PATH)
-    base.encode_special_tokens = True
     rng = random.Random(5)
     letters = list("abCDéÉ'..,,!19 \n\t\x1c\x1f\x85\xa0  　İΣς漢ﬁĶ́") + ["'s", "it's", "word.", "the,"]
     texts = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(500)]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Words(PATH).encode(texts)] == [base.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_special_tokens_count_as_the_tokenizer_counts_them(spark):
+    """``hello <|endoftext|> you`` is three ids; in capitals the same characters are ordinary text."""
+    rows = [(1, "hello <|endoftext|> you"), (2, "hello <|ENDOFTEXT|> you"), (3, "a<|startoftext|>b 漢<|endoftext|>" * 900)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    assert {r["doc_id"]: r["length"] for r in got.collect() if r["doc_id"] < 3} == {1: 4, 2: 9}
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_a_rank_meets_only_the_runs_of_its_stretch():
+    rng = random.Random(8)
+    histogram = Counter(rng.choice([3, 5, 40, 64, 100]) for _ in range(5000)) + Counter({100: 30000})
+    runs = packing.plan(histogram, 100)
+    widths, touched = packing.stretches(histogram, runs)
+    assert len(touched) <= 2 * len(runs) + len(histogram)
+    found = defaultdict(list)
+    for length, stretch, *run in touched:
+        found[length, stretch].append(run)
+    for length, width in widths:
+        for rank in range(0, histogram[length], 7):
+            hit = [r for r in found[length, rank // width] if r[0] <= rank < r[0] + r[1]]
+            assert hit == [list(r[1:]) for r in runs if r[0] == length and r[1] <= rank < r[1] + r[2]]
