@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from flowledger.llm.scratch import keep
 
+#: Links of one node that stay under one key, at least, and nodes that may have more, about.
+HUB, HUBS = 256, 100_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) reduced to one link (node, smallest node of its component) for each node that isn't the smallest."""
@@ -32,8 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     """(u, root) for every node of ``links`` (long columns u and v) but the roots; root is its component's smallest node.
 
     Each round is two aggregations and two equi-joins over the links; every round's links are written out, so that a
-    lost executor costs no more than its own tasks. Hubs are no burden: their minimum is pre-aggregated, and the joins
-    back to the links are plain enough for adaptive execution to split. The rounds grow with the logarithm of the size.
+    lost executor costs no more than its own tasks. A node with many links, the hub of a star, has its minimum
+    pre-aggregated, and the join of that back to its links is salted. The rounds grow with the logarithm of the size.
     """
     tidy = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, seen = keep(tidy, "links"), None
@@ -42,9 +45,17 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return edges.select("u", F.col("v").alias("root"))
         seen = mark
+        hub = max(HUB, mark[0] // HUBS)
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = keep(small.union(least).distinct(), "links")
+        large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+        small = _with_least(large, hub).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
+        edges = keep(small.distinct(), "links")
+
+
+def _with_least(links: DataFrame, hub: int) -> DataFrame:
+    """``links`` (u, v) with the least v of each u; the links of a u that has more than ``hub`` are dealt over several keys."""
+    of = links.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", "low", F.ceil(F.col("n") / hub).cast("int").alias("salts"))
+    hubs = of.where("salts > 1").select("u", "salts")  # 4 HUBS at most, since all links together are no more
+    salted = links.join(F.broadcast(hubs), "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    least = of.select("u", "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.join(least, ["u", "salt"])
