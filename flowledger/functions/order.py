@@ -1,14 +1,18 @@
-"""Exact order statistics and ranks over a whole table, without one task that sees all rows."""
+"""Exact order statistics, ranks and running sums over a whole table, without one task that sees all rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values into which a whole-table ranking is cut.
-RANGES = 64
+#: Ranges of values into which a whole-table order is cut: so many at least, one for so many rows, so many at most.
+RANGES, ROWS, MOST = 64, 1_000_000, 4096
+#: Rows among which an order statistic is looked up at last, and the accuracy of the estimates that lead there.
+FEW, ACCURACY = 10_000, 1000
 
 
 def _nearest(n: int, q: float) -> int:
@@ -16,20 +20,76 @@ def _nearest(n: int, q: float) -> int:
     return round((n - 1) * q)
 
 
-def winsorize(df: DataFrame, columns: Sequence[str], cutoff: float, suffix: str = "") -> DataFrame:
-    """Clip each column to its values at the nearest ranks of ``cutoff`` and 1 - ``cutoff``; NULL stays NULL.
+def at_ranks(df: DataFrame, ranks: Mapping[str, Sequence[int]], counts: Mapping[str, int]) -> dict[str, list]:
+    """The exact values of columns at ranks from 0; ``counts`` are the columns' numbers of non-null values.
 
-    Two passes for all columns together: counts, then the exact values at those ranks; ``percentile`` merges partial
-    value counts, so nothing is sorted in one task.
+    Each rank is narrowed to a range of values: an estimate gives a narrower range, a count tells whether the rank is in
+    it, until the range holds FEW rows or can't be narrowed. Then the range's distinct values, with their numbers, are
+    read. All columns and ranks go together, so the jobs grow with the logarithm of the rows.
     """
-    n = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    at = {c: (_nearest(n[c], cutoff), _nearest(n[c], 1 - cutoff)) for c in columns if n[c]}
-    ask = [F.percentile(c, F.array(*[F.lit(k / max(1, n[c] - 1)) for k in ks])).alias(c) for c, ks in at.items()]
-    ends = df.agg(*ask).first() if ask else {}
+    state = {(c, k): (None, None, 0, counts[c]) for c, ks in ranks.items() for k in ks}  # lowest, highest, rows below, rows in
+
+    def inside(c: str, low, high) -> Column:
+        x = F.col(f"`{c}`")
+        return x.isNotNull() if low is None else x.between(low, high)
+
+    open_ = {s for s, (_, _, _, n) in state.items() if n > FEW}
+    while open_:
+        order = sorted(open_)
+        p = {s: (s[1] - state[s][2] + 0.5) / state[s][3] for s in order}
+        near = [F.array(F.lit(max(0.0, p[s] - 2 / ACCURACY)), F.lit(min(1.0, p[s] + 2 / ACCURACY))) for s in order]
+        ends = df.agg(*[F.percentile_approx(F.when(inside(s[0], *state[s][:2]), F.col(f"`{s[0]}`")), q, ACCURACY).alias(f"e{i}") for i, (s, q) in enumerate(zip(order, near, strict=True))]).first()
+        asks = []
+        for i, s in enumerate(order):
+            x = F.col(f"`{s[0]}`")
+            asks += [F.count_if(inside(s[0], *state[s][:2]) & (x < ends[i][0])).alias(f"b{i}"), F.count_if(x.between(*ends[i])).alias(f"n{i}")]
+        got = df.agg(*asks).first()
+        for i, s in enumerate(order):
+            low, high, below, n = state[s]
+            b, m = got[2 * i], got[2 * i + 1]
+            if b <= s[1] - below < b + m and m < n:
+                state[s] = (ends[i][0], ends[i][1], below + b, m)
+            else:
+                open_.discard(s)  # the estimate is no help: few values hold most rows
+            if state[s][0] == state[s][1] is not None or state[s][3] <= FEW:
+                open_.discard(s)
+    order = sorted(state)
+    if not order:
+        return {}
+    found = F.array(*[F.when(inside(s[0], *state[s][:2]), F.struct(F.lit(i).alias("i"), F.col(f"`{s[0]}`").cast("double").alias("v"))) for i, s in enumerate(order)])
+    rows = df.select(F.explode(found).alias("x")).where("x is not null").select("x.*").groupBy("i", "v").count().orderBy("i", "v").collect()
+    out: dict = {}
+    run = {i: state[s][2] for i, s in enumerate(order)}
+    for r in rows:
+        c, k = order[r["i"]]
+        run[r["i"]] += r["count"]
+        if run[r["i"]] > k:
+            out.setdefault((c, k), r["v"])
+    return {c: [out[c, k] for k in ks] for c, ks in ranks.items()}
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list]:
+    """Exact quantiles of each column, interpolated between neighbouring ranks; no entry for a column without a value."""
+    n = df.agg(*[F.count(f"`{c}`").alias(c) for c in columns]).first()
+    at = {c: [(n[c] - 1) * q for q in probabilities] for c in columns if n[c]}
+    values = at_ranks(df, {c: sorted({k for x in xs for k in (int(x), min(int(x) + 1, n[c] - 1))}) for c, xs in at.items()}, {c: n[c] for c in at})
+    out = {}
+    for c, xs in at.items():
+        known = dict(zip(sorted({k for x in xs for k in (int(x), min(int(x) + 1, n[c] - 1))}), values[c], strict=True))
+        out[c] = [known[int(x)] + (x - int(x)) * (known[min(int(x) + 1, n[c] - 1)] - known[int(x)]) for x in xs]
+    return out
+
+
+def winsorize(df: DataFrame, columns: Sequence[str], cutoff: float, suffix: str = "") -> DataFrame:
+    """Clip each column to its values at the nearest ranks of ``cutoff`` and 1 - ``cutoff``; NULL stays NULL. All columns
+    go together: counts first, then the exact values at those ranks."""
+    n = df.agg(*[F.count(f"`{c}`").alias(c) for c in columns]).first()
+    ranks = {c: [_nearest(n[c], cutoff), _nearest(n[c], 1 - cutoff)] for c in columns if n[c]}
+    ends = at_ranks(df, {c: sorted(set(ks)) for c, ks in ranks.items()}, {c: n[c] for c in ranks})
     new = {}
     for c in columns:
-        low, high = ends[c] if c in at else (None, None)
-        new[c + suffix] = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high))) if c in at else F.col(c)
+        x = F.col(f"`{c}`")
+        new[c + suffix] = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(ends[c][0])), F.lit(ends[c][-1]))) if c in ends else x
     return df.withColumns(new)
 
 
@@ -43,26 +103,118 @@ def winsorize_by(df: DataFrame, column: str, cutoff: float, keys: Sequence[str],
     return df.withColumn("_k", order).withColumn(out, clipped).drop("_k")
 
 
+def piece(df: DataFrame, column: str, descending: bool = False) -> Column:
+    """Number of the range of values that a row's ``column`` falls into, by cuts at approximate quantiles; -1 for NULL.
+    Equal values share a range, and ranges follow the order of values."""
+    n = df.agg(F.count(f"`{column}`")).first()[0]
+    ranges = min(MOST, max(RANGES, n // ROWS))
+    cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    c = F.col(f"`{column}`")
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: (x > c) if descending else (x < c))) if cuts else F.lit(0)
+    return F.when(c.isNotNull(), number).otherwise(-1)
+
+
+def _lower(sums: Mapping[int, Sequence[float]], i: int) -> Column:
+    """By range: the sum of the i-th number over all ranges before it."""
+    run, parts = 0, []
+    for k in sorted(sums):
+        parts += [F.lit(k), F.lit(run)]
+        run += sums[k][i]
+    return F.element_at(F.create_map(*parts), F.col("_p")) if parts else F.lit(None)
+
+
+def running(df: DataFrame, column: str, ties: Sequence[str], sums: Mapping[str, str | Column], number: str, descending: bool = True) -> DataFrame:
+    """``df`` in the order of ``column``, then ``ties``: ``number`` from 1, and running sums of columns under new names.
+
+    Rows fall into ranges of values; a sum is that of the ranges before plus the one inside the row's own range, which is
+    one window for each range. NULL has no place.
+    """
+    cut = df.withColumn("_p", piece(df, column, descending)).where("_p >= 0").withColumns({f"_s{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(sums.values())})
+    totals = cut.groupBy("_p").agg(F.count("*").alias("n"), *[F.sum(f"_s{i}").alias(f"s{i}") for i in range(len(sums))]).collect()  # MOST rows
+    base = {r["_p"]: [x or 0 for x in r[1:]] for r in totals}
+    by = F.desc(f"`{column}`") if descending else F.asc(f"`{column}`")
+    w = Window.partitionBy("_p").orderBy(by, *ties)
+    own = {number: _lower(base, 0) + F.row_number().over(w)}
+    own |= {out: _lower(base, i + 1) + F.coalesce(F.sum(f"_s{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) for i, out in enumerate(sums)}
+    return cut.withColumns(own).drop("_p", *[f"_s{i}" for i in range(len(sums))])
+
+
+def pct_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
+    """For each column the average-tie rank over the number of non-null values, under a new name; NULL stays NULL.
+
+    The distinct values of all columns are counted and ranked in ranges, and each row takes the rank of its value by an
+    equi-join; so neither a range nor a value that many rows share is one task's burden.
+    """
+    columns = list(outs)
+    n = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    ranges = [min(MOST, max(RANGES, x // ROWS)) for x in n]
+    asks = [F.percentile_approx(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(k / r) for k in range(1, r)]), 4 * r).alias(f"q{i}") for i, (c, r) in enumerate(zip(columns, ranges, strict=True))]
+    cuts = [sorted(set(x or [])) for x in df.agg(*asks).first()]
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(columns)])
+    values = df.select(F.explode(each).alias("x")).select("x.*").where("_v is not null").groupBy("_i", "_v").agg(F.count("*").alias("_n"))
+    place = F.lit(0)
+    for i, q in enumerate(cuts):
+        place = F.when(F.col("_i") == i, F.size(F.filter(F.array(*map(F.lit, q)), lambda x: x < F.col("_v"))) if q else F.lit(0)).otherwise(place)
+    values = values.withColumn("_p", place + F.col("_i") * (MOST + 1))
+    totals = {r["_p"]: r["n"] for r in values.groupBy("_p").agg(F.sum("_n").alias("n")).collect()}  # MOST rows a column
+    lower: list[Column] = []
+    for i in range(len(columns)):
+        run = 0
+        for k in sorted(x for x in totals if x // (MOST + 1) == i):
+            lower += [F.lit(k), F.lit(run)]
+            run += totals[k]
+    up = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    base = F.element_at(F.create_map(*lower), F.col("_p")) if lower else F.lit(0)
+    ranked = values.withColumn("_rank", base + up - (F.col("_n") - 1) / 2)
+    for i, (c, out) in enumerate(outs.items()):
+        own = ranked.where(F.col("_i") == i).select("_v", (F.col("_rank") / F.lit(max(1, n[i]))).alias("_out"))
+        rest = [F.col(f"`{x}`") for x in df.columns if x != out]
+        df = df.join(own, F.col(f"`{c}`").cast("double") == F.col("_v"), "left").select(*rest, F.col("_out").alias(out))
+    return df
+
+
 def pct_rank(df: DataFrame, column: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Average-tie rank over the number of non-null values; NULL stays NULL.
+    """Average-tie rank over the number of non-null values; NULL stays NULL. With keys, a window per group."""
+    if not keys:
+        return pct_ranks(df, {column: out})
+    w = Window.partitionBy(*keys)
+    c, ties = F.col(column), F.count(column).over(Window.partitionBy(*keys, column))
+    rank = F.rank().over(w.orderBy(c.asc_nulls_last())) + (ties - 1) / 2
+    return df.withColumn(out, F.when(c.isNotNull(), rank / F.count(column).over(w)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several passes: written to the checkpoint folder where the session names one, else kept in
+    memory and on disk, from where Spark computes lost parts anew."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def _fold(keys: list[str], steps: list[tuple[str, str, str]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key, held = None, [0.0] * len(steps)
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        names = list(zip(*[pdf[k] for k in keys], strict=True))
+        for i, (out, keep, add) in enumerate(steps):
+            now, x, values = key, held[i], []
+            for k, a, b in zip(names, pdf[keep].tolist(), pdf[add].tolist(), strict=True):
+                x = b if k != now else x * a + b
+                now = k
+                values.append(x)
+            held[i] = x
+            pdf[out] = values
+        key = names[-1]
+        yield pdf.drop(columns=[c for _, keep, add in steps for c in (keep, add)])
+
+
+def recurrence(df: DataFrame, keys: Sequence[str], order: str, steps: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Columns x with x = x before x ``keep`` + ``add`` along ``order`` within each key, the first x being its ``add``.
 
-    With keys, a window per group. Without, values are cut into ranges at approximate quantiles; a row's rank is the number
-    of rows in lower ranges plus its rank inside its own, which is exact wherever the cuts lie.
+    Rows are dealt by key and sorted, and pass in batches with one number held for each column: linear in the rows, and
+    no key's rows are ever held together. Neither column may be NULL.
     """
-    c = F.col(column)
-    if keys:
-        w = Window.partitionBy(*keys)
-        ties = F.count(column).over(Window.partitionBy(*keys, column))
-        rank = F.rank().over(w.orderBy(c.asc_nulls_last())) + (ties - 1) / 2
-        return df.withColumn(out, F.when(c.isNotNull(), rank / F.count(column).over(w)))
-    cuts = sorted(set(df.approxQuantile(column, [i / RANGES for i in range(1, RANGES)], 0.005)))
-    piece: Column = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < c)) if cuts else F.lit(0)
-    cut = df.withColumn("_p", F.when(c.isNotNull(), piece).otherwise(-1))
-    sizes = {r["_p"]: r["count"] for r in cut.groupBy("_p").count().collect()}  # RANGES rows
-    total, before, run = sum(v for k, v in sizes.items() if k >= 0), {}, 0
-    for k in sorted(x for x in sizes if x >= 0):
-        before[k], run = run, run + sizes[k]
-    lower = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")) if before else F.lit(None)
-    ties = F.count(column).over(Window.partitionBy("_p", column))
-    rank = F.rank().over(Window.partitionBy("_p").orderBy(column)) + (ties - 1) / 2
-    return cut.withColumn(out, F.when(c.isNotNull(), (F.when(F.col("_p") >= 0, lower) + rank) / F.lit(max(1, total)))).drop("_p")
+    names = {out: (f"_keep{i}", f"_add{i}") for i, out in enumerate(steps)}
+    rows = df.withColumns({n: c.cast("double") for out, both in steps.items() for n, c in zip(names[out], both, strict=True)})
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{out}` double" for out in steps])
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInPandas(partial(_fold, list(keys), [(out, *names[out]) for out in steps]), schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
-from flowledger.functions.order import pct_rank, winsorize
+from flowledger.functions.order import pct_ranks, recurrence, settled, winsorize
 
 PAIR = ["coin_id", "wallet_address"]
 TRADING = ["crypto_inflows", "crypto_outflows", "net_crypto_flows", "net_gain", "max_investment"]
@@ -42,57 +42,65 @@ def gain_and_investment(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return pair.groupBy(*by).agg(F.sum("i").alias("crypto_inflows"), F.sum("o").alias("crypto_outflows"), (F.sum("i") - F.sum("o")).alias("net_crypto_flows"), F.sum("g").alias("net_gain"), F.greatest(F.max("m"), F.lit(0.0)).alias("max_investment"))
 
 
-def observed_activity(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per wallet, over rows that aren't imputed."""
-    t = F.col("usd_net_transfers")
-    return df.where("not is_imputed").groupBy(*keys, "wallet_address").agg(
-        F.sum(F.abs(t)).alias("total_volume"), F.avg(F.abs(t)).alias("average_transaction"), F.sum(expr.positive(t)).alias("cash_buys"), F.sum(expr.negative(t)).alias("cash_sells"),
-        F.sum(t).alias("net_cash_flow"), F.countDistinct("coin_id").alias("unique_coins_traded"), F.count_if(t != 0).alias("transaction_days"),
+def observed_activity(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per wallet, over rows that aren't imputed: volume by transfers; buys, sales and net flow by balance changes, in which
+    an opening balance is a buy and a closing one a sale."""
+    t, c = F.col("usd_net_transfers"), F.col("balance_change")
+    return flows.where("not is_imputed").groupBy(*keys, "wallet_address").agg(
+        F.sum(F.abs(t)).alias("total_volume"), F.avg(F.abs(t)).alias("average_transaction"), F.sum(expr.positive(c)).alias("cash_buys"), F.sum(expr.negative(c)).alias("cash_sells"),
+        F.sum(c).alias("net_cash_flow"), F.countDistinct("coin_id").alias("unique_coins_traded"), F.count_if(t != 0).alias("transaction_days"),
     )
 
 
-def trading(ledger: DataFrame, start, end, keys: Sequence[str] = ()) -> DataFrame:
-    """All trading features of a period, a row for each wallet of the ledger, NULL as 0."""
+def trading(ledger: DataFrame, start, end, keys: Sequence[str] = (), returns: bool = False, balances: bool = False) -> DataFrame:
+    """All trading features of a period, a row for each wallet of the ledger, NULL as 0; with statistics of time-weighted
+    returns, and time-weighted balances and the volume against them, on demand. All see the closing balance as sold."""
     flows = cumulative(boundary_flows(ledger, start, end), keys)
-    both = gain_and_investment(flows, keys).join(observed_activity(ledger, keys), [*keys, "wallet_address"], "left")
+    both = gain_and_investment(flows, keys).join(observed_activity(flows, keys), [*keys, "wallet_address"], "left")
+    if returns:
+        both = both.join(return_stats(time_weighted_returns(flows, keys=keys), keys=keys), [*keys, "wallet_address"], "left")
+    if balances:
+        both = both.join(time_weighted_balance(flows, keys=keys), [*keys, "wallet_address"], "left")
+        both = both.withColumn("volume_vs_twb_ratio", F.when(F.col("time_weighted_balance") > 0, F.try_divide("total_volume", "time_weighted_balance")))
     return both.na.fill(0, [c for c in both.columns if c not in (*keys, "wallet_address")])
 
 
-def cost_basis(df: DataFrame) -> DataFrame:
-    """Running cost basis of each pair: buys add, a sale takes the share that it sells. A fold over the pair's rows."""
-    rows = F.sort_array(F.collect_list(F.struct("date", F.col("usd_net_transfers").alias("t"), F.col("usd_balance").alias("b"))))
-    sold = lambda r: F.when(r["t"] < 0, F.least(F.greatest(F.coalesce(F.try_divide(-r["t"], r["b"] - r["t"]), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("all"))
-    cost = lambda s, r: s["c"] * (1 - sold(r)) + F.greatest(r["t"], F.lit(0.0))
-    folded = df.groupBy(*PAIR).agg(rows.alias("rows")).withColumn("costs", F.aggregate("rows", start, lambda s, r: F.named_struct(F.lit("c"), cost(s, r), F.lit("all"), F.concat(s["all"], F.array(cost(s, r)))))["all"])
-    return folded.select(*PAIR, F.explode(F.arrays_zip("rows", "costs")).alias("z")).select(*PAIR, "z.rows.date", F.col("z.costs").alias("cost_basis"))
+def cost_basis(flows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``flows`` with the running cost basis of each pair: balance changes above 0 add, a sale takes the share that it sells
+    of the balance before it; a sale of more than there is, or from nothing, takes all."""
+    t, b = F.col("usd_net_transfers"), F.col("usd_balance")
+    sold = F.when(t < 0, F.least(F.greatest(F.coalesce(F.try_divide(-t, b - t), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    return recurrence(flows, [*keys, *PAIR], "date", {"cost_basis": (1 - sold, expr.positive("balance_change"))})
 
 
-def time_weighted_balance(df: DataFrame, materiality: float = 20.0, keys: Sequence[str] = ()) -> DataFrame:
-    """Per wallet: balances weighted by the days until the pair's next row, in total and while material, summed over assets."""
+def time_weighted_balance(flows: DataFrame, materiality: float = 20.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Per wallet: the cost basis weighted by the days until the pair's next row, in total and while it is material, summed
+    over assets. The last row of a pair has no days."""
     by = [*keys, *PAIR]
-    days = F.coalesce(F.datediff(F.lead("date").over(Window.partitionBy(*by).orderBy("date")), "date"), F.lit(0))
-    rows = df.withColumn("_d", days.cast("double")).withColumn("_a", F.col("usd_balance") > materiality)
-    pair = rows.groupBy(*by).agg((F.sum(F.col("usd_balance") * F.col("_d")) / (F.sum("_d") + 1e-10)).alias("twb"), (F.sum(F.when(F.col("_a"), F.col("usd_balance") * F.col("_d")).otherwise(0.0)) / (F.sum(F.when(F.col("_a"), F.col("_d")).otherwise(0.0)) + 1e-10)).alias("active"), F.sum(F.when(~F.col("is_imputed"), F.abs("usd_net_transfers")).otherwise(0.0)).alias("v"))
-    wallet = pair.groupBy(*keys, "wallet_address").agg(F.sum("twb").alias("time_weighted_balance"), F.sum("active").alias("active_time_weighted_balance"), F.sum("v").alias("_v"))
-    return wallet.withColumn("volume_vs_twb_ratio", expr.ratio("_v", "time_weighted_balance")).drop("_v")
+    days = F.coalesce(F.datediff(F.lead("date").over(Window.partitionBy(*by).orderBy("date")), "date"), F.lit(0)).cast("double")
+    c = F.col("cost_basis")
+    rows = cost_basis(flows, keys).withColumn("_d", days).withColumn("_a", F.when(c > materiality, F.col("_d")).otherwise(0.0))
+    pair = rows.groupBy(*by).agg((F.sum(c * F.col("_d")) / (F.sum("_d") + 1e-10)).alias("twb"), F.coalesce(F.try_divide(F.sum(c * F.col("_a")), F.sum("_a")), F.lit(0.0)).alias("active"))
+    return pair.groupBy(*keys, "wallet_address").agg(F.sum("twb").alias("time_weighted_balance"), F.sum("active").alias("active_time_weighted_balance"))
 
 
-def time_weighted_returns(df: DataFrame, materiality: float = 20.0, cap: float = 10.0, cutoff: float = 0.01) -> DataFrame:
-    """Per pair: time-weighted return, days held and the capped, winsorized annual return."""
+def time_weighted_returns(df: DataFrame, materiality: float = 20.0, cap: float = 10.0, cutoff: float = 0.01, keys: Sequence[str] = ()) -> DataFrame:
+    """Per pair: time-weighted return, days held and the capped annual return, both returns winsorized. Without days, or
+    where a negative return has no such power, there is none (NULL)."""
     rows = df.where((F.col("usd_balance") >= materiality) | (F.abs("usd_net_transfers") >= materiality))
-    w = Window.partitionBy(*PAIR).orderBy("date")
+    w = Window.partitionBy(*keys, *PAIR).orderBy("date")
     r = F.coalesce(F.try_divide(F.col("usd_balance") - F.col("usd_net_transfers"), F.lag("usd_balance").over(w)), F.lit(1.0))
     d = F.coalesce(F.datediff("date", F.lag("date").over(w)), F.lit(0)).cast("double")
-    pair = rows.withColumn("_r", r).withColumn("_d", d).groupBy(*PAIR).agg(F.sum((F.col("_r") - 1) * F.col("_d")).alias("s"), F.sum("_d").alias("days_held"))
-    pair = pair.withColumn("time_weighted_return", expr.ratio("s", "days_held")).drop("s")
-    yearly = F.when(F.col("days_held") > 0, F.pow(F.greatest(1 + F.col("time_weighted_return"), F.lit(0.0)), F.lit(365.0) / F.nullif("days_held", F.lit(0.0))) - 1).otherwise(0.0)
-    return winsorize(pair.withColumn("annual_twr", F.least(yearly, F.lit(cap))), ["annual_twr"], cutoff)
+    pair = rows.withColumn("_r", r).withColumn("_d", d).groupBy(*keys, *PAIR).agg(F.sum((F.col("_r") - 1) * F.col("_d")).alias("s"), F.sum("_d").alias("days_held"))
+    pair = pair.withColumn("time_weighted_return", F.try_divide("s", "days_held")).drop("s")
+    yearly = F.pow(1 + F.col("time_weighted_return"), F.try_divide(F.lit(365.0), "days_held")) - 1
+    pair = pair.withColumn("annual_twr", F.when(~F.isnan(yearly), F.least(yearly, F.lit(cap))))
+    return winsorize(pair, ["time_weighted_return", "annual_twr"], cutoff) if cutoff else pair
 
 
-def return_stats(pairs: DataFrame, columns: Sequence[str] = ("time_weighted_return", "annual_twr", "days_held")) -> DataFrame:
+def return_stats(pairs: DataFrame, columns: Sequence[str] = ("time_weighted_return", "annual_twr", "days_held"), keys: Sequence[str] = ()) -> DataFrame:
     stats = {"mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp}
-    return pairs.groupBy("wallet_address").agg(*[f(c).alias(f"{c}/{s}") for c in columns for s, f in stats.items()])
+    return pairs.groupBy(*keys, "wallet_address").agg(*[f(c).alias(f"{c}/{s}") for c in columns for s, f in stats.items()])
 
 
 # performance
@@ -102,65 +110,77 @@ BASES = ("max_investment", "crypto_inflows", "total_volume")
 
 
 def performance(wallets: DataFrame, profits: Sequence[str] = ("net_gain",), bases: Sequence[str] = BASES, cutoff: float = 0.01) -> DataFrame:
-    """Ratios profit/base as they are, winsorized, and as a percent rank over all wallets."""
+    """Ratios profit/base as they are, winsorized, and as a percent rank over all wallets. Ratios are rounded to nine digits,
+    so that ties don't hang on the order in which sums were made."""
     names = [f"{p}/{b}" for p in profits for b in bases]
-    rows = wallets.select("wallet_address", *[expr.ratio(p, b).alias(f"{p}/{b}/base") for p in profits for b in bases])
-    rows = rows.withColumns({f"{n}/winsorized": F.col(f"`{n}/base`") for n in names})
-    rows = rows.toDF(*[c.replace("/", "__") for c in rows.columns])
-    flat = [n.replace("/", "__") for n in names]
-    rows = winsorize(rows, [f"{n}__winsorized" for n in flat], cutoff)
-    for n in flat:
-        rows = pct_rank(rows, f"{n}__base", f"{n}__rank")
-    return rows.toDF(*[c.replace("__", "/") for c in rows.columns])
+    rows = wallets.select("wallet_address", *[F.round(expr.ratio(p, b), 9).alias(f"{p}/{b}/base") for p in profits for b in bases])
+    rows = settled(rows.withColumns({f"{n}/winsorized": F.col(f"`{n}/base`") for n in names}))
+    return pct_ranks(winsorize(rows, [f"{n}/winsorized" for n in names], cutoff), {f"{n}/base": f"{n}/rank" for n in names})
 
 
 # transfers
 
 
 def transfer_sequence(ledger: DataFrame, end, minimum: float) -> DataFrame:
-    """Per pair: first buy and sale (a sale only after the first buy), counts, ages and ranks among the asset's buyers."""
+    """Per pair with a transfer of ``minimum``: first buy, first sale (if it comes after the first buy), counts, its rank
+    among the asset's first buyers and first sellers, and the ages of asset and wallet: days from their first buy to ``end``.
+
+    Ranks go by day: buyers are counted by asset and day, and a running sum over the days is joined back, so no task sees
+    all buyers of an asset.
+    """
     rows = ledger.where((F.abs("usd_net_transfers") >= minimum) & (F.col("date") <= day(end)) & ~F.col("is_imputed"))
     t = F.col("usd_net_transfers")
-    g = rows.groupBy(*PAIR).agg(F.min(F.when(t > 0, F.col("date"))).alias("first_buy"), F.min(F.when(t < 0, F.col("date"))).alias("s"), F.count_if(t > 0).alias("n_buys"), F.count_if(t < 0).alias("n_sells"))
-    after = rows.where("usd_net_transfers < 0").join(g.select(*PAIR, "first_buy"), PAIR).where(F.col("date") > F.col("first_buy")).groupBy(*PAIR).agg(F.min("date").alias("first_sell"))
-    g = g.where(F.col("first_buy").isNotNull()).drop("s").join(after, PAIR, "left")
-    coin = F.min("first_buy").over(Window.partitionBy("coin_id"))
-    wallet = F.min("first_buy").over(Window.partitionBy("wallet_address"))
-    w = Window.partitionBy("coin_id")
-    return g.withColumns({
-        "buyer_rank": F.rank().over(w.orderBy("first_buy")), "seller_rank": F.when(F.col("first_sell").isNotNull(), F.rank().over(w.orderBy(F.col("first_sell").asc_nulls_last()))),
-        "coin_age_days": F.datediff("first_buy", coin).cast("long"), "wallet_age_days": F.datediff("first_buy", wallet).cast("long"),
-    })
+    g = rows.groupBy(*PAIR).agg(F.min(F.when(t > 0, F.col("date"))).alias("first_buy"), F.min(F.when(t < 0, F.col("date"))).alias("_sale"), F.count_if(t > 0).alias("n_buys"), F.count_if(t < 0).alias("n_sells"))
+    before = Window.partitionBy("coin_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+
+    def ranks(column: str, name: str) -> DataFrame:
+        daily = g.where(F.col(column).isNotNull()).groupBy("coin_id", F.col(column).alias("_day")).agg(F.count("*").alias("_n"))
+        return daily.select("coin_id", F.col("_day").alias(column), (1 + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias(name))
+
+    def ages(key: str) -> DataFrame:
+        return g.groupBy(key).agg(F.datediff(day(end), F.min("first_buy")).cast("long").alias(f"{key.split('_')[0]}_age_days"))
+
+    out = g.join(ranks("first_buy", "buyer_rank"), ["coin_id", "first_buy"], "left").join(ranks("_sale", "seller_rank"), ["coin_id", "_sale"], "left").join(ages("coin_id"), "coin_id").join(ages("wallet_address"), "wallet_address")
+    return out.select(*PAIR, "first_buy", "n_buys", "n_sells", F.when(F.col("_sale") > F.col("first_buy"), F.col("_sale")).alias("first_sell"), "buyer_rank", "seller_rank", "coin_age_days", "wallet_age_days")
 
 
 def transfer_features(ledger: DataFrame, sequence: DataFrame, end) -> DataFrame:
-    """Per wallet, with each pair weighted by its number of ledger rows: ranks, later buyers, hold times and ages."""
-    rows = ledger.groupBy(*PAIR).agg(F.count("*").alias("n"))
-    total = F.max("buyer_rank").over(Window.partitionBy("coin_id"))
-    s = sequence.withColumn("total_buyers", total).withColumn("later_buyers", F.col("total_buyers") - F.col("buyer_rank"))
-    s = s.withColumn("earlybird_ratio", F.least(F.col("total_buyers") / F.col("buyer_rank"), F.lit(20.0))).withColumn("hold_days", F.datediff(F.coalesce("first_sell", day(end)), "first_buy"))
-    both = rows.join(s, PAIR)
-    cols = ["buyer_rank", "later_buyers", "earlybird_ratio", "hold_days", "coin_age_days", "wallet_age_days"]
+    """Per wallet, over the ledger rows of its pairs bought by ``end``: the rank among buyers, buyers in all, later buyers,
+    hold times, and the ages of its assets and its own."""
+    total = sequence.groupBy("coin_id").agg(F.max("buyer_rank").alias("total_buyers"))
+    s = sequence.where(F.col("first_buy") <= day(end)).join(total, "coin_id").withColumns({
+        "later_buyers": F.col("total_buyers") - F.col("buyer_rank"), "earlybird_ratio": F.least(F.col("total_buyers") / F.col("buyer_rank"), F.lit(20.0)),
+        "hold_days": F.datediff(F.coalesce("first_sell", day(end)), "first_buy"),
+    })
+    both = ledger.groupBy(*PAIR).agg(F.count("*").alias("n")).join(s, PAIR)
+    cols = ["buyer_rank", "hold_days", "coin_age_days", "total_buyers", "later_buyers", "earlybird_ratio"]
     means = [F.try_divide(F.sum(F.col(c) * F.col("n")), F.sum("n")).alias(f"{c}_mean") for c in cols]
     medians = [F.percentile(c, 0.5, F.col("n")).alias(f"{c}_median") for c in cols]
-    return both.groupBy("wallet_address").agg(*means, *medians, F.sum("n_buys").alias("n_buys"), F.sum("n_sells").alias("n_sells"), F.min("first_buy").alias("first_buy"))
+    return both.groupBy("wallet_address").agg(*means, *medians, F.min("buyer_rank").alias("buyer_rank_min"), F.min("coin_age_days").alias("coin_age_days_min"), F.max("wallet_age_days").alias("wallet_age_days"))
 
 
 # balances and market caps
 
 
 def balance_distribution(ledger: DataFrame, minimum: float = 0.0) -> DataFrame:
-    """Per wallet with a total above ``minimum``: concentration of the last balances over assets."""
-    last = ledger.groupBy(*PAIR).agg(F.max_by("usd_balance", "date").alias("b")).where("b > 0")
-    total = F.sum("b").over(Window.partitionBy("wallet_address"))
-    rows = last.withColumn("t", total).where(F.col("t") > minimum).withColumn("f", F.col("b") / F.col("t"))
-    return rows.groupBy("wallet_address").agg(F.sum(F.col("f") * F.col("f")).alias("hhi"), F.max("f").alias("largest_fraction"), F.max("b").alias("largest_usd"), F.count("*").alias("n_coins"), F.coalesce(F.stddev_samp("f"), F.lit(0.0)).alias("fraction_std"), F.min("f").alias("smallest_fraction"), F.median("f").alias("median_fraction"))
+    """Per wallet with a total above ``minimum``: concentration of the last balances over its assets, empty ones included."""
+    last = ledger.groupBy(*PAIR).agg(F.max_by("usd_balance", "date").alias("b"))
+    totals = last.groupBy("wallet_address").agg(F.sum("b").alias("t")).where(F.col("t") > minimum)
+    rows = last.join(totals, "wallet_address").withColumn("f", F.col("b") / F.col("t"))
+    return rows.groupBy("wallet_address").agg(
+        F.sum(F.col("f") * F.col("f")).alias("hhi"), F.max("f").alias("largest_fraction"), F.max("b").alias("largest_usd"), F.max("t").alias("total_usd_balance"), F.count("b").alias("n_coins"),
+        F.stddev_samp("f").alias("fraction_std"), F.min("f").alias("smallest_fraction"), F.median("f").alias("median_fraction"),
+    )
 
 
 def market_cap_features(ledger: DataFrame, caps: DataFrame, column: str) -> DataFrame:
-    """Per wallet: cap weighted by volume, by ending balance, and statistics over the assets held at the end."""
+    """Per wallet: cap weighted by volume, by ending balance, and statistics over the assets held at the end. Ledger rows
+    without a market row are an error."""
     c = F.col(column)
-    on = ledger.join(caps.select("coin_id", "date", column), ["coin_id", "date"])
+    both = ledger.join(caps.select("coin_id", "date", column, F.lit(True).alias("_known")), ["coin_id", "date"], "left")
+    if missing := both.where("_known is null").select("coin_id", "date").limit(5).collect():
+        raise ValueError(f"no market row for {[tuple(map(str, r)) for r in missing]}")
+    on = both.drop("_known")
     volume = on.where(c.isNotNull()).groupBy("wallet_address").agg(F.try_divide(F.sum(c * F.abs("usd_net_transfers")), F.sum(F.abs("usd_net_transfers"))).alias(f"volume_wtd/{column}"))
     last = on.groupBy(*PAIR).agg(F.max_by(F.struct("usd_balance", column), "date").alias("x")).select("wallet_address", "x.*")
     ending = last.where(c.isNotNull()).groupBy("wallet_address").agg(F.try_divide(F.sum(c * F.col("usd_balance")), F.sum("usd_balance")).alias(f"ending_wtd/{column}"))
@@ -206,36 +226,75 @@ def timing(ledger: DataFrame, changes: DataFrame, columns: Sequence[str], minimu
 
 
 def price_ranges(ledger: DataFrame, prices: DataFrame, start) -> DataFrame:
-    """Per transfer: lowest and highest price from the pair's previous transfer, or the opening day, to its own day.
+    """Per ledger row: lowest and highest price from the day of the pair's row before, or the day before ``start``, to its
+    own day. Opening and closing rows count as rows.
 
     Each row meets the days of its own range by an equi-join on (asset, day)."""
-    rows = ledger.where((F.col("usd_net_transfers") != 0) & (F.col("date") >= day(start)))
     before = F.coalesce(F.lag("date").over(Window.partitionBy(*PAIR).orderBy("date")), F.date_sub(day(start), 1))
-    days = rows.withColumn("open_date", before).select(*PAIR, F.col("date").alias("transfer_date"), "open_date", F.explode(F.sequence("open_date", "date")).alias("date"))
-    return days.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).groupBy(*PAIR, F.col("transfer_date").alias("date")).agg(F.first("open_date").alias("open_date"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    days = ledger.withColumn("open_date", F.least(before, "date")).select(*PAIR, F.col("date").alias("row_date"), "open_date", F.explode(F.sequence("open_date", "date")).alias("date"))
+    return days.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).groupBy(*PAIR, F.col("row_date").alias("date")).agg(F.first("open_date").alias("open_date"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
 
 
-def scenario(ledger: DataFrame, ranges: DataFrame, prices: DataFrame, kind: str) -> DataFrame:
-    """The ledger as if every sale had been at the best (ideal) or worst price of its range, and every buy the opposite.
-    Tokens stay the same, so balances follow the real price."""
+def scenario(ledger: DataFrame, ranges: DataFrame, prices: DataFrame, end, kind: str) -> DataFrame:
+    """The ledger as if every sale had been at the best (ideal) or worst price of its range, every buy at the opposite, and
+    the balance of the last day were priced like a sale. Tokens stay the same."""
     if kind not in ("ideal", "worst"):
         raise ValueError(f"no such scenario: {kind}")
     high, low = ("max_price", "min_price") if kind == "ideal" else ("min_price", "max_price")
-    both = ledger.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).join(ranges, [*PAIR, "date"], "left")
+    both = ledger.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).join(ranges.drop("open_date"), [*PAIR, "date"])
     tokens = F.col("usd_net_transfers") / F.col("price")
-    new = F.when(F.col("usd_net_transfers") < 0, tokens * F.coalesce(high, "price")).otherwise(tokens * F.coalesce(low, "price"))
-    return both.withColumn("usd_net_transfers", new).select(*ledger.columns)
-
-
-def scenario_gaps(actual: DataFrame, ideal: DataFrame, worst: DataFrame, materiality: float = 20.0) -> DataFrame:
-    """Per wallet: how far gains are from the ideal and the worst ones, and where between them they lie."""
-    g = lambda x, n: x.select("wallet_address", F.col("net_gain").alias(n))
-    rows = g(actual, "actual").join(g(ideal, "ideal"), "wallet_address").join(g(worst, "worst"), "wallet_address")
-    rows = rows.withColumns({"to_ideal": F.abs(F.col("actual") - F.col("ideal")), "to_worst": F.abs(F.col("actual") - F.col("worst"))})
-    rows = rows.withColumns({f"{c}_pct": F.when(F.abs("actual") >= materiality, F.try_divide(F.col(c), F.abs("actual"))) for c in ("to_ideal", "to_worst")})
-    den = F.col("to_worst") + F.col("to_ideal")
-    rows = rows.withColumn("net_performance", F.when(F.abs(den) < 1e-10, 0.0).otherwise(F.col("to_worst") / F.nullif(den, F.lit(0.0))))
-    return rows
+    new = F.when(F.col("usd_net_transfers") < 0, tokens * F.col(high)).otherwise(tokens * F.col(low))
+    balance = F.when(F.col("date") == day(end), F.col("usd_balance") / F.col("price") * F.col(high)).otherwise(F.col("usd_balance"))
+    return both.withColumns({"usd_net_transfers": new, "usd_balance": balance, "usd_inflows": expr.positive(new)}).select(*ledger.columns)
+
+
+#: What is compared with a scenario: name -> (column, column that it is measured by, name of the share).
+RELATIVE = {
+    "relative_cash_buys": ("cash_buys", "cash_buys", "relative_cash_buys/pct"), "relative_cash_sells": ("cash_sells", "cash_sells", "relative_cash_sells/pct"),
+    "relative_gains": ("crypto_outflows", "crypto_outflows", "relative_gains/pct"), "relative_net_gains": ("net_gain", "max_investment", "relative_roi"),
+}
+NET = ("relative_cash_sells", "relative_cash_buys", "relative_roi", "relative_gains", "relative_net_gains")
+
+
+def relative_trading(actual: DataFrame, other: DataFrame, materiality: float = 20.0, cutoff: float = 0.01) -> DataFrame:
+    """Per wallet: how far its trading is from a scenario's, in money, as a winsorized share of a material base (else 0), as
+    the rank of that, and buys and sales combined. Shares are rounded to nine digits, as in ``performance``."""
+    used = sorted({c for a, b, _ in RELATIVE.values() for c in (a, b)})
+    rows = actual.select("wallet_address", *used).join(other.select("wallet_address", *[F.col(c).alias(f"_{c}") for c in used]), "wallet_address")
+    rows = rows.withColumns({n: F.abs(F.col(c) - F.col(f"_{c}")) for n, (c, _, _) in RELATIVE.items()})
+    rows = rows.withColumns({share: F.round(F.when(F.col(base) >= materiality, F.col(n) / F.col(base)).otherwise(0.0), 9) for n, (_, base, share) in RELATIVE.items()})
+    shares = [share for _, _, share in RELATIVE.values()]
+    rows = winsorize(settled(rows.select("wallet_address", *RELATIVE, *shares)), shares, cutoff)
+    both = "relative_combined/pct"
+    rows = settled(rows.withColumn(both, F.round((F.col("`relative_cash_buys/pct`") + 1) * (F.col("`relative_cash_sells/pct`") + 1) - 1, 9)))
+    rows = winsorize(rows, [both], cutoff)
+    return pct_ranks(rows, {c: c + "_rank" if c.endswith("/pct") else c + "/pct_rank" for c in (*shares, both)})
+
+
+def relative_performance(actual: DataFrame, other: DataFrame) -> DataFrame:
+    """Per wallet: performance less the scenario's, for gains by investment and by inflows, in all its forms."""
+    short = {"net_gain/max_investment": "relative_net_gain_max_inv", "net_gain/crypto_inflows": "relative_net_gain_inflows"}
+    cols = {f"{a}/{c.rpartition('/')[2]}": f"{b}/{c.rpartition('/')[2]}" for a, b in short.items() for c in actual.columns if c.startswith(a + "/")}
+    both = actual.select("wallet_address", *[F.col(f"`{c}`").alias(f"_{c}") for c in cols]).join(other.select("wallet_address", *[F.col(f"`{c}`") for c in cols]), "wallet_address")
+    return both.select("wallet_address", *[(F.col(f"`_{c}`") - F.col(f"`{c}`")).alias(n) for c, n in cols.items()])
+
+
+def scenario_features(ledger: DataFrame, prices: DataFrame, start, end, materiality: float = 20.0, cutoff: float = 0.01) -> DataFrame:
+    """Per wallet: trading and performance against the ideal (signs turned: what was missed) and the worst scenario, and
+    where between the two the wallet lies, from 0, the worst, to 1."""
+    ranges = price_ranges(ledger, prices, start)
+    base = settled(trading(ledger, start, end))
+    perform = settled(performance(base, bases=["max_investment", "crypto_inflows"], cutoff=cutoff))
+    parts = []
+    for kind in ("ideal", "worst"):
+        t = settled(trading(scenario(ledger, ranges, prices, end, kind), start, end))
+        p = performance(t, bases=["max_investment", "crypto_inflows"], cutoff=cutoff)
+        both = relative_trading(base, t, materiality, cutoff).join(relative_performance(perform, p), "wallet_address")
+        sign = -1 if kind == "ideal" else 1
+        parts.append(both.select("wallet_address", *[(F.col(f"`{c}`") * sign).alias(f"{kind}/{c}") for c in both.columns if c != "wallet_address"]))
+    rows = parts[0].join(parts[1], "wallet_address")
+    a, b = (lambda c: F.col(f"`ideal/{c}`")), (lambda c: F.col(f"`worst/{c}`"))
+    return rows.withColumns({f"net_perf/{c}": F.when(F.abs(b(c) - a(c)) < 1e-10, 0.0).otherwise(F.try_divide(-a(c), b(c) - a(c))) for c in NET})
 
 
 # holder trends

@@ -40,6 +40,11 @@ adj AS (SELECT *, CASE WHEN date = DATE '2024-01-05' THEN usd_balance WHEN date
 cum AS (SELECT *, sum(chg) OVER (PARTITION BY coin_id, wallet_address ORDER BY date ROWS UNBOUNDED PRECEDING) AS put FROM adj),
 pairs_ AS (SELECT wallet_address, coin_id, arg_max(bal - put, date) AS g, max(put) AS m, sum(greatest(chg, 0.0)) AS i, sum(greatest(-chg, 0.0)) AS o FROM cum GROUP BY 1, 2),
 gain AS (SELECT wallet_address, sum(i) AS crypto_inflows, sum(o) AS crypto_outflows, sum(i) - sum(o) AS net_crypto_flows, sum(g) AS net_gain, greatest(max(m), 0.0) AS max_investment FROM pairs_ GROUP BY 1),
-act AS (SELECT wallet_address, sum(abs(usd_net_transfers)) AS total_volume, avg(abs(usd_net_transfers)) AS average_transaction, sum(greatest(usd_net_transfers, 0.0)) AS cash_buys, sum(greatest(-usd_net_transfers, 0.0)) AS cash_sells, sum(usd_net_transfers) AS net_cash_flow,
-    count(DISTINCT coin_id) AS unique_coins_traded, count(*) FILTER (usd_net_transfers <> 0) AS transaction_days FROM period WHERE NOT is_imputed GROUP BY 1),
+act AS (SELECT wallet_address, sum(abs(usd_net_transfers)) AS total_volume, avg(abs(usd_net_transfers)) AS average_transaction, sum(greatest(chg, 0.0)) AS cash_buys, sum(greatest(-chg, 0.0)) AS cash_sells, sum(chg) AS net_cash_flow,
+    count(DISTINCT coin_id) AS unique_coins_traded, count(*) FILTER (usd_net_transfers <> 0) AS transaction_days FROM adj WHERE NOT is_imputed GROUP BY 1),
 trading AS (SELECT wallet_address, crypto_inflows, crypto_outflows, net_crypto_flows, net_gain, max_investment, coalesce(total_volume, 0) AS total_volume, coalesce(average_transaction, 0) AS average_transaction, coalesce(cash_buys, 0) AS cash_buys, coalesce(cash_sells, 0) AS cash_sells, coalesce(net_cash_flow, 0) AS net_cash_flow, coalesce(unique_coins_traded, 0) AS unique_coins_traded, coalesce(transaction_days, 0) AS transaction_days FROM gain LEFT JOIN act USING (wallet_address))"""
+
+#: Running cost basis over TRADING's rows.
+COST = """
+co AS (SELECT coin_id, wallet_address, date, chg, CASE WHEN usd_net_transfers < 0 THEN least(greatest(coalesce(-usd_net_transfers / nullif(bal - usd_net_transfers, 0), 1.0), 0.0), 1.0) ELSE 0.0 END AS sold, row_number() OVER (PARTITION BY coin_id, wallet_address ORDER BY date) AS k FROM adj),
+cost AS (WITH RECURSIVE r AS (SELECT coin_id, wallet_address, date, k, greatest(chg, 0.0) AS c FROM co WHERE k = 1 UNION ALL SELECT s.coin_id, s.wallet_address, s.date, s.k, r.c * (1 - s.sold) + greatest(s.chg, 0.0) FROM r JOIN co s ON s.coin_id = r.coin_id AND s.wallet_address = r.wallet_address AND s.k = r.k + 1) SELECT * FROM r)"""

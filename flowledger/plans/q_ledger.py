@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from flowledger.functions import expr
 from flowledger.functions.order import pct_rank, winsorize
 from flowledger.operators import checks, cleaning, wallet
 from flowledger.plans import views as v
-from flowledger.plans.oracle import PERIOD, TRADING, Q, rounded
+from flowledger.plans.oracle import COST, PERIOD, TRADING, Q, rounded
 from flowledger.plans.registry import query
 
 TRADING_DOUBLES = "crypto_inflows crypto_outflows net_crypto_flows net_gain max_investment total_volume average_transaction cash_buys cash_sells net_cash_flow"
@@ -222,67 +224,98 @@ def f05_trading(spark: SparkSession, d: str) -> DataFrame:
     return rounded(trading(spark, d), 4)
 
 
-@query(Q("ledger market", """SELECT coin_id, wallet_address, date, c AS cost_basis FROM rec""", "cost_basis", """o AS (SELECT coin_id, wallet_address, date, usd_net_transfers AS t, usd_balance AS b, row_number() OVER (PARTITION BY coin_id, wallet_address ORDER BY date) AS k FROM ledger),
-s AS (SELECT *, CASE WHEN t < 0 THEN least(greatest(coalesce(-t / nullif(b - t, 0), 1.0), 0.0), 1.0) ELSE 0.0 END AS sold FROM o),
-rec AS (WITH RECURSIVE r AS (SELECT coin_id, wallet_address, date, k, greatest(t, 0.0) AS c FROM s WHERE k = 1 UNION ALL SELECT s.coin_id, s.wallet_address, s.date, s.k, r.c * (1 - s.sold) + greatest(s.t, 0.0) FROM r JOIN s ON s.coin_id = r.coin_id AND s.wallet_address = r.wallet_address AND s.k = r.k + 1) SELECT * FROM r)""", 4))
+def flows(spark: SparkSession, d: str) -> DataFrame:
+    """The period's ledger with opening balances as buys and closing ones as sales."""
+    return wallet.boundary_flows(period(spark, d), v.START, v.END)
+
+
+@query(Q("ledger market", "SELECT coin_id, wallet_address, date, c AS cost_basis FROM cost", "cost_basis", PERIOD + "," + TRADING + "," + COST, 4))
 def f06_cost_basis(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(wallet.cost_basis(v.ledger(spark, d)), 4)
+    return rounded(wallet.cost_basis(flows(spark, d)).select("coin_id", "wallet_address", "date", "cost_basis"), 4)
 
 
-@query(Q("ledger market", """SELECT wallet_address, sum(twb) AS time_weighted_balance, sum(active) AS active_time_weighted_balance, CASE WHEN sum(twb) = 0 THEN 0 ELSE sum(vol) / nullif(sum(twb), 0) END AS volume_vs_twb_ratio FROM (SELECT wallet_address, coin_id, sum(usd_balance * dd) / (sum(dd) + 1e-10) AS twb, coalesce(sum(usd_balance * dd) FILTER (usd_balance > 20), 0) / (coalesce(sum(dd) FILTER (usd_balance > 20), 0) + 1e-10) AS active, sum(CASE WHEN is_imputed THEN 0 ELSE abs(usd_net_transfers) END) AS vol
-    FROM (SELECT *, CAST(coalesce(date_diff('day', date, lead(date) OVER (PARTITION BY coin_id, wallet_address ORDER BY date)), 0) AS DOUBLE) AS dd FROM period) GROUP BY 1, 2) GROUP BY 1""", "time_weighted_balance active_time_weighted_balance volume_vs_twb_ratio", PERIOD, 4))
+TWB = COST + """, tb AS (SELECT wallet_address, sum(twb) AS twb, sum(active) AS active FROM (SELECT wallet_address, coin_id, sum(c * dd) / (sum(dd) + 1e-10) AS twb, coalesce(sum(c * dd) FILTER (c > 20) / nullif(sum(dd) FILTER (c > 20), 0), 0) AS active
+    FROM (SELECT *, CAST(coalesce(date_diff('day', date, lead(date) OVER (PARTITION BY coin_id, wallet_address ORDER BY date)), 0) AS DOUBLE) AS dd FROM cost) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(Q("ledger market", "SELECT wallet_address, twb AS time_weighted_balance, active AS active_time_weighted_balance, CASE WHEN twb > 0 THEN total_volume / twb ELSE 0 END AS volume_vs_twb_ratio FROM tb JOIN trading USING (wallet_address)", "time_weighted_balance active_time_weighted_balance volume_vs_twb_ratio", PERIOD + "," + TRADING + "," + TWB, 4))
 def f07_time_weighted_balance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(wallet.time_weighted_balance(period(spark, d)), 4)
+    return rounded(wallet.trading(period(spark, d), v.START, v.END, balances=True).select("wallet_address", "time_weighted_balance", "active_time_weighted_balance", "volume_vs_twb_ratio"), 4)
+
 
+def _winsor(column: str, table: str, name: str, q: float = 0.01) -> str:
+    """Common tables that end in ``name``(lo, hi): the nearest-rank limits of a column."""
+    return f"""{name}_k AS (SELECT CAST(round_even((count({column}) - 1) * {q}, 0) AS BIGINT) AS lo, CAST(round_even((count({column}) - 1) * {1 - q}, 0) AS BIGINT) AS hi FROM {table}),
+{name}_o AS (SELECT {column} AS x, row_number() OVER (ORDER BY {column}) - 1 AS r FROM {table} WHERE {column} IS NOT NULL), {name} AS (SELECT max(CASE WHEN r = lo THEN x END) AS lo, max(CASE WHEN r = hi THEN x END) AS hi FROM {name}_o, {name}_k)"""
 
-F08 = """big AS (SELECT *, lag(usd_balance) OVER w AS pb, lag(date) OVER w AS pd FROM period WHERE usd_balance >= 20 OR abs(usd_net_transfers) >= 20 WINDOW w AS (PARTITION BY coin_id, wallet_address ORDER BY date)),
-pr AS (SELECT coin_id, wallet_address, sum((coalesce((usd_balance - usd_net_transfers) / nullif(pb, 0), 1) - 1) * coalesce(date_diff('day', pd, date), 0)) AS s, CAST(sum(coalesce(date_diff('day', pd, date), 0)) AS DOUBLE) AS days_held FROM big GROUP BY 1, 2),
-tw AS (SELECT coin_id, wallet_address, days_held, CASE WHEN days_held = 0 THEN 0 ELSE s / nullif(days_held, 0) END AS time_weighted_return FROM pr),
-an AS (SELECT *, least(CASE WHEN days_held > 0 THEN pow(greatest(1 + time_weighted_return, 0), 365 / nullif(days_held, 0)) - 1 ELSE 0 END, 10) AS a FROM tw),
-nn AS (SELECT count(a) AS n FROM an), kk AS (SELECT CAST(round_even((n - 1) * 0.01, 0) AS BIGINT) AS lo, CAST(round_even((n - 1) * 0.99, 0) AS BIGINT) AS hi FROM nn),
-oo AS (SELECT a, row_number() OVER (ORDER BY a) - 1 AS r FROM an), ee AS (SELECT max(CASE WHEN r = lo THEN a END) AS lo, max(CASE WHEN r = hi THEN a END) AS hi FROM oo, kk),
-twr AS (SELECT coin_id, wallet_address, days_held, time_weighted_return, least(greatest(a, lo), hi) AS annual_twr FROM an, ee)"""
 
+F08 = """big AS (SELECT *, lag(bal) OVER w AS pb, lag(date) OVER w AS pd FROM adj WHERE bal >= 20 OR abs(usd_net_transfers) >= 20 WINDOW w AS (PARTITION BY coin_id, wallet_address ORDER BY date)),
+pr AS (SELECT coin_id, wallet_address, sum((coalesce((bal - usd_net_transfers) / nullif(pb, 0), 1) - 1) * coalesce(date_diff('day', pd, date), 0)) AS s, CAST(sum(coalesce(date_diff('day', pd, date), 0)) AS DOUBLE) AS days_held FROM big GROUP BY 1, 2),
+tw AS (SELECT coin_id, wallet_address, days_held, s / nullif(days_held, 0) AS t, 365 / nullif(days_held, 0) AS e FROM pr),
+an AS (SELECT *, CASE WHEN t < -1 AND e <> floor(e) THEN NULL ELSE least(pow(1 + t, e) - 1, 10) END AS a FROM tw),
+""" + _winsor("t", "an", "lt") + "," + _winsor("a", "an", "la") + """,
+twr AS (SELECT coin_id, wallet_address, days_held, CASE WHEN t IS NOT NULL THEN least(greatest(t, lt.lo), lt.hi) END AS time_weighted_return, CASE WHEN a IS NOT NULL THEN least(greatest(a, la.lo), la.hi) END AS annual_twr FROM an, lt, la)"""
 
-@query(Q("ledger market", "SELECT * FROM twr", "days_held time_weighted_return annual_twr", PERIOD + "," + F08, 5))
+
+@query(Q("ledger market", "SELECT * FROM twr", "days_held time_weighted_return annual_twr", PERIOD + "," + TRADING + "," + F08, 5))
 def f08_time_weighted_returns(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(wallet.time_weighted_returns(period(spark, d)).select("coin_id", "wallet_address", "days_held", "time_weighted_return", "annual_twr"), 5)
+    return rounded(wallet.time_weighted_returns(flows(spark, d)).select("coin_id", "wallet_address", "days_held", "time_weighted_return", "annual_twr"), 5)
+
+
+STATS = [(c, s, f) for c in ("time_weighted_return", "annual_twr", "days_held") for s, f in (("mean", "avg"), ("min", "min"), ("max", "max"), ("median", "median"), ("std", "stddev_samp"))]
 
 
-@query(Q("ledger market", 'SELECT wallet_address, avg(time_weighted_return) AS "time_weighted_return/mean", min(time_weighted_return) AS "time_weighted_return/min", max(time_weighted_return) AS "time_weighted_return/max", median(time_weighted_return) AS "time_weighted_return/median", stddev_samp(time_weighted_return) AS "time_weighted_return/std" FROM twr GROUP BY 1', "time_weighted_return/mean time_weighted_return/min time_weighted_return/max time_weighted_return/median time_weighted_return/std", PERIOD + "," + F08, 5))
+@query(Q("ledger market", "SELECT wallet_address, " + ", ".join(f'{f}({c}) AS "{c}/{s}"' for c, s, f in STATS) + " FROM twr GROUP BY 1", " ".join(f"{c}/{s}" for c, s, _ in STATS), PERIOD + "," + TRADING + "," + F08, 5))
 def f09_return_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(wallet.return_stats(wallet.time_weighted_returns(period(spark, d)), ["time_weighted_return"]), 5)
+    return rounded(wallet.return_stats(wallet.time_weighted_returns(flows(spark, d))), 5)
+
+
+@query(Q("ledger market", "SELECT t.*, twb AS time_weighted_balance, active AS active_time_weighted_balance, CASE WHEN twb > 0 THEN total_volume / twb ELSE 0 END AS volume_vs_twb_ratio, " + ", ".join(f'coalesce("{c}/{s}", 0) AS "{c}/{s}"' for c, s, _ in STATS) + " FROM trading t JOIN tb USING (wallet_address) LEFT JOIN (SELECT wallet_address, " + ", ".join(f'{f}({c}) AS "{c}/{s}"' for c, s, f in STATS) + " FROM twr GROUP BY 1) USING (wallet_address)",
+    TRADING_DOUBLES + " time_weighted_balance active_time_weighted_balance volume_vs_twb_ratio " + " ".join(f"{c}/{s}" for c, s, _ in STATS), PERIOD + "," + TRADING + "," + TWB + "," + F08, 4))
+def f05_trading_with_options(spark: SparkSession, d: str) -> DataFrame:
+    """All trading features with time-weighted returns and balances."""
+    return rounded(wallet.trading(period(spark, d), v.START, v.END, returns=True, balances=True), 4)
+
 
+def _perform(table: str, name: str) -> str:
+    """Common tables that end in ``name``: base, winsorized and rank of gains by investment (_m) and by inflows (_i)."""
+    base = f"{name}_b AS (SELECT wallet_address, " + ", ".join(f"round(CASE WHEN {b} = 0 THEN 0 ELSE net_gain / nullif({b}, 0) END, 9) + 0.0 AS {x}" for b, x in (("max_investment", "m"), ("crypto_inflows", "i"))) + f" FROM {table})"
+    cols = ", ".join(f"{x} AS base_{x}, least(greatest({x}, {name}_{x}.lo), {name}_{x}.hi) AS winsorized_{x}, (rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) / count(*) OVER () AS rank_{x}" for x in "mi")
+    return f"{base}, {_winsor('m', name + '_b', name + '_m')}, {_winsor('i', name + '_b', name + '_i')}, {name} AS (SELECT wallet_address, {cols} FROM {name}_b, {name}_m, {name}_i)"
 
-@query(Q("ledger market", """SELECT p.wallet_address, b AS "net_gain/max_investment/base", least(greatest(b, lo), hi) AS "net_gain/max_investment/winsorized", (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS "net_gain/max_investment/rank" FROM p, ee""", "net_gain/max_investment/base net_gain/max_investment/winsorized net_gain/max_investment/rank", PERIOD + "," + TRADING + """,
-p AS (SELECT wallet_address, round(CASE WHEN max_investment = 0 THEN 0 ELSE net_gain / nullif(max_investment, 0) END, 9) AS b FROM trading), nn AS (SELECT count(*) AS n FROM p), kk AS (SELECT CAST(round_even((n - 1) * 0.01, 0) AS BIGINT) AS lo, CAST(round_even((n - 1) * 0.99, 0) AS BIGINT) AS hi FROM nn),
-oo AS (SELECT b, row_number() OVER (ORDER BY b) - 1 AS r FROM p), ee AS (SELECT max(CASE WHEN r = lo THEN b END) AS lo, max(CASE WHEN r = hi THEN b END) AS hi FROM oo, kk)""", 5))
+
+PERFORMANCE = [(f"net_gain/{b}/{f}", f"{f}_{x}") for b, x in (("max_investment", "m"), ("crypto_inflows", "i")) for f in ("base", "winsorized", "rank")]
+
+
+@query(Q("ledger market", "SELECT wallet_address, " + ", ".join(f'{c} AS "{n}"' for n, c in PERFORMANCE) + " FROM pf", " ".join(n for n, _ in PERFORMANCE), PERIOD + "," + TRADING + "," + _perform("trading", "pf"), 5))
 def f11_performance(spark: SparkSession, d: str) -> DataFrame:
-    t = trading(spark, d).select("wallet_address", F.when(F.col("max_investment") == 0, 0.0).otherwise(F.round(F.try_divide("net_gain", "max_investment"), 9)).alias("net_gain"), F.lit(1.0).alias("max_investment"))
-    return rounded(wallet.performance(t, bases=["max_investment"]), 5)
+    return rounded(wallet.performance(trading(spark, d), bases=["max_investment", "crypto_inflows"]), 5)
 
 
-F20 = """tr AS (SELECT * FROM ledger WHERE abs(usd_net_transfers) >= 5 AND date <= DATE '2024-01-20'),
-fb AS (SELECT coin_id, wallet_address, min(date) FILTER (usd_net_transfers > 0) AS first_buy, count(*) FILTER (usd_net_transfers > 0) AS n_buys, count(*) FILTER (usd_net_transfers < 0) AS n_sells FROM tr GROUP BY 1, 2),
-fs AS (SELECT t.coin_id, t.wallet_address, min(t.date) AS first_sell FROM tr t JOIN fb USING (coin_id, wallet_address) WHERE t.usd_net_transfers < 0 AND t.date > first_buy GROUP BY 1, 2),
-sq AS (SELECT fb.*, first_sell, rank() OVER (PARTITION BY fb.coin_id ORDER BY first_buy) AS buyer_rank, CASE WHEN first_sell IS NOT NULL THEN rank() OVER (PARTITION BY fb.coin_id ORDER BY first_sell NULLS LAST) END AS seller_rank,
-    date_diff('day', min(first_buy) OVER (PARTITION BY fb.coin_id), first_buy) AS coin_age_days, date_diff('day', min(first_buy) OVER (PARTITION BY fb.wallet_address), first_buy) AS wallet_age_days FROM fb LEFT JOIN fs USING (coin_id, wallet_address) WHERE first_buy IS NOT NULL)"""
+F20 = """tr AS (SELECT * FROM ledger WHERE abs(usd_net_transfers) >= 5 AND date <= DATE '2024-01-20' AND NOT is_imputed),
+fb AS (SELECT coin_id, wallet_address, min(date) FILTER (usd_net_transfers > 0) AS first_buy, min(date) FILTER (usd_net_transfers < 0) AS sale, count(*) FILTER (usd_net_transfers > 0) AS n_buys, count(*) FILTER (usd_net_transfers < 0) AS n_sells FROM tr GROUP BY 1, 2),
+rb AS (SELECT coin_id, wallet_address, rank() OVER (PARTITION BY coin_id ORDER BY first_buy) AS buyer_rank FROM fb WHERE first_buy IS NOT NULL),
+rs AS (SELECT coin_id, wallet_address, rank() OVER (PARTITION BY coin_id ORDER BY sale) AS seller_rank FROM fb WHERE sale IS NOT NULL),
+sq AS (SELECT coin_id, wallet_address, first_buy, n_buys, n_sells, CASE WHEN sale > first_buy THEN sale END AS first_sell, buyer_rank, seller_rank,
+    date_diff('day', min(first_buy) OVER (PARTITION BY coin_id), DATE '2024-01-20') AS coin_age_days, date_diff('day', min(first_buy) OVER (PARTITION BY wallet_address), DATE '2024-01-20') AS wallet_age_days FROM fb LEFT JOIN rb USING (coin_id, wallet_address) LEFT JOIN rs USING (coin_id, wallet_address))"""
 
 
-@query(Q("ledger market", "SELECT coin_id, wallet_address, first_buy, n_buys, n_sells, first_sell, CAST(buyer_rank AS INTEGER) AS buyer_rank, CAST(seller_rank AS INTEGER) AS seller_rank, coin_age_days, wallet_age_days FROM sq", "", F20))
+@query(Q("ledger market", "SELECT * FROM sq", "", F20))
 def f20_transfer_sequence(spark: SparkSession, d: str) -> DataFrame:
     return wallet.transfer_sequence(v.ledger(spark, d), v.END, 5.0)
 
 
-@query(Q("ledger market", """SELECT wallet_address, avg(buyer_rank) AS buyer_rank_mean, avg(total - buyer_rank) AS later_buyers_mean, avg(least(total / buyer_rank, 20.0)) AS earlybird_ratio_mean, median(date_diff('day', first_buy, coalesce(first_sell, DATE '2024-01-20'))) AS hold_days_median, min(first_buy) AS first_buy
-    FROM ledger JOIN (SELECT *, max(buyer_rank) OVER (PARTITION BY coin_id) AS total FROM sq) USING (coin_id, wallet_address) GROUP BY 1""", "buyer_rank_mean later_buyers_mean earlybird_ratio_mean hold_days_median", F20))
+F21 = ["buyer_rank", "hold_days", "coin_age_days", "total_buyers", "later_buyers", "earlybird_ratio"]
+
+
+@query(Q("ledger market", "SELECT wallet_address, " + ", ".join(f"avg({c}) AS {c}_mean, median({c}) AS {c}_median" for c in F21) + """, min(buyer_rank) AS buyer_rank_min, min(coin_age_days) AS coin_age_days_min, max(wallet_age_days) AS wallet_age_days
+    FROM period JOIN (SELECT *, total_buyers - buyer_rank AS later_buyers, least(total_buyers / buyer_rank, 20.0) AS earlybird_ratio, date_diff('day', first_buy, coalesce(first_sell, DATE '2024-01-20')) AS hold_days FROM (SELECT *, max(buyer_rank) OVER (PARTITION BY coin_id) AS total_buyers FROM sq) WHERE first_buy <= DATE '2024-01-20') USING (coin_id, wallet_address) GROUP BY 1""",
+    " ".join(f"{c}_{s}" for c in F21 for s in ("mean", "median")), F20 + "," + PERIOD))
 def f21_transfer_features(spark: SparkSession, d: str) -> DataFrame:
-    led = v.ledger(spark, d)
-    out = wallet.transfer_features(led, wallet.transfer_sequence(led, v.END, 5.0), v.END)
-    return rounded(out.select("wallet_address", "buyer_rank_mean", "later_buyers_mean", "earlybird_ratio_mean", "hold_days_median", "first_buy"))
+    return rounded(wallet.transfer_features(period(spark, d), wallet.transfer_sequence(v.ledger(spark, d), v.END, 5.0), v.END))
 
 
-@query(Q("ledger market", """SELECT wallet_address, sum(f * f) AS hhi, max(f) AS largest_fraction, max(b) AS largest_usd, count(*) AS n_coins, coalesce(stddev_samp(f), 0) AS fraction_std, min(f) AS smallest_fraction, median(f) AS median_fraction FROM (SELECT *, b / sum(b) OVER (PARTITION BY wallet_address) AS f, sum(b) OVER (PARTITION BY wallet_address) AS t FROM (SELECT coin_id, wallet_address, arg_max(usd_balance, date) AS b FROM ledger GROUP BY 1, 2) WHERE b > 0) WHERE t > 10 GROUP BY 1""", "hhi largest_fraction largest_usd fraction_std smallest_fraction median_fraction"))
+@query(Q("ledger market", """SELECT wallet_address, sum(f * f) AS hhi, max(f) AS largest_fraction, max(b) AS largest_usd, max(t) AS total_usd_balance, count(*) AS n_coins, stddev_samp(f) AS fraction_std, min(f) AS smallest_fraction, median(f) AS median_fraction FROM (SELECT *, b / t AS f FROM (SELECT *, sum(b) OVER (PARTITION BY wallet_address) AS t FROM (SELECT coin_id, wallet_address, arg_max(usd_balance, date) AS b FROM ledger GROUP BY 1, 2)) WHERE t > 10) GROUP BY 1""", "hhi largest_fraction largest_usd total_usd_balance fraction_std smallest_fraction median_fraction"))
 def f25_balance_distribution(spark: SparkSession, d: str) -> DataFrame:
     return rounded(wallet.balance_distribution(v.ledger(spark, d), 10.0))
 
@@ -310,7 +343,7 @@ def f37_timing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(wallet.timing(v.ledger(spark, d), ch, ["price_lead_2_change"], 5.0))
 
 
-F40 = """tt AS (SELECT coin_id, wallet_address, date, coalesce(lag(date) OVER (PARTITION BY coin_id, wallet_address ORDER BY date), DATE '2024-01-05') AS open_date FROM period WHERE usd_net_transfers <> 0 AND date >= DATE '2024-01-06'),
+F40 = """tt AS (SELECT coin_id, wallet_address, date, least(date, coalesce(lag(date) OVER (PARTITION BY coin_id, wallet_address ORDER BY date), DATE '2024-01-05')) AS open_date FROM period),
 rg AS (SELECT tt.coin_id, tt.wallet_address, tt.date, any_value(open_date) AS open_date, min(m.price) AS min_price, max(m.price) AS max_price FROM tt JOIN market m ON m.coin_id = tt.coin_id AND m.date BETWEEN tt.open_date AND tt.date GROUP BY 1, 2, 3)"""
 
 
@@ -319,25 +352,45 @@ def f40_price_ranges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(wallet.price_ranges(period(spark, d), v.market(spark, d), v.START))
 
 
-@query(Q("ledger market", """SELECT coin_id, wallet_address, date, CASE WHEN usd_net_transfers < 0 THEN usd_net_transfers / m.price * coalesce(max_price, m.price) ELSE usd_net_transfers / m.price * coalesce(min_price, m.price) END AS usd_net_transfers, usd_balance FROM period p JOIN market m USING (coin_id, date) LEFT JOIN rg USING (coin_id, wallet_address, date)""", "usd_net_transfers usd_balance", PERIOD + "," + F40, 4))
+def _scenario(kind: str) -> str:
+    """Common tables that end in trading_<kind>: the period's ledger in a scenario, and its trading features."""
+    high, low = ("max_price", "min_price") if kind == "ideal" else ("min_price", "max_price")
+    rows = f"""period_{kind} AS (SELECT p.coin_id, p.wallet_address, p.date, p.is_imputed, CASE WHEN usd_net_transfers < 0 THEN usd_net_transfers / m.price * {high} ELSE usd_net_transfers / m.price * {low} END AS usd_net_transfers,
+    CASE WHEN date = DATE '2024-01-20' THEN usd_balance / m.price * {high} ELSE usd_balance END AS usd_balance FROM period p JOIN market m USING (coin_id, date) JOIN rg USING (coin_id, wallet_address, date))"""
+    return rows + "," + re.sub(r"\b(adj|cum|pairs_|gain|act|trading|period)\b", rf"\1_{kind}", TRADING)
+
+
+@query(Q("ledger market", "SELECT * FROM period_ideal", "usd_net_transfers usd_balance", PERIOD + "," + F40 + "," + _scenario("ideal"), 4))
 def f41_ideal_ledger(spark: SparkSession, d: str) -> DataFrame:
     p, m = period(spark, d), v.market(spark, d)
-    return rounded(wallet.scenario(p, wallet.price_ranges(p, m, v.START), m, "ideal").select("coin_id", "wallet_address", "date", "usd_net_transfers", "usd_balance"), 4)
+    return rounded(wallet.scenario(p, wallet.price_ranges(p, m, v.START), m, v.END, "ideal").select("coin_id", "wallet_address", "date", "is_imputed", "usd_net_transfers", "usd_balance"), 4)
+
 
+def _relative(kind: str) -> str:
+    """Common tables that end in rel_<kind>: trading and performance against a scenario, without its sign."""
+    cols = [(n, a, b, s) for n, (a, b, s) in wallet.RELATIVE.items()]
+    money = ", ".join(f'abs(t.{a} - s.{a}) AS "{n}"' for n, a, _, _ in cols)
+    part = ", ".join(f'round(CASE WHEN t.{b} >= 20 THEN abs(t.{a} - s.{a}) / t.{b} ELSE 0 END, 9) + 0.0 AS s{i}' for i, (_, a, b, _) in enumerate(cols))
+    x = f"x_{kind}"
+    limits = ", ".join(_winsor(f"s{i}", x, f"{x}_l{i}") for i in range(4))
+    cut_ = ", ".join(f"least(greatest(s{i}, {x}_l{i}.lo), {x}_l{i}.hi) AS w{i}" for i in range(4))
+    rank = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0) / count(*) OVER ()"
+    shares = ", ".join(f'w{i} AS "{s}", {rank(f"w{i}")} AS "{s}{"_rank" if s.endswith("/pct") else "/pct_rank"}"' for i, (_, _, _, s) in enumerate(cols))
+    perform = ", ".join(f'b.{f}_{y} - o.{f}_{y} AS "{n}/{f}"' for n, y in (("relative_net_gain_max_inv", "m"), ("relative_net_gain_inflows", "i")) for f in ("base", "winsorized", "rank"))
+    return f"""{x} AS (SELECT wallet_address, {money}, {part} FROM trading t JOIN trading_{kind} s USING (wallet_address)), {limits},
+{x}_w AS (SELECT *, round((w0 + 1) * (w1 + 1) - 1, 9) + 0.0 AS both_ FROM (SELECT {x}.*, {cut_} FROM {x}, {", ".join(f"{x}_l{i}" for i in range(4))})), {_winsor("both_", x + "_w", x + "_lb")},
+{x}_c AS (SELECT {x}_w.* REPLACE (least(greatest(both_, lo), hi) AS both_) FROM {x}_w, {x}_lb), {_perform(f"trading_{kind}", f"pf_{kind}")},
+rel_{kind} AS (SELECT wallet_address, {", ".join(f'"{n}"' for n, *_ in cols)}, {shares}, both_ AS "relative_combined/pct", {rank("both_")} AS "relative_combined/pct_rank", {perform} FROM {x}_c JOIN pf b USING (wallet_address) JOIN pf_{kind} o USING (wallet_address))"""
 
-def _scenario_sql(name: str, high: str, low: str) -> str:
-    net = f"CASE WHEN usd_net_transfers < 0 THEN usd_net_transfers / m.price * coalesce({high}, m.price) ELSE usd_net_transfers / m.price * coalesce({low}, m.price) END"
-    chg = f"CASE WHEN date = DATE '2024-01-05' THEN usd_balance WHEN date = DATE '2024-01-20' THEN {net} - usd_balance ELSE {net} END"
-    return f"""{name} AS (SELECT wallet_address, sum(g) AS g FROM (SELECT wallet_address, coin_id, arg_max(CASE WHEN date = DATE '2024-01-20' THEN 0.0 ELSE usd_balance END, date) - sum({chg}) AS g FROM period p JOIN market m USING (coin_id, date) LEFT JOIN rg USING (coin_id, wallet_address, date) GROUP BY 1, 2) GROUP BY 1)"""
 
+RELATIVE = [*wallet.RELATIVE, *[x for _, _, s in wallet.RELATIVE.values() for x in (s, s + ("_rank" if s.endswith("/pct") else "/pct_rank"))], "relative_combined/pct", "relative_combined/pct_rank", *[f"{n}/{f}" for n in ("relative_net_gain_max_inv", "relative_net_gain_inflows") for f in ("base", "winsorized", "rank")]]
 
-@query(Q("ledger market", """SELECT a.wallet_address, a.net_gain AS actual, i.g AS ideal, w.g AS worst, abs(a.net_gain - i.g) AS to_ideal, abs(a.net_gain - w.g) AS to_worst, CASE WHEN abs(a.net_gain) >= 20 THEN abs(a.net_gain - i.g) / abs(a.net_gain) END AS to_ideal_pct, CASE WHEN abs(a.net_gain) >= 20 THEN abs(a.net_gain - w.g) / abs(a.net_gain) END AS to_worst_pct
-    FROM gain a JOIN ideal i USING (wallet_address) JOIN worst w USING (wallet_address)""", "actual ideal worst to_ideal to_worst to_ideal_pct to_worst_pct", PERIOD + "," + TRADING + "," + F40 + "," + _scenario_sql("ideal", "max_price", "min_price") + "," + _scenario_sql("worst", "min_price", "max_price"), 4))
+
+@query(Q("ledger market", "SELECT i.wallet_address, " + ", ".join(f'-i."{c}" AS "ideal/{c}", w."{c}" AS "worst/{c}"' for c in RELATIVE) + ", " + ", ".join(f"""CASE WHEN abs(w."{c}" + i."{c}") < 1e-10 THEN 0 ELSE i."{c}" / nullif(w."{c}" + i."{c}", 0) END AS "net_perf/{c}\"""" for c in wallet.NET) + " FROM rel_ideal i JOIN rel_worst w USING (wallet_address)",
+    " ".join(f"{k}/{c}" for k in ("ideal", "worst") for c in RELATIVE) + " " + " ".join(f"net_perf/{c}" for c in wallet.NET), ",".join([PERIOD, TRADING, F40, _perform("trading", "pf"), _scenario("ideal"), _scenario("worst"), _relative("ideal"), _relative("worst")]), 4))
 def f42_f45_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    p, m = period(spark, d), v.market(spark, d)
-    rg = wallet.price_ranges(p, m, v.START)
-    gaps = wallet.scenario_gaps(trading(spark, d), *[wallet.trading(wallet.scenario(p, rg, m, k), v.START, v.END) for k in ("ideal", "worst")])
-    return rounded(gaps.drop("net_performance"), 4)
+    """Trading and performance of every wallet against the ideal and the worst scenario, and where it lies between them."""
+    return rounded(wallet.scenario_features(period(spark, d), v.market(spark, d), v.START, v.END), 4)
 
 
 @query(Q("market", """SELECT coin_id, date, price, ath, date_diff('day', max(CASE WHEN price = ath THEN date END) OVER (PARTITION BY coin_id ORDER BY date ROWS UNBOUNDED PRECEDING), date) AS days_since_ath, price / nullif(ath, 0) AS pct_of_ath FROM (SELECT coin_id, date, price, max(price) OVER (PARTITION BY coin_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS ath FROM market)""", "price ath pct_of_ath"))

@@ -14,26 +14,27 @@ from flowledger.plans.q_basic import COLUMNS, wallet_matrix
 from flowledger.plans.q_evaluate import EPOCH_SCORES, SCORED, bought, epoch_scores, scored, search
 from flowledger.plans.q_features import PAIRS, pairs, segments, series_returns
 from flowledger.plans.q_features import SERIES_RETURNS as RETURNS
-from flowledger.plans.q_ledger import F40, _scenario_sql, period, trading
+from flowledger.plans.q_ledger import F40, _perform, _relative, _scenario, period, trading
 from flowledger.plans.registry import query
 
-BOTH = PERIOD + "," + TRADING + "," + F40 + "," + _scenario_sql("ideal", "max_price", "min_price") + "," + _scenario_sql("worst", "min_price", "max_price")
+BOTH = ",".join([PERIOD, TRADING, F40, _scenario("ideal"), _scenario("worst")])
 
 
 def scenarios(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     p, m = period(spark, d), v.market(spark, d)
     rg = wallet.price_ranges(p, m, v.START)
-    return trading(spark, d), *[wallet.trading(wallet.scenario(p, rg, m, k), v.START, v.END) for k in ("ideal", "worst")]
+    return trading(spark, d), *[wallet.trading(wallet.scenario(p, rg, m, v.END, k), v.START, v.END) for k in ("ideal", "worst")]
 
 
-@query(Q("ledger market", "SELECT count(*) AS wallets, count(*) FILTER (a.net_gain > i.g + greatest(abs(a.net_gain) * 0.0001, 0.01)) AS above_ideal, count(*) FILTER (a.net_gain < w.g - greatest(abs(a.net_gain) * 0.0001, 0.01)) AS below_worst FROM gain a JOIN ideal i USING (wallet_address) JOIN worst w USING (wallet_address)", "", BOTH))
+@query(Q("ledger market", "SELECT count(*) AS wallets, count(*) FILTER (a.net_gain > i.net_gain + greatest(abs(a.net_gain) * 0.0001, 0.01)) AS above_ideal, count(*) FILTER (a.net_gain < w.net_gain - greatest(abs(a.net_gain) * 0.0001, 0.01)) AS below_worst FROM trading a JOIN trading_ideal i USING (wallet_address) JOIN trading_worst w USING (wallet_address)", "", BOTH))
 def v11_scenario_bounds(spark: SparkSession, d: str) -> DataFrame:
     return checks.scenario_bounds(*scenarios(spark, d))
 
 
-@query(Q("ledger market", "SELECT a.wallet_address, CASE WHEN abs(w.g - i.g) < 1e-10 THEN 0 ELSE abs(a.net_gain - w.g) / (abs(a.net_gain - w.g) + abs(a.net_gain - i.g)) END AS net_performance FROM gain a JOIN ideal i USING (wallet_address) JOIN worst w USING (wallet_address) WHERE abs(a.net_gain - w.g) + abs(a.net_gain - i.g) > 0.01", "net_performance", BOTH, 4))
+@query(Q("ledger market", "SELECT wallet_address, " + ", ".join(f"""CASE WHEN abs(w."{c}" + i."{c}") < 1e-10 THEN 0 ELSE i."{c}" / nullif(w."{c}" + i."{c}", 0) END AS "net_perf/{c}\"""" for c in wallet.NET) + " FROM rel_ideal i JOIN rel_worst w USING (wallet_address)",
+    " ".join(f"net_perf/{c}" for c in wallet.NET), ",".join([BOTH, _perform("trading", "pf"), _relative("ideal"), _relative("worst")]), 4))
 def f44_net_performance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(wallet.scenario_gaps(*scenarios(spark, d)).where("to_worst + to_ideal > 0.01").select("wallet_address", "net_performance"), 4)
+    return rounded(wallet.scenario_features(period(spark, d), v.market(spark, d), v.START, v.END).select("wallet_address", *[F.col(f"`net_perf/{c}`") for c in wallet.NET]), 4)
 
 
 @query(Q("scores", "SELECT count(*) AS rows, 0::BIGINT AS unmatched, 0::BIGINT AS duplicates, max(n) / sum(n) AS commonest_share, CAST(1 AS INTEGER) AS not_numbers FROM (SELECT actual, count(*) AS n FROM sc GROUP BY 1)", "commonest_share", SCORED).replace("count(*) AS rows, 0", "CAST(sum(n) AS BIGINT) AS rows, 0"))
