@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from flowledger.llm.scratch import lean
 
-#: Characters of a text, and ids of a list, that are handled without halving.
-LEAF, LEAF_IDS = 4096, 1024
+#: Characters of a text, and ids of a list, that are handled without halving: some dozens of tokens.
+LEAF, LEAF_IDS = 128, 64
 #: First length of the window on each side of a cut.
 WINDOW = 32
 
@@ -55,21 +55,36 @@ class Codec:
         return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        a, size = lo, WINDOW
-        while mid - size > lo:  # the last edge before the cut, looked for in a growing window
+        a, b = self._before(text, lo, mid), self._after(text, mid, hi)
+        return left[: self._count(left, text[a:mid], -1)] + self.base.encode_ordinary(text[a:b]) + right[self._count(right, text[mid:b], 1) :]
+
+    def _before(self, text: str, lo: int, mid: int) -> int:
+        """The last edge before the cut, looked for in a growing window; the part's start if it has none."""
+        size = WINDOW
+        while mid - size > lo:
+            at = mid
+            while (at := text.rfind(" ", mid - size + 1, at)) > 0:  # most edges are blanks
+                if not text[at - 1].isspace():
+                    return at
             found = [m.start() for m in _EDGE.finditer(text, mid - size, mid) if mid - size < m.start() < mid and not _ODD.search(text, m.start() - 1, m.start() + 1)]
             if found:
-                a = found[-1]
-                break
+                return found[-1]
             size *= 2
-        b, size = hi, WINDOW
-        while mid + size < hi:  # the first edge after it
+        return lo
+
+    def _after(self, text: str, mid: int, hi: int) -> int:
+        """The first edge after it, or the part's end."""
+        size = WINDOW
+        while mid + size < hi:
+            at = mid
+            while (at := text.find(" ", at + 1, mid + size)) > 0:
+                if not text[at - 1].isspace():
+                    return at
             found = next((m.start() for m in _EDGE.finditer(text, mid + 1, mid + size) if m.start() > mid and not _ODD.search(text, m.start() - 1, m.start() + 1)), None)
             if found is not None:
-                b = found
-                break
+                return found
             size *= 2
-        return left[: self._count(left, text[a:mid], -1)] + self.base.encode_ordinary(text[a:b]) + right[self._count(right, text[mid:b], 1) :]
+        return hi
 
     def _count(self, ids: list[int], part: str, step: int) -> int:
         """Index in ``ids`` of the token border that cuts ``part`` off their end (step -1) or start (step 1)."""
