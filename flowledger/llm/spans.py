@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import lean
+from flowledger.llm.scratch import fresh, lean
 
 SENTENCES, WORDS = 3, 20
 #: Consecutive words of which one ends a clause; with more, a passage of 51 words might hold no run.
@@ -47,7 +47,7 @@ def _cuts(words: list[bytes]) -> np.ndarray:
 
 
 def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[list[int], list[int], list[int]]:
-    """(hash, first word, end) of each run of a text: from each sentence, the fewest next ones that make a run."""
+    """(hash of 96 bits, first word, end) of each run of a text: from each sentence, the fewest next ones that make a run."""
     words: list[bytes] = []
     ends: list[int] = []
     for line in text.encode().lower().split(b"\n"):
@@ -68,7 +68,7 @@ def runs(text: str, sentences: int = SENTENCES, least: int = WORDS) -> tuple[lis
             to += 1
         if to > len(ends):
             break
-        hashes.append(xxhash.xxh64_intdigest(b" ".join(words[starts[i] : starts[to]])))
+        hashes.append(xxhash.xxh3_128_intdigest(b" ".join(words[starts[i] : starts[to]])) >> 32)
         first.append(starts[i])
         last.append(starts[to])
     return hashes, first, last
@@ -80,13 +80,14 @@ def _first_runs(sentences: int, least: int, batches: Iterator[pd.DataFrame]) ->
         hs, ids, ths, at = [], [], [], []
         for i, th, text in zip(pdf["_id"], pdf["_t"], pdf["_text"], strict=True):
             h, _, _ = runs(text or "", sentences, least)
-            u, k = np.unique(np.array(h, np.uint64), return_index=True)
-            hs.append(u.view(np.int64))
-            at.append(k)
-            ids.append(np.full(len(u), i))
-            ths.append(np.full(len(u), th))
+            first = dict(zip(reversed(h), reversed(range(len(h))), strict=True))
+            both = np.array([(x >> 32, (x & 0xFFFFFFFF) << 32 | k) for x, k in first.items()], np.uint64).reshape(-1, 2).view(np.int64)
+            hs.append(both[:, 0])
+            at.append(both[:, 1])
+            ids.append(np.full(len(both), i))
+            ths.append(np.full(len(both), th))
         if hs:
-            yield pd.DataFrame({"h": np.concatenate(hs), "_id": np.concatenate(ids).astype(np.int64), "_t": np.concatenate(ths).astype(np.int64), "at": np.concatenate(at).astype(np.int32)})
+            yield pd.DataFrame({"h": np.concatenate(hs), "_id": np.concatenate(ids).astype(np.int64), "_t": np.concatenate(ths).astype(np.int64), "g": np.concatenate(at)})
 
 
 def cut(text: str, gone: set[int], sentences: int = SENTENCES, least: int = WORDS) -> tuple[str, int]:
@@ -129,14 +130,17 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS, id_co
 
     The first place of a run is in the document with the smallest id, null before all; of several places in one document,
     the first. Every row stays, one that was all repeated with an empty text; a null text stays null. Rows with one id
-    count as one document: they don't take from each other, equal rows come out equal. Only ids and hashes are shuffled
-    until the end, where each text meets the numbers of its removed runs.
+    count as one document: they don't take from each other, equal rows come out equal. Texts of any length are cut whole.
+    Only ids and hashes are shuffled until the end, where each text meets the numbers of its removed runs. Runs are the
+    same if 96 bits of their hashes are: 64 in ``h``, and 32 in ``g`` above the run's number in its text.
     """
     lean(docs.sparkSession)
-    key = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_t", F.xxhash64(text)).withColumn("_text", F.col(text))
-    found = key.select("_id", "_t", "_text").mapInPandas(partial(_first_runs, sentences, least), "h long, _id long, _t long, at int")
-    later = found.withColumn("first", F.min("_id").over(Window.partitionBy("h"))).where(F.col("_id") != F.col("first"))
-    gone = later.groupBy("_id", "_t").agg(F.collect_set("at").alias("_gone"))
+    i, t, dead, done = fresh(docs, "_id", "_t", "_gone", "_done")
+    own, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)
+    found = docs.select(own.alias("_id"), mark.alias("_t"), F.col(text).alias("_text")).mapInPandas(partial(_first_runs, sentences, least), "h long, _id long, _t long, g long")
+    run = Window.partitionBy("h", F.shiftrightunsigned("g", 32))
+    later = found.withColumn("first", F.min("_id").over(run)).where(F.col("_id") != F.col("first"))
+    gone = later.groupBy(F.col("_id").alias(i), F.col("_t").alias(t)).agg(F.collect_set(F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(dead))
     kind = F.pandas_udf(partial(_cut, sentences, least), "text string, removed long", F.PandasUDFType.SCALAR_ITER)
-    both = key.drop("_text").join(gone, ["_id", "_t"], "left").withColumn("_c", kind(F.col(text), F.col("_gone")))
-    return both.select(*[F.col("_c.text").alias(text) if c == text else F.col(c) for c in docs.columns if c != removed], F.col("_c.removed").alias(removed))
+    both = docs.withColumn(i, own).withColumn(t, mark).join(gone, [i, t], "left").withColumn(done, kind(F.col(text), F.col(dead)))
+    return both.select(*[F.col(f"{done}.text").alias(text) if c == text else F.col(c) for c in docs.columns if c != removed], F.col(f"{done}.removed").alias(removed))
