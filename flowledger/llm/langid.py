@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import lean
+from flowledger.llm.scratch import fresh, lean
 
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 16
-#: About so many labelled documents, chosen by hash, are learned from at most.
-TRAIN = 20_000
+#: About so many labelled documents of each language, chosen by hash, are learned from at most.
+TRAIN = 5_000
 SMOOTH, PENALTY, STEPS = 0.05, 3.0, 12
 #: Trigram occurrences (distinct within a document) that are worked on at once.
 BATCH = 1 << 18
@@ -129,15 +129,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, train: int = TRAIN, penalty: float = PENALTY, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with held_out, lang_pred and score.
+    """``docs`` with held_out, lang_pred, score and languages, the number of languages that could be learned.
 
-    Learns from the rows with a language whose crc32(id as text) mod 5 isn't 0, or about ``train`` of them chosen by
-    hash. A text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0. Rows
-    without an id aren't learned from and count as not held out.
+    Learns from the rows with a language whose crc32(id as text) mod 5 isn't 0, or about ``train`` of each language chosen
+    by hash. A text that is null or has no letter, or any text if nothing could be learned, is ``und`` with score 0. Rows
+    without an id aren't learned from and count as not held out. Long texts are read whole; repeated rows come out equal.
     """
     lean(docs.sparkSession)
     pool = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("i"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    part = int(2**31 * min(1.0, train / max(1, pool.count())))
-    langs, p = learn(pool.where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(2**31)) < part))
+    part = pool.groupBy("lang").agg((F.least(F.lit(1.0), F.lit(train) / F.count("*")) * 2**31).cast("long").alias("part"))  # a row for each language
+    langs, p = learn(pool.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(2**31)) < F.col("part")))
     kind = F.pandas_udf(partial(_predict, langs, p, penalty), "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
-    return docs.withColumn("_l", kind(F.col(text))).select(*[c for c in docs.columns if c not in ("held_out", "lang_pred", "score")], held_out(id_col).alias("held_out"), "_l.lang_pred", "_l.score")
+    (told,) = fresh(docs, "_told")
+    rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "languages")]
+    return docs.withColumn(told, kind(F.col(text))).select(*rest, held_out(id_col).alias("held_out"), f"{told}.lang_pred", f"{told}.score", F.lit(len(langs)).alias("languages"))

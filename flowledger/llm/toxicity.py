@@ -4,7 +4,8 @@ A word is the average of the embeddings of its n-grams and of itself, so that an
 vector with the word that it hides; a passage of SPAN words is the average of its words; a linear softmax over two classes
 reads the passage. A few bad words in a long text would drown in the average over all of it, so a document's score is
 that of its worst passage, in training too: after some steps on the document's average, the gradient goes through the
-worst passage alone. Embeddings and softmax are learned together by Adam, in numpy, on a bounded sample of labelled rows.
+worst passage alone. Embeddings and softmax are learned together by gradient steps with momentum, whose largest step has a
+fixed length, in numpy, on a bounded sample of labelled rows.
 Scoring needs no more than one number for each n-gram, the product of its embedding with the softmax's weights.
 """
 
@@ -15,15 +16,17 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import lean
+from flowledger.llm.scratch import fresh, lean
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 16
 #: Labelled documents of either class that are learned from, about so many at most, chosen by hash.
 TOXIC, OTHER = 1500, 3000
+#: Bytes of text that are learned from at most.
+BYTES = 64 << 20
 STEPS, WARM, RATE, DECAY = 80, 15, 0.5, 1e-3
 THRESHOLD = 0.7
 #: Word forms whose score a worker remembers.
@@ -171,7 +174,8 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     """``docs`` with held_out, score (0 to 1) and predicted (1 from ``threshold`` up).
 
     Learns from labelled rows (``labels``: doc_id, toxic 0 or 1) whose crc32(id as text) mod 3 isn't 1; about ``toxic`` and
-    ``other`` of them, chosen by hash, at most. Null and blank texts have the bias's score; with no labels, or of one class
+    ``other`` of them, chosen by hash, at most, and of these, in the order of their hashes, as many as have BYTES of text
+    together. Long texts are scored whole. Null and blank texts have the bias's score; with no labels, or of one class
     alone, every text has a score by the share of class 1. Other labels and null ids are passed over.
     """
     lean(docs.sparkSession)
@@ -179,8 +183,11 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     count = {r["_y"]: r["count"] for r in pool.groupBy("_y").count().collect()}
     limit = F.when(F.col("_y") == 1, int(2**31 * min(1.0, toxic / max(1, count.get(1, 0))))).otherwise(int(2**31 * min(1.0, other / max(1, count.get(0, 0)))))
     some = pool.where(F.pmod(F.xxhash64(F.lit("toxicity"), "_i"), F.lit(2**31)) < limit)  # about toxic + other rows
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text).alias("_x")).join(F.broadcast(some), "_i").orderBy("_i", "_y", "_x").collect()
+    known = docs.select(F.col(id_col).alias("_i"), F.col(text).alias("_x")).join(F.broadcast(some), "_i").withColumn("_h", F.xxhash64("_i", "_x", "_y"))
+    sized = known.select("_h", F.coalesce(F.octet_length("_x"), F.lit(0)).alias("_n")).withColumn("_sum", F.sum("_n").over(Window.orderBy("_h")))  # toxic + other rows
+    rows = known.join(F.broadcast(sized.where(F.col("_sum") <= BYTES).select("_h").distinct()), "_h").orderBy("_i", "_y", "_x").collect()
     value, bias = train([r["_x"] for r in rows], np.array([r["_y"] for r in rows], np.float64))
     kind = F.pandas_udf(partial(_scores, value.astype(np.float32), bias), "double", F.PandasUDFType.SCALAR_ITER)
-    scored = docs.withColumn("_s", kind(F.col(text)))
-    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(id_col).alias("held_out"), F.col("_s").alias("score"), (F.col("_s") >= threshold).cast("int").alias("predicted"))
+    (got,) = fresh(docs, "_got")
+    scored = docs.withColumn(got, kind(F.col(text)))
+    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(id_col).alias("held_out"), F.col(got).alias("score"), (F.col(got) >= threshold).cast("int").alias("predicted"))

@@ -1,11 +1,11 @@
 """Rows with nulls, blanks, long texts, ties, repeated rows and clashing column names, for every operator."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, piece string, salt string, k long, anchor string, ids string, count long"
-REST = ("x", "y", "z", 1, "w", "v", 2)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, piece string, salt string, k long, anchor string, ids string, count long, _ID string, _t string, _gone string, _got int, _told int"
+REST = ("x", "y", "z", 1, "w", "v", 2, "u", "t", "s", 3, 4)
 
 
 def documents(spark, texts, first=0):
-    return spark.createDataFrame([(first + i, t, "en", "s", len(t or ""), *("x", "y", "z", 1, "w", "v", 2)) for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(first + i, t, "en", "s", len(t or ""), *REST) for i, t in enumerate(texts)], SCHEMA)
 
 
 def odd(spark):
