@@ -3,16 +3,16 @@
 A vector, less the mean of all, is rotated by a random orthogonal matrix; the signs of its coordinates are its code, one
 bit each, and two scalars go with it: its length and the inner product of its direction with the code's. From the packed
 bits and these scalars the inner product with any query is estimated without bias, with an error of known spread. A
-candidate whose upper bound (estimate plus MARGIN spreads) reaches the k-th best lower bound is read in full and scored
-exactly; the others aren't. Queries are rounded to four bits a coordinate, so that an estimate is a few population counts.
+candidate whose upper bound (estimate plus MARGIN spreads) reaches the k-th best score known so far, or the k-th best lower
+bound of its block, is read in full and scored exactly; the others aren't. Queries are rounded to four bits a coordinate, so
+that an estimate is a few population counts.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +20,16 @@ from flowledger.llm import blocks
 from flowledger.llm.scratch import keep
 
 #: Spreads of the estimate's error on each side of it.
-MARGIN = 1.5
+MARGIN = 2.0
 PLANES = 4
-#: Queries whose estimates are held at once.
-CHUNK = 64
+#: Bits of a code for each component: vectors are padded with zeros before they are rotated, which narrows the error.
+BITS = 2
 
 
-def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
+    """Rows of a random orthogonal matrix of ``bits`` x ``dim`` columns: those that zeros don't meet."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits * dim, bits * dim)))
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def codes(v: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,20 +39,15 @@ def codes(v: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray
     length = np.sqrt((rest**2).sum(1))
     unit = rest / np.where(length > 0, length, 1)[:, None] @ turn
     bits = unit > 0
-    align = np.abs(unit).sum(1) / np.sqrt(v.shape[1])
-    pad = -v.shape[1] % 64
+    align = np.abs(unit).sum(1) / np.sqrt(turn.shape[1])
+    pad = -turn.shape[1] % 64
     packed = np.packbits(np.pad(bits, ((0, 0), (0, pad))), axis=1, bitorder="little").view("<u8")
     return packed, np.stack([length, np.where(length > 0, align, 1)], 1).astype("<f4")
 
 
-def _approx(mean: np.ndarray, turn: np.ndarray, v: np.ndarray) -> bytes:
-    packed, scalars = codes(v, mean, turn)
-    return packed.tobytes() + scalars.tobytes()
-
-
 def estimates(packed: np.ndarray, scalars: np.ndarray, q: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(estimated inner products, spread of their error), arrays (queries, vectors)."""
-    dim = q.shape[1]
+    dim = turn.shape[1]
     turned = q @ turn
     low, high = turned.min(1), turned.max(1)
     step = np.where(high > low, (high - low) / (2**PLANES - 1), 1)
@@ -74,47 +70,49 @@ def estimates(packed: np.ndarray, scalars: np.ndarray, q: np.ndarray, mean: np.n
     return total, spread
 
 
-def _search(k: int, margin: float, mean: np.ndarray, turn: np.ndarray, d: pd.Series, q: pd.Series) -> dict:
-    ids, exact = np.frombuffer(d["ids"], np.int64), blocks.matrix(d["exact"], "<f4", d["ids"]).astype(np.float64)
-    words = -(-exact.shape[1] // 64)
-    packed = np.frombuffer(d["approx"], "<u8", len(ids) * words).reshape(len(ids), words)
-    scalars = np.frombuffer(d["approx"], "<f4", offset=packed.nbytes).reshape(len(ids), 2)
-    qids, qs = np.frombuffer(q["qids"], np.int64), blocks.matrix(q["qexact"], "<f4", q["qids"]).astype(np.float64)
-    out, reread = [], 0
-    for at in range(0, len(qids), CHUNK):
-        part = qs[at : at + CHUNK]
-        guess, spread = estimates(packed, scalars, part, mean, turn)
-        spread *= margin
-        least = guess - spread
-        edge = np.partition(least, -(k + 1), axis=1)[:, -(k + 1)] if len(ids) > k + 1 else np.full(len(part), -np.inf)
-        guess += spread
-        for i, hit in enumerate(guess >= edge[:, None]):
-            rows = np.flatnonzero(hit)
-            rows = rows[ids[rows] != qids[at + i]]
-            reread += len(rows)
-            score = exact[rows] @ part[i]
-            if len(rows) > 4 * k:
-                near = np.flatnonzero(score >= np.partition(score, -k)[-k])
-                rows, score = rows[near], score[near]
-            top = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(top), qids[at + i]), ids[rows[top]], score[top]))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return {"query_id": a, "vec_id": b, "score": c, "score_long": np.zeros(len(a), np.int64), "reread": np.full(len(a), reread)}
+class OneBit:
+    """Bounds by one-bit codes, scores in double precision, for vectors of several lengths."""
+
+    def __init__(self, kind: str, margin: float, mean: dict[int, np.ndarray]):
+        self.kind, self.margin, self.mean = kind, margin, mean
+
+    def approx(self, v: np.ndarray) -> bytes:
+        packed, scalars = codes(v.astype(np.float64), self.mean[v.shape[1]], turned(v.shape[1]))
+        return packed.tobytes() + scalars.tobytes()
+
+    def bounds(self, approx: bytes, n: int, d: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = -(-BITS * d // 64)
+        packed = np.frombuffer(approx, "<u8", n * words).reshape(n, words)
+        guess, spread = estimates(packed, np.frombuffer(approx, "<f4", offset=packed.nbytes).reshape(n, 2), q, self.mean[d], turned(d))
+        spread *= self.margin
+        return guess - spread, guess + spread
+
+    def score(self, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, None]:
+        return v.astype(np.float64) @ q.astype(np.float64), None
+
+    def bar(self):
+        return F.col("score")
+
+
+@lru_cache(16)
+def turned(dim: int) -> np.ndarray:
+    return rotation(dim)
 
 
 def nearest(df: DataFrame, k: int = 20, every: int = 20, margin: float = MARGIN, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``, the k largest inner products
-    found among all others, ties to the smaller id.
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k largest inner products found
+    among all other rows, ties to the smaller id.
 
-    Vectors that are null, empty, zero or hold a null, NaN or infinite component take no part, nor do null ids or vectors
-    of another length than most. Equal rows count once; rows with the query's id are its own. Fewer than k candidates are
-    all returned; an empty table gives no rows. Components are stored as 32-bit floats, like the table's.
+    Vectors that are null, empty, zero or hold a null, NaN or infinite component take no part, nor do null ids. A query's
+    candidates are the vectors of its length, as there is no inner product with others. Equal rows are candidates each,
+    and rows that share an id with different vectors are searched each. Fewer than k candidates are all returned; an
+    empty table gives no rows.
     """
     rows = keep(blocks.sound(df, id_col, vector, zero=False), "vectors")
-    sums = rows.mapInPandas(partial(blocks.partial_sums, lambda v: {"s": v.sum(0), "n": np.full(v.shape[1], len(v), float)}), "i int, s double, n double")
-    sums = sums.groupBy("i").agg(F.sum("s"), F.sum("n")).orderBy("i").collect()  # one row for each dimension
-    mean = np.array([r[1] / r[2] for r in sums])
-    turn = rotation(len(mean)) if sums else np.eye(1)
-    data = blocks.packed(blocks.fewest(rows, k), blocks.ROWS, partial(_approx, mean, turn), "<f4")
-    queries = blocks.packed(rows.where(F.col("vec_id") % every == 0), blocks.QUERIES, lambda v: b"", "<f4")
-    return blocks.search(data, queries, partial(_search, k, margin, mean, turn), k, "score")
+    known = blocks.ends(rows)
+    kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+    if kind == "<f8":
+        rows = rows.withColumn("v", F.col("v").cast("array<double>"))
+    sample = blocks.sampled(rows, {d: x[0] for d, x in known.items()})
+    found = blocks.search(rows, known, sample, every, OneBit(kind, margin, {d: x[3] for d, x in known.items()}), k)
+    return found.select("query_id", "rank", "vec_id", "score")

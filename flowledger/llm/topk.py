@@ -1,18 +1,15 @@
 """Exact top-k by integer inner product over a vector-approximation file.
 
-Each component is kept as the number of its cell, 64 equal cells between the least and the greatest value of its
-dimension. A block's cells give an interval for each inner product: the one with the cells' middles, plus or minus half a
-cell in every dimension. Candidates are then taken in the order of their bounds, best first, and their exact vectors
-read, until the k-th best exact score is no less than the next bound. Nothing is left to chance: with its ties, the
-result is that of reading everything.
+Each component is kept as the number of its cell: up to CELLS cells of a dimension, with edges at quantiles of a bounded
+sample, so that cells hold about as many vectors each. A vector's cells are ranges of its components and give a lower and
+an upper bound of its inner product with a query, narrow where cells are narrow. Vectors whose upper bound doesn't reach
+the k-th best score known so far, or the k-th best lower bound of their block, are passed over; of the others the exact
+vectors are read and scored. Nothing is left to chance: with its ties, the result is that of reading everything.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,57 +17,66 @@ from flowledger.llm import blocks
 from flowledger.llm.scratch import keep
 
 SCALE, CELLS = 256, 64
-#: Exact vectors read at a time for a query, and queries whose bounds are held at once.
-STEP, CHUNK = 32, 64
-#: Largest size of a whole component: sums of products then stay exact.
-LARGEST = 1 << 24
-
-
-def _approx(low: np.ndarray, width: np.ndarray, v: np.ndarray) -> bytes:
-    return ((v - low) // width).clip(0, CELLS - 1).astype(np.uint8).tobytes()
-
-
-def _search(k: int, low: np.ndarray, width: np.ndarray, d: pd.Series, q: pd.Series) -> dict:
-    ids, exact, cells = np.frombuffer(d["ids"], np.int64), blocks.matrix(d["exact"], "<i4", d["ids"]), blocks.matrix(d["approx"], np.uint8, d["ids"])
-    qids, qs = np.frombuffer(q["qids"], np.int64), blocks.matrix(q["qexact"], "<i4", q["qids"]).astype(np.int64)
-    middle = low + (cells + 0.5) * width
-    out, reread = [], 0
-    for at in range(0, len(qids), CHUNK):
-        part = qs[at : at + CHUNK].astype(np.float64)
-        guess = part @ middle.T
-        slack = np.abs(part) @ (width / 2) + 1e-9 * np.abs(part) @ np.abs(low) + 1  # half a cell, and rounding
-        edge = np.partition(guess, -(k + 1), axis=1)[:, -(k + 1)] - 2 * slack if len(ids) > k + 1 else np.full(len(part), -np.inf)
-        for i in range(len(part)):
-            rows = np.flatnonzero(guess[i] >= edge[i])
-            rows = rows[ids[rows] != qids[at + i]]
-            rows = rows[np.argsort(-guess[i, rows], kind="stable")]
-            bound, score = guess[i, rows] + slack[i], np.empty(0, np.int64)
-            while len(score) < len(rows):
-                if len(score) >= k and np.partition(score, -k)[-k] > bound[len(score)]:
-                    break
-                score = np.concatenate([score, exact[rows[len(score) : len(score) + STEP]].astype(np.int64) @ qs[at + i]])
-            reread += len(score)
-            rows = rows[: len(score)]
-            top = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(top), qids[at + i]), ids[rows[top]], score[top]))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return {"query_id": a, "vec_id": b, "score": np.zeros(len(a)), "score_long": c, "reread": np.full(len(a), reread)}
+_LIMB = 1 << 62
+
+
+class Cells:
+    """Bounds by cells with given edges (by length, an array (components, cells + 1)), scores as whole numbers."""
+
+    kind = "<i8"
+
+    def __init__(self, edges: dict[int, np.ndarray]):
+        self.edges = edges
+
+    def approx(self, v: np.ndarray) -> bytes:
+        e = self.edges[v.shape[1]]
+        return np.stack([np.searchsorted(e[j, 1:-1], v[:, j], side="right") for j in range(v.shape[1])], 1).astype(np.uint8).tobytes()
+
+    def bounds(self, approx: bytes, n: int, d: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        e, cells, every = self.edges[d], np.frombuffer(approx, np.uint8).reshape(n, d), np.arange(d)
+        a, b = e[every, cells], e[every, cells + 1]
+        middle = q @ ((a + b) / 2).T
+        half = np.abs(q) @ ((b - a) / 2).T + (1e-9 * np.abs(q) @ np.abs(e).max(1) + 1)[:, None]  # and rounding
+        return middle - half, middle + half
+
+    def score(self, q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        largest = int(max(abs(int(q.max())), abs(int(q.min())))) * int(max(abs(int(v.max())), abs(int(v.min())))) * len(q)
+        if largest < 1 << 52:
+            s = (v.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        elif largest < _LIMB:
+            s = v @ q
+        else:
+            s = v.astype(object) @ q.astype(object)
+        return s.astype(np.float64), np.stack([s // _LIMB // _LIMB, s // _LIMB % _LIMB, s % _LIMB]).astype(np.int64)
+
+    def bar(self):
+        """A score in double precision, or a little less."""
+        return F.col("score") - F.abs("score") * 1e-12 - 1
+
+
+def cells(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Edges of cells, (components, CELLS + 1): quantiles of the sample between the least and the greatest value of all."""
+    inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0, method="inverted_cdf").T
+    return np.concatenate([low[:, None], np.clip(inner, low[:, None], high[:, None]), high[:, None]], 1)
 
 
 def top(df: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``, the k largest integer inner
-    products with all others, over components floor(scale * x), ties to the smaller id.
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k largest integer inner
+    products with all other rows, over components floor(scale * x), ties to the smaller id.
 
-    Vectors that are null, empty or hold a null, NaN or infinite component take no part, nor do null ids, vectors of
-    another length than most, and components of 2^24 and more after scaling. Equal rows count once; rows with the query's
-    id are its own. Fewer than k candidates are all returned; an empty table gives no rows.
+    Vectors that are null, empty or hold a null, NaN or infinite component take no part, nor do null ids. A query's
+    candidates are the vectors of its length, as there is no inner product with others. Equal rows are candidates each,
+    and rows that share an id with different vectors are searched each. Fewer than k candidates are all returned; an empty
+    table gives no rows. Whole components beyond 64 bits count as the largest such number; scores are ranked exactly
+    whatever their size, and those beyond 64 bits are shown as the largest such number.
     """
-    whole = blocks.sound(df, id_col, vector, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    rows = keep(whole.where(F.forall("v", lambda x: F.abs(x) < LARGEST)).dropDuplicates(["vec_id", "v"]), "vectors")
-    ends = rows.mapInPandas(partial(blocks.partial_sums, lambda v: {"a": v.min(0), "b": v.max(0)}), "i int, a double, b double")
-    ends = ends.groupBy("i").agg(F.min("a"), F.max("b")).orderBy("i").collect()  # one row for each dimension
-    low = np.array([r[1] for r in ends] or [0.0])
-    width = np.array([(r[2] - r[1] + 1) / CELLS for r in ends] or [1.0])
-    data = blocks.packed(blocks.fewest(rows, k), blocks.ROWS, partial(_approx, low, width), "<i4")
-    queries = blocks.packed(rows.where(F.col("vec_id") % every == 0), blocks.QUERIES, lambda v: b"", "<i4")
-    return blocks.search(data, queries, partial(_search, k, low, width), k, "score_long")
+    whole = blocks.sound(df, id_col, vector, zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    rows = keep(whole, "vectors")
+    known = blocks.ends(rows)
+    sample = blocks.sampled(rows, {d: x[0] for d, x in known.items()})
+    edges = {d: cells(sample.get(d, np.stack(x[1:3])), x[1], x[2]) for d, x in known.items()}
+    found = blocks.search(rows, known, sample, every, Cells(edges), k)
+    # between -2 x 2^62 and 2 x 2^62 a score has 64 bits
+    far = F.when((F.col("top") > 0) | (F.col("top") == 0) & (F.col("high") > 1), F.lit(2**63 - 1)).when((F.col("top") < -1) | (F.col("top") == -1) & (F.col("high") < _LIMB - 2), F.lit(-(2**63)))
+    score = F.coalesce(far, F.shiftleft(F.when(F.col("top") == 0, F.col("high")).otherwise(F.col("high") - F.lit(_LIMB)), 62) + F.col("low"))
+    return found.select("query_id", "rank", "vec_id", score.alias("score"))
