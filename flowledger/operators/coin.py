@@ -8,16 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
+from flowledger.functions.order import quantiles
 from flowledger.operators.cleaning import grid_fill
 
 PAIR = ["coin_id", "wallet_address"]
 
 
 def classify_cohort(ledger: DataFrame, min_inflows: float, max_inflows: float, profit_win: float, return_win: float, min_wins: int) -> DataFrame:
-    """Wallets with inflows in the range: assets, profits, wins (last profit and last profit over inflow both reach their
-    limits; without an inflow there is no return), and whether they are in the cohort."""
-    pair = ledger.groupBy("wallet_address", "coin_id").agg(F.max_by("profits_cumulative", "date").alias("p"), F.max_by("usd_inflows_cumulative", "date").alias("i"))
-    win = (F.col("p") >= profit_win) & (F.try_divide(F.col("p"), F.col("i")) >= return_win)
+    """Wallets whose inflows, summed over rows, are in the range: assets, profits, wins, and whether they are in the cohort.
+
+    A pair wins if its last profit and its last return reach their limits. A row's return is the profit so far over that
+    row's own inflow: without an inflow a profit is beyond every limit, a loss below, and 0 is no return at all.
+    """
+    p, i = F.col("profits_cumulative"), F.col("usd_inflows")
+    ret = F.when(i != 0, p / i).when(p > 0, float("inf")).when(p < 0, float("-inf"))
+    pair = ledger.groupBy("wallet_address", "coin_id").agg(F.max_by(p, "date").alias("p"), F.sum(i).alias("i"), F.max_by(ret, F.when(ret.isNotNull(), F.col("date"))).alias("r"))
+    win = (F.col("p") >= profit_win) & (F.col("r") >= return_win)
     w = pair.groupBy("wallet_address").agg(F.sum("i").alias("total_inflows"), F.count("*").alias("total_coins"), F.count_if(win).alias("winning_coins"), F.sum("p").alias("total_profits"))
     w = w.where(F.col("total_inflows").between(min_inflows, max_inflows))
     return w.withColumns({"return_rate": expr.try_ratio("total_profits", "total_inflows"), "in_cohort": F.col("winning_coins") >= min_wins})
@@ -57,7 +63,7 @@ def facts(meta: DataFrame, chains: Sequence[str], word: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, cuts: Sequence[float]) -> list[float]:
     """Exact quantiles, for a few cuts."""
-    return list(df.agg(F.percentile(column, F.array(*map(F.lit, cuts))).alias("q")).first()["q"] or [])
+    return quantiles(df, [column], cuts).get(column, [])
 
 
 def quantile_labels(cuts: Sequence[float]) -> list[str]:
@@ -170,7 +176,7 @@ def with_parent(pairs: DataFrame, wallets: DataFrame, prefix: str = "cw_") -> Da
 
 def quantile_index(df: DataFrame, column: str, n: int, out: str) -> DataFrame:
     """1-based bucket of equal counts; where quantile edges coincide, of equal width."""
-    r = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("q")).first()["q"]
+    r = quantiles(df, [column], [i / n for i in range(n + 1)]).get(column)
     if not r:
         return df.withColumn(out, F.lit(None).cast("int"))
     edges = r[1:-1] if len(set(r)) == n + 1 else [r[0] + (r[-1] - r[0]) * i / n for i in range(1, n)]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
-from flowledger.functions.order import pct_rank, winsorize
+from flowledger.functions.order import pct_rank, quantiles, running, winsorize
 
 
 def regression(df: DataFrame, y: str = "actual", p: str = "score") -> DataFrame:
@@ -36,8 +36,7 @@ def classification(df: DataFrame, threshold: float, y: str = "actual", p: str =
 def _by_score(df: DataFrame, y: str, p: str) -> DataFrame:
     """Counts of each distinct score with running totals from the highest down."""
     g = df.groupBy(F.col(p).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    return running(g, "score", [], {"tp": "pos", "fp": "neg"}, "_k").drop("_k")
 
 
 def roc_auc(df: DataFrame, y: str = "actual", p: str = "score") -> DataFrame:
@@ -65,7 +64,7 @@ def f_beta(df: DataFrame, betas: Sequence[float] = (0.1, 0.25, 0.5, 1.0, 2.0), y
 
 def score_cuts(df: DataFrame, threshold: float, ret: str = "actual_return", p: str = "score", cutoff: float = 0.005) -> DataFrame:
     """(cut, n, mean_return, mean_winsorized) for the top 1 % and 5 %, the five highest, and the threshold."""
-    q = df.agg(F.percentile(p, F.array(F.lit(0.99), F.lit(0.95))).alias("q")).first()["q"]
+    q = quantiles(df, [p], [0.99, 0.95])[p]
     rows = winsorize(df.withColumn("_w", F.col(ret)), ["_w"], cutoff)
     five = rows.orderBy(F.desc(p), "wallet_address", "coin_id").limit(5).withColumn("cut", F.lit("top5"))
     parts = [rows.where(F.col(p) >= v).withColumn("cut", F.lit(n)) for n, v in (("top1pct", q[0]), ("top5pct", q[1]), ("threshold", threshold))]
@@ -83,7 +82,7 @@ def step_buckets(df: DataFrame, step: float = 0.05, ret: str = "actual_return",
 def rank_buckets(df: DataFrame, n: int, column: str = "score", out: str = "bucket") -> DataFrame:
     """Buckets with equal counts as quantile edges give them, 1 the best; equal edges are dropped."""
     cuts = [i / n for i in range(1, n)]
-    edges = sorted(set(df.agg(F.percentile(column, F.array(*map(F.lit, cuts))).alias("q")).first()["q"] or []))
+    edges = sorted(set(quantiles(df, [column], cuts).get(column, [])))
     below = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column))) if edges else F.lit(0)
     return df.withColumn(out, F.when(F.col(column).isNotNull(), F.lit(len(edges) + 1) - below))
 
@@ -124,7 +123,7 @@ def chi_square_p(x: float | None) -> float | None:
 
 def subpopulations(df: DataFrame, columns: Sequence[str], n: int, y: str = "actual", least: int = 5) -> DataFrame:
     """(feature, bin): size, positives, lift and chi-square with Yates's correction against all other rows."""
-    edges = {c: df.agg(F.percentile(c, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q")).first()["q"] for c in columns}
+    edges = quantiles(df, columns, [i / n for i in range(1, n)])
     b = [F.struct(F.lit(c).alias("feature"), (_passed(edges[c], c, False) + 1).alias("bin")) for c in columns]
     g = df.select(F.explode(F.array(*b)).alias("x"), (F.col(y) == 1).alias("p")).groupBy("x.feature", "x.bin").agg(F.count("*").alias("n"), F.count_if("p").alias("pos"))
     t = df.agg(F.count("*").alias("tn"), F.count_if(F.col(y) == 1).alias("tp"))
@@ -209,37 +208,45 @@ def t_tail(t: float, freedom: int) -> float:
 
 def tiers(df: DataFrame, ret: str, metrics: Sequence[str], top: float = 0.75, next_: float = 0.5) -> DataFrame:
     """Means of the metrics in the top, next and bottom part by return."""
-    q = df.agg(F.percentile(ret, F.array(F.lit(top), F.lit(next_))).alias("q")).first()["q"]
+    q = quantiles(df, [ret], [top, next_])[ret]
     tier = F.when(F.col(ret) >= q[0], "top").when(F.col(ret) >= q[1], "next").otherwise("bottom")
     return df.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.avg(ret).alias("mean_return"), *[F.avg(m).alias(f"{m}_mean") for m in metrics])
 
 
 def metric_segments(df: DataFrame, metrics: Sequence[str], n: int, ret: str) -> DataFrame:
     """(metric, segment): returns in n quantile segments, lower edges included and the last one closed."""
-    edges = {m: df.agg(F.percentile(m, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q")).first()["q"] for m in metrics}
+    edges = quantiles(df, metrics, [i / n for i in range(1, n)])
     s = [F.struct(F.lit(m).alias("metric"), (_passed(edges[m], m, True) + 1).alias("segment")) for m in metrics]
     return df.select(ret, F.explode(F.array(*s)).alias("x")).groupBy("x.metric", "x.segment").agg(F.count("*").alias("n"), F.avg(ret).alias("mean_return"))
 
 
-def running_profit(df: DataFrame, p: str, ret: str, keys: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """By rank: return gathered in the order of the predictions over return gathered in the best order, 0 where that is 0.
+def running_profit(df: DataFrame, p: str, ret: str, keys: Sequence[str], groups: Sequence[str] = (), cutoff: float = 0.0) -> DataFrame:
+    """By rank: return gathered in the order of the predictions over return gathered in the best order, 0 where that is 0;
+    returns are winsorized at ``cutoff``. With ``groups`` (a time window) each is ranked alone, as one task's window."""
+    rows = winsorize(df.withColumn("_ret", F.col(ret)), ["_ret"], cutoff) if cutoff else df.withColumn("_ret", F.col(ret))
+    rows = rows.select(*groups, *keys, F.col(p).alias("_pred"), "_ret")
 
-    Frames are one row per asset or pair of a back-test; with ``groups`` (a time window) each is ranked alone."""
-    g = list(groups) or [F.lit(0)]
-    a = df.select(*groups, F.row_number().over(Window.partitionBy(*g).orderBy(F.desc(p), *keys)).alias("k"), F.col(ret).alias("x"))
-    b = df.select(*groups, F.row_number().over(Window.partitionBy(*g).orderBy(F.desc(ret), *keys)).alias("k"), F.col(ret).alias("y"))
-    w = Window.partitionBy(*g).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.join(b, [*groups, "k"]).withColumns({"model": F.sum("x").over(w), "best": F.sum("y").over(w)})
+    def gathered(column: str, name: str) -> DataFrame:
+        if not groups:
+            return running(rows, column, keys, {name: "_ret"}, "k").select("k", name)
+        w = Window.partitionBy(*groups).orderBy(F.desc(column), *keys)
+        return rows.select(*groups, F.row_number().over(w).alias("k"), F.sum("_ret").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+
+    both = gathered("_pred", "model").join(gathered("_ret", "best"), [*groups, "k"])
     return both.select(*groups, "k", "model", "best", expr.ratio("model", "best").alias("profitability"))
 
 
-def profit_auc(df: DataFrame, p: str, ret: str, keys: Sequence[str], share: float) -> DataFrame:
-    """One row: area by trapezoids under the running profitability of the top share."""
+def profit_auc(df: DataFrame, p: str, ret: str, keys: Sequence[str], share: float = 1.0, cutoff: float = 0.0, downside: bool = False) -> DataFrame:
+    """One row: area by trapezoids under the running profitability of the top share; ``downside`` turns predictions and
+    returns around. The inner ranks count whole and the two ends half, so no row needs its neighbour."""
+    if downside:
+        df = df.withColumn(p, 1 - F.col(p)).withColumn(ret, -F.col(ret))
     n = int(df.count() * share)
-    r = running_profit(df, p, ret, keys).where(F.col("k") <= n)
-    w = Window.partitionBy(F.lit(0)).orderBy("k")
-    r = r.withColumn("area", (F.col("profitability") + F.lag("profitability").over(w)) / 2)
-    return r.agg(F.try_divide(F.sum("area"), F.lit(float(max(n - 1, 0)))).alias("profit_auc"))
+    if n < 2:
+        raise ValueError("an area needs two rows at least")
+    r = running_profit(df, p, ret, keys, cutoff=cutoff).where(F.col("k") <= n)
+    weight = F.when(F.col("k").isin(1, n), 0.5).otherwise(1.0)
+    return r.agg((F.sum(F.col("profitability") * weight) / (n - 1)).alias("profit_auc"))
 
 
 def quartiles(df: DataFrame, column: str, cohorts: Mapping[str, Column]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from flowledger.functions.order import recurrence
+
 
 def over(key: str = "coin_id") -> WindowSpec:
     return Window.partitionBy(key).orderBy("date")
@@ -20,28 +22,21 @@ def sma(c: str, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(c).over(_rows(w, n)) == n, F.avg(c).over(_rows(w, n)))
 
 
-def ema(c: str, n: int, w: WindowSpec) -> Column:
-    """Recursive average with weight 2 / (n + 1), NULL for the first n - 1 rows.
-
-    Closed form over the running list of values: a fold, since each value depends on the one before.
-    """
-    a = 2.0 / (n + 1)
-    values = F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fold = F.aggregate(values, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(acc * (1 - a) + x * a))
-    return F.when(F.row_number().over(w) >= n, fold)
+def emas(df: DataFrame, spec: Mapping[str, tuple[str, int]], key: str = "coin_id") -> DataFrame:
+    """``df`` with recursive averages, {new column: (column, n)}: weight 2 / (n + 1), NULL for a key's first n - 1 rows and
+    before its first value. A missing value leaves the average as it is."""
+    w, steps, shown = over(key), {}, {}
+    for out, (c, n) in spec.items():
+        a, x = 2.0 / (n + 1), F.col(c).cast("double")
+        first = F.coalesce(F.first(x, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
+        add = F.when(F.row_number().over(w) == 1, first).when(x.isNull(), 0.0).otherwise(x * a)
+        steps[out] = (F.when(x.isNull(), 1.0).otherwise(1 - a), add)
+        shown[out] = F.when((F.row_number().over(w) >= n) & (F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0), F.col(out))
+    return recurrence(df, [key], "date", steps).withColumns(shown)
 
 
 def ema_table(df: DataFrame, c: str, n: int, out: str, key: str = "coin_id") -> DataFrame:
-    """The same for long series: each key's rows are folded once, linear in their number."""
-    a = 2.0 / (n + 1)
-    rest = [x for x in df.columns if x not in (key, "date", c)]
-    rows = F.sort_array(F.collect_list(F.struct("date", F.col(c).cast("double").alias("v"), *rest)))
-    got = df.groupBy(key).agg(rows.alias("rows"))
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("all"))
-    step = lambda s, r: F.named_struct(F.lit("e"), F.coalesce(s["e"] * (1 - a) + r["v"] * a, r["v"]), F.lit("all"), F.concat(s["all"], F.array(F.coalesce(s["e"] * (1 - a) + r["v"] * a, r["v"]))))
-    folded = got.withColumn("emas", F.aggregate("rows", start, step)["all"])
-    flat = folded.select(key, F.posexplode(F.arrays_zip("rows", "emas")).alias("i", "z"))
-    return flat.select(key, "z.rows.date", F.col("z.rows.v").alias(c), *[f"z.rows.{x}" for x in rest], F.when(F.col("i") >= n - 1, F.col("z.emas")).alias(out))
+    return emas(df, {out: (c, n)}, key)
 
 
 def rsi(c: str, n: int, w: WindowSpec) -> Column:
@@ -63,13 +58,13 @@ def with_change(df: DataFrame, c: str, w: WindowSpec) -> DataFrame:
 
 
 def mfi(df: DataFrame, price: str, volume: str, n: int, out: str, key: str = "coin_id") -> DataFrame:
-    """Ratio of rolling inflow to outflow; 100 without outflow, carried over 0/0, at first 0.5."""
+    """Money flow index, 100 - 100 / (1 + rolling inflow / outflow): 100 without outflow, carried over 0/0, at first 0.5."""
     w = over(key)
     flow = F.col(price) * F.col(volume)
     d = F.col(price) - F.lag(price).over(w)
     rows = df.withColumn("_p", F.when(d > 0, flow).otherwise(0.0)).withColumn("_n", F.when(d < 0, flow).otherwise(0.0))
     pos, neg = F.sum("_p").over(_rows(w, n)), F.sum("_n").over(_rows(w, n))
-    raw = F.when(F.row_number().over(w) >= n, F.when((neg == 0) & (pos > 0), 100.0).otherwise(F.try_divide(pos, neg)))
+    raw = F.when(F.row_number().over(w) >= n, F.when((neg == 0) & (pos > 0), 100.0).otherwise(100 - 100 / (1 + F.try_divide(pos, neg))))
     rows = rows.withColumn("_m", raw)
     return rows.withColumn(out, F.coalesce(F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.5))).drop("_p", "_n", "_m")
 
@@ -103,6 +98,8 @@ def generate(df: DataFrame, spec: Mapping[str, Mapping[str, Mapping]], key: str
     for c, kinds in spec.items():
         if "rsi" in kinds:
             df = with_change(df, c, w)
+    averages = {f"{c}_ema_{n}": (c, n) for c, kinds in spec.items() for n in kinds.get("ema", {}).get("window", [])}
+    df = emas(df, averages, key) if averages else df
     new = {}
     for c, kinds in spec.items():
         for kind, args in kinds.items():
@@ -110,6 +107,6 @@ def generate(df: DataFrame, spec: Mapping[str, Mapping[str, Mapping]], key: str
                 name = f"{c}_{kind}_{n}"
                 if kind.startswith("bollinger_"):
                     new[name] = bollinger(c, n, args.get("num_std", 2), kind.removeprefix("bollinger_"), w)
-                else:
-                    new[name] = {"sma": sma, "ema": ema, "rsi": rsi}[kind](c, n, w)
+                elif kind != "ema":
+                    new[name] = {"sma": sma, "rsi": rsi}[kind](c, n, w)
     return df.withColumns(new).drop(*[f"_d_{c}" for c in spec])

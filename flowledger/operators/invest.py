@@ -42,19 +42,22 @@ def epoch_metrics(rows: DataFrame, cutoff: float) -> DataFrame:
     return r.groupBy("epoch").agg(F.count("*").alias("n_all"), F.avg("_w").alias("mean_all"), F.median("_w").alias("median_all"), F.count(b).alias("n_bought"), F.avg(b).alias("mean_bought"), F.median(b).alias("median_bought"), F.max(b).alias("max_bought"))
 
 
-def cycles(rows: DataFrame, thresholds: Sequence[float], cutoff: float) -> DataFrame:
-    """(threshold, epoch): mean return of the assets scored at least so high, winsorized over all epochs; epochs without any
-    stay, with NULL."""
+def cycles(rows: DataFrame, thresholds: Sequence[float], cutoff: float = 0.005) -> DataFrame:
+    """(threshold, epoch): count, mean and median return of all assets and of those scored at least so high, winsorized over
+    all epochs; epochs without any stay, with NULL."""
     r = winsorize(rows.withColumn("_w", F.col("coin_return")), ["_w"], cutoff)
     t = r.select("epoch", "score", "_w", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     pick = F.when(F.col("score") >= F.col("threshold"), F.col("_w"))
-    return t.groupBy("threshold", "epoch").agg(F.count(pick).alias("n"), F.avg(pick).alias("mean_return"))
+    return t.groupBy("threshold", "epoch").agg(
+        F.count("_w").alias("n_all"), F.avg("_w").alias("mean_return_all"), F.median("_w").alias("median_return_all"), F.count(pick).alias("n"), F.avg(pick).alias("mean_return"), F.median(pick).alias("median_return"),
+    )
 
 
 def lifetime(cycles_: DataFrame) -> DataFrame:
-    """(threshold): returns of all epochs compounded, an epoch without picks as 0."""
-    g = cycles_.groupBy("threshold").agg(F.product(1 + F.coalesce("mean_return", F.lit(0.0))).alias("p"), F.sum("n").alias("coins"), F.count_if(F.col("n") > 0).alias("epochs_invested"))
-    return g.select("threshold", (F.col("p") - 1).alias("lifetime_return"), "coins", "epochs_invested")
+    """(threshold): returns of all epochs compounded, for all assets and for those picked, an epoch without picks as 0."""
+    product = lambda c: F.product(1 + F.coalesce(c, F.lit(0.0)))
+    g = cycles_.groupBy("threshold").agg(product("mean_return_all").alias("a"), product("mean_return").alias("p"), F.sum("n").alias("coins"), F.count_if(F.col("n") > 0).alias("epochs_invested"))
+    return g.select("threshold", (F.col("a") - 1).alias("lifetime_return_all"), (F.col("p") - 1).alias("lifetime_return"), "coins", "epochs_invested")
 
 
 def score_metrics(scores: DataFrame) -> DataFrame:

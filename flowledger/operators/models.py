@@ -19,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.functions.order import winsorize
+from flowledger.functions.order import quantiles, winsorize
 from flowledger.operators import evaluate, targets
 
 
@@ -166,7 +166,7 @@ class ReturnEvaluator(Evaluator):
 
     def _evaluate(self, df: DataFrame) -> float:
         rows = winsorize(df.withColumn("_w", F.col(self.ret)), ["_w"], self.cutoff)
-        cut = self.above if self.above is not None else rows.agg(F.percentile(self.p, 1 - self.share)).first()[0]
+        cut = self.above if self.above is not None else quantiles(rows, [self.p], [1 - self.share]).get(self.p, [None])[0]
         got = rows.where(F.col(self.p) >= cut).agg(F.avg("_w")).first()[0]
         return float(got) if got is not None else float("-inf")
 

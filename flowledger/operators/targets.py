@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import date, timedelta
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,20 +188,60 @@ def sameness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return top.crossJoin(df.agg(F.count("*").alias("rows"))).select("column", (F.col("n") / F.col("rows")).alias("share"))
 
 
-def low_variance(df: DataFrame, columns: Sequence[str], limit: float, protected: Sequence[str] = ()) -> list[str]:
-    """Columns whose variance relative to the mean's square is at most the limit; prefixes in ``protected`` stay."""
-    v = df.agg(*[F.struct(F.var_samp(c), F.avg(c)).alias(c) for c in columns]).first()
-    return [c for c in columns if not c.startswith(tuple(protected)) and (v[c][0] is None or v[c][0] <= limit)]
+def low_variance(df: DataFrame, columns: Sequence[str], limit: float, protected: Sequence[str] = (), scaled: bool = True) -> list[str]:
+    """Columns whose variance is at most the limit; prefixes in ``protected`` stay. ``scaled`` takes the variance of the
+    values in units of their own deviation (about 1, and none for a constant column), else of the values as they are.
+    Columns without a variance stay."""
+    v = df.agg(*[F.struct(F.var_samp(c), F.var_pop(c)).alias(c) for c in columns]).first()
+    seen = {c: (v[c][0] / v[c][1] if v[c][1] else None) if scaled and v[c][0] is not None else v[c][0] for c in columns}
+    return [c for c in columns if not c.startswith(tuple(protected)) and seen[c] is not None and seen[c] <= limit]
+
+
+#: Columns on each side of a block of sums of products.
+SIDE = 128
+
+
+def _products(columns: list[str], middle: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By block of column pairs, over rows where both are there: their number, sums of both, of squares and of products."""
+    n = len(columns)
+    total = np.zeros((4, n, n))
+    for pdf in batches:
+        x = pdf[columns].to_numpy(np.float64) - middle
+        there = ~np.isnan(x)
+        x, m = np.where(there, x, 0.0), there.astype(np.float64)
+        total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+    for i in range(0, n, SIDE):
+        for j in range(0, n, SIDE):
+            yield pd.DataFrame({"i": [i], "j": [j], "sums": [total[:, i : i + SIDE, j : j + SIDE].tobytes()]})
+
+
+def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": [key[0]], "j": [key[1]], "sums": [sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()]})
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation of each pair of columns over the rows where both are there, NaN without two of them or a spread. Two
+    passes: means, then sums of products, which Spark adds up by block of columns."""
+    n = len(columns)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    middle = np.array([x or 0.0 for x in rows.agg(*[F.avg(c) for c in rows.columns]).first()])
+    parts = rows.mapInPandas(partial(_products, rows.columns, middle), "i int, j int, sums binary").groupBy("i", "j").applyInPandas(_added, "i int, j int, sums binary")
+    total = np.zeros((4, n, n))
+    for r in parts.toLocalIterator():
+        i, j = r["i"], r["j"]
+        total[:, i : i + SIDE, j : j + SIDE] = np.frombuffer(r["sums"]).reshape(4, min(SIDE, n - i), -1)
+    count, one, square, product = total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = square - one * one / count
+        return np.where(count > 1, (product - one * one.T / count) / np.sqrt(spread * spread.T), np.nan)
 
 
 def correlated(df: DataFrame, columns: Sequence[str], limit: float, protected: Sequence[str] = ()) -> list[str]:
-    """Columns that correlate beyond the limit with one before them, over rows where both are there."""
-    pairs = [(a, b) for i, b in enumerate(columns) for a in columns[:i]]
-    if not pairs:
-        return []
-    r = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-    gone = {b for i, (a, b) in enumerate(pairs) if r[f"r{i}"] is not None and abs(r[f"r{i}"]) > limit}
-    return [c for c in columns if c in gone and not c.startswith(tuple(protected))]
+    """Columns that correlate beyond the limit with one before them; prefixes in ``protected`` stay."""
+    r = np.abs(correlations(df, columns)) if len(columns) > 1 else np.zeros((1, 1))
+    return [c for i, c in enumerate(columns) if not c.startswith(tuple(protected)) and (r[i, :i] > limit).any()]
+
+
 
 
 def wallet_targets(cohort: DataFrame, features: DataFrame) -> DataFrame:

@@ -23,11 +23,12 @@ def j02_j03_left_joins(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.join(f, "c_custkey", "left").na.fill(0, ["n", "total"]).join(p, "c_custkey", "left"), 2)
 
 
-@query("""SELECT coalesce(a.coin_id, b.coin_id) AS coin_id, a.n AS opened, b.n AS closed FROM (SELECT event_type AS coin_id, count(*) AS n FROM events WHERE user_id = 3 GROUP BY 1) a FULL JOIN (SELECT event_type AS coin_id, count(*) AS n FROM events WHERE user_id = 7 AND value > 40 GROUP BY 1) b ON a.coin_id = b.coin_id""")
+@query(Q("ledger market", "SELECT wallet_address, date, b.n AS bought, s.n AS sold FROM (SELECT wallet_address, date, count(*) AS n FROM ledger WHERE usd_net_transfers > 0 GROUP BY 1, 2) b FULL JOIN (SELECT wallet_address, date, count(*) AS n FROM ledger WHERE usd_net_transfers < 0 GROUP BY 1, 2) s USING (wallet_address, date)"))
 def j04_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    e = v.table(spark, d, "events").withColumnRenamed("event_type", "coin_id")
-    n = lambda x, name: x.groupBy("coin_id").agg(F.count("*").alias(name))
-    return n(e.where("user_id = 3"), "opened").join(n(e.where("user_id = 7 and value > 40"), "closed"), "coin_id", "outer")
+    """Buys and sales of each wallet and day, either of which may be missing."""
+    led = v.ledger(spark, d)
+    n = lambda x, name: x.groupBy("wallet_address", "date").agg(F.count("*").alias(name))
+    return n(led.where("usd_net_transfers > 0"), "bought").join(n(led.where("usd_net_transfers < 0"), "sold"), ["wallet_address", "date"], "outer")
 
 
 @query(Q("ledger macro", "SELECT wallet_address, total_value, users FROM (SELECT DISTINCT wallet_address FROM ledger), (SELECT avg(total_value) AS total_value, max(users) AS users FROM macro)", "total_value"))

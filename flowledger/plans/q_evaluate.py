@@ -158,17 +158,34 @@ def x22_metric_segments(spark: SparkSession, d: str) -> DataFrame:
 RUN = PARTS + """, a AS (SELECT row_number() OVER (ORDER BY size DESC, coin_id) AS k, ret AS x FROM pt), b AS (SELECT row_number() OVER (ORDER BY ret DESC, coin_id) AS k, ret AS y FROM pt), rp AS (SELECT k, sum(x) OVER (ORDER BY k) AS model, sum(y) OVER (ORDER BY k) AS best FROM a JOIN b USING (k))"""
 
 
-@query(Q("", "SELECT k, model, best, CASE WHEN abs(best) < 1e-9 THEN NULL ELSE model / best END AS profitability FROM rp WHERE k <= 1000", "model best profitability", RUN))
+@query(Q("", "SELECT k, model, best, CASE WHEN best = 0 THEN 0 ELSE model / best END AS profitability FROM rp", "model best profitability", RUN))
 def x23_running_profit(spark: SparkSession, d: str) -> DataFrame:
-    r = evaluate.running_profit(parts(spark, d), "size", "ret", ["coin_id"]).where("k <= 1000")
-    return rounded(r)
+    return rounded(evaluate.running_profit(parts(spark, d), "size", "ret", ["coin_id"]))
 
 
-@query(Q("", "SELECT sum((p + q) / 2) / 399 AS profit_auc FROM (SELECT model / best AS p, lag(model / best) OVER (ORDER BY k) AS q FROM rp WHERE k <= 400)", "profit_auc", RUN))
+AREA = "SELECT sum((p + q) / 2) / (max(k) - 1) AS profit_auc FROM (SELECT k, model / best AS p, lag(model / best) OVER (ORDER BY k) AS q FROM rp WHERE k <= CAST(floor((SELECT count(*) FROM pt) * {share}) AS BIGINT))"
+
+
+@query(Q("", AREA.format(share=0.2), "profit_auc", RUN))
 def x23_profit_auc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.profit_auc(parts(spark, d), "size", "ret", ["coin_id"], 0.2))
 
 
+@query(Q("", AREA.format(share=0.5), "profit_auc", PARTS + WINSOR.format(q=0.01, t="pt", c="ret") + """, a AS (SELECT row_number() OVER (ORDER BY size DESC, coin_id) AS k, least(greatest(ret, lo), hi) AS x FROM pt, ee), b AS (SELECT row_number() OVER (ORDER BY least(greatest(ret, lo), hi) DESC, coin_id) AS k, least(greatest(ret, lo), hi) AS y FROM pt, ee), rp AS (SELECT k, sum(x) OVER (ORDER BY k) AS model, sum(y) OVER (ORDER BY k) AS best FROM a JOIN b USING (k))"""))
+def x23_winsorized_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.profit_auc(parts(spark, d), "size", "ret", ["coin_id"], 0.5, cutoff=0.01))
+
+
+@query(Q("", AREA.format(share=0.2), "profit_auc", PARTS + """, a AS (SELECT row_number() OVER (ORDER BY 1 - size DESC, coin_id) AS k, -ret AS x FROM pt), b AS (SELECT row_number() OVER (ORDER BY -ret DESC, coin_id) AS k, -ret AS y FROM pt), rp AS (SELECT k, sum(x) OVER (ORDER BY k) AS model, sum(y) OVER (ORDER BY k) AS best FROM a JOIN b USING (k))"""))
+def x23_downside_auc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.profit_auc(parts(spark, d), "size", "ret", ["coin_id"], 0.2, downside=True))
+
+
+@query(Q("", "SELECT segment, k, model, best, CASE WHEN best = 0 THEN 0 ELSE model / best END AS profitability FROM (SELECT segment, k, sum(x) OVER (PARTITION BY segment ORDER BY k) AS model, sum(y) OVER (PARTITION BY segment ORDER BY k) AS best FROM (SELECT segment, ret AS x, row_number() OVER (PARTITION BY segment ORDER BY size DESC, coin_id) AS k FROM pt) JOIN (SELECT segment, ret AS y, row_number() OVER (PARTITION BY segment ORDER BY ret DESC, coin_id) AS k FROM pt) USING (segment, k))", "model best profitability", PARTS, 5))
+def x24_curves_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.running_profit(parts(spark, d), "size", "ret", ["coin_id"], ["segment"]), 5)
+
+
 #: Epochs of the back-test: scores shift by epoch.
 EPOCHS = ["2024-01-06", "2024-01-11", "2024-01-16", "2024-01-21"]
 EPOCH_SCORES = """ep(epoch, i) AS (VALUES (DATE '2024-01-06', 0), (DATE '2024-01-11', 1), (DATE '2024-01-16', 2), (DATE '2024-01-21', 3)), es AS (SELECT epoch, wallet_address, coin_id, CAST((wallet_address * 7919 + length(coin_id) * 104729 + i * 313) % 1000 AS DOUBLE) / 1000 AS score FROM scores, ep),
@@ -202,15 +219,15 @@ def b04_epoch_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(invest.epoch_metrics(bought(spark, d), 0.25))
 
 
-CYCLES = EPOCH_SCORES + WINSOR.format(q=0.05, t="by_", c="coin_return") + """, cy AS (SELECT threshold, epoch, count(*) FILTER (score >= threshold) AS n, avg(least(greatest(coin_return, lo), hi)) FILTER (score >= threshold) AS mean_return FROM by_, ee, (VALUES (0.4::DOUBLE), (0.5), (0.6)) t(threshold) GROUP BY 1, 2)"""
+CYCLES = EPOCH_SCORES + WINSOR.format(q=0.05, t="by_", c="coin_return") + """, cy AS (SELECT threshold, epoch, count(*) AS n_all, avg(least(greatest(coin_return, lo), hi)) AS mean_return_all, median(least(greatest(coin_return, lo), hi)) AS median_return_all, count(*) FILTER (score >= threshold) AS n, avg(least(greatest(coin_return, lo), hi)) FILTER (score >= threshold) AS mean_return, median(least(greatest(coin_return, lo), hi)) FILTER (score >= threshold) AS median_return FROM by_, ee, (VALUES (0.4::DOUBLE), (0.5), (0.6)) t(threshold) GROUP BY 1, 2)"""
 
 
-@query(Q("market scores", "SELECT * FROM cy", "mean_return threshold", CYCLES))
+@query(Q("market scores", "SELECT * FROM cy", "mean_return_all median_return_all mean_return median_return threshold", CYCLES))
 def b05_cycles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(invest.cycles(bought(spark, d), [0.4, 0.5, 0.6], 0.05))
 
 
-@query(Q("market scores", "SELECT threshold, product(1 + coalesce(mean_return, 0)) - 1 AS lifetime_return, CAST(sum(n) AS BIGINT) AS coins, count(*) FILTER (n > 0) AS epochs_invested FROM cy GROUP BY 1", "threshold lifetime_return", CYCLES))
+@query(Q("market scores", "SELECT threshold, product(1 + mean_return_all) - 1 AS lifetime_return_all, product(1 + coalesce(mean_return, 0)) - 1 AS lifetime_return, CAST(sum(n) AS BIGINT) AS coins, count(*) FILTER (n > 0) AS epochs_invested FROM cy GROUP BY 1", "threshold lifetime_return_all lifetime_return", CYCLES))
 def b06_lifetime(spark: SparkSession, d: str) -> DataFrame:
     return rounded(invest.lifetime(invest.cycles(bought(spark, d), [0.4, 0.5, 0.6], 0.05)))
 

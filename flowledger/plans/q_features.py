@@ -47,7 +47,7 @@ def i03_ema(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.ema_table(v.market(spark, d).select("coin_id", "date", "price"), "price", 5, "price_ema_5"))
 
 
-@query(Q("market", """SELECT coin_id, date, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY coin_id ORDER BY date ROWS UNBOUNDED PRECEDING), 0.5) AS mfi FROM (SELECT coin_id, date, CASE WHEN row_number() OVER o >= 5 THEN CASE WHEN sum(n) OVER w = 0 AND sum(p) OVER w > 0 THEN 100 ELSE sum(p) OVER w / nullif(sum(n) OVER w, 0) END END AS m FROM (SELECT coin_id, date, CASE WHEN price > lag(price) OVER x THEN price * volume ELSE 0 END AS p, CASE WHEN price < lag(price) OVER x THEN price * volume ELSE 0 END AS n FROM market WINDOW x AS (PARTITION BY coin_id ORDER BY date)) WINDOW o AS (PARTITION BY coin_id ORDER BY date), w AS (PARTITION BY coin_id ORDER BY date ROWS 4 PRECEDING))""", "mfi"))
+@query(Q("market", """SELECT coin_id, date, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY coin_id ORDER BY date ROWS UNBOUNDED PRECEDING), 0.5) AS mfi FROM (SELECT coin_id, date, CASE WHEN row_number() OVER o >= 5 THEN CASE WHEN sum(n) OVER w = 0 AND sum(p) OVER w > 0 THEN 100 ELSE 100 - 100 / (1 + sum(p) OVER w / nullif(sum(n) OVER w, 0)) END END AS m FROM (SELECT coin_id, date, CASE WHEN price > lag(price) OVER x THEN price * volume ELSE 0 END AS p, CASE WHEN price < lag(price) OVER x THEN price * volume ELSE 0 END AS n FROM market WINDOW x AS (PARTITION BY coin_id ORDER BY date)) WINDOW o AS (PARTITION BY coin_id ORDER BY date), w AS (PARTITION BY coin_id ORDER BY date ROWS 4 PRECEDING))""", "mfi"))
 def i06_mfi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(indicators.mfi(v.market(spark, d).select("coin_id", "date", "price", "volume"), "price", "volume", 5, "mfi").select("coin_id", "date", "mfi"))
 
@@ -95,17 +95,17 @@ def j09_policy_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(flatten.join_by_policy(sets))
 
 
-@query(Q("ledger market", """SELECT *, total_profits / nullif(total_inflows, 0) AS return_rate, winning_coins >= 1 AS in_cohort FROM (SELECT wallet_address, sum(i) AS total_inflows, count(*) AS total_coins, count(*) FILTER (p >= 5 AND p / nullif(i, 0) >= 0.05) AS winning_coins, sum(p) AS total_profits FROM (SELECT coin_id, wallet_address, arg_max(profits_cumulative, date) AS p, arg_max(usd_inflows_cumulative, date) AS i FROM ledger GROUP BY 1, 2) GROUP BY 1) WHERE total_inflows BETWEEN 800 AND 1500""", "total_inflows total_profits return_rate"))
+@query(Q("ledger market", """SELECT *, total_profits / nullif(total_inflows, 0) AS return_rate, winning_coins >= 1 AS in_cohort FROM (SELECT wallet_address, sum(i) AS total_inflows, count(*) AS total_coins, count(*) FILTER (p >= 5 AND r >= 0.05) AS winning_coins, sum(p) AS total_profits FROM (SELECT coin_id, wallet_address, arg_max(profits_cumulative, date) AS p, sum(usd_inflows) AS i, arg_max(CASE WHEN usd_inflows <> 0 THEN profits_cumulative / usd_inflows WHEN profits_cumulative > 0 THEN 1e300 ELSE -1e300 END, date) FILTER (usd_inflows <> 0 OR profits_cumulative <> 0) AS r FROM ledger GROUP BY 1, 2) GROUP BY 1) WHERE total_inflows BETWEEN 800 AND 1500""", "total_inflows total_profits return_rate"))
 def c01_classify_cohort(spark: SparkSession, d: str) -> DataFrame:
     return rounded(coin.classify_cohort(v.ledger(spark, d), 800, 1500, 5, 0.05, 1))
 
 
 @query(Q("ledger market", """SELECT g.coin_id, g.date, coalesce(last_value(total_balance IGNORE NULLS) OVER w, 0) AS total_balance, coalesce(last_value(total_holders IGNORE NULLS) OVER w, 0) AS total_holders, coalesce(buyers_new, 0) AS buyers_new, coalesce(buyers_repeat, 0) AS buyers_repeat, coalesce(sellers_new, 0) AS sellers_new, coalesce(total_bought, 0) AS total_bought, coalesce(total_sold, 0) AS total_sold
     FROM (SELECT coin_id, CAST(x AS DATE) AS date FROM (SELECT DISTINCT coin_id FROM big), (SELECT unnest(generate_series((SELECT min(date) FROM big), DATE '2024-01-30', INTERVAL 1 DAY)) AS x)) g LEFT JOIN dy USING (coin_id, date) WINDOW w AS (PARTITION BY g.coin_id ORDER BY g.date ROWS UNBOUNDED PRECEDING)""", "total_balance total_holders buyers_new buyers_repeat sellers_new total_bought total_sold",
-    """big AS (SELECT * FROM ledger WHERE abs(usd_net_transfers) > 45), sq AS (SELECT *, count(*) FILTER (usd_net_transfers > 0) OVER w AS kb, count(*) FILTER (usd_net_transfers < 0) OVER w AS ks FROM big WINDOW w AS (PARTITION BY coin_id, wallet_address ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    """big AS (SELECT * FROM ledger), sq AS (SELECT *, count(*) FILTER (usd_net_transfers > 0) OVER w AS kb, count(*) FILTER (usd_net_transfers < 0) OVER w AS ks FROM big WINDOW w AS (PARTITION BY coin_id, wallet_address ORDER BY date ROWS UNBOUNDED PRECEDING)),
 dy AS (SELECT coin_id, date, sum(usd_balance) AS total_balance, count(DISTINCT wallet_address) AS total_holders, count(*) FILTER (usd_net_transfers > 0 AND kb = 1) AS buyers_new, count(*) FILTER (usd_net_transfers > 0 AND kb > 1) AS buyers_repeat, count(*) FILTER (usd_net_transfers < 0 AND ks = 1) AS sellers_new, sum(greatest(usd_net_transfers, 0.0)) AS total_bought, sum(greatest(-usd_net_transfers, 0.0)) AS total_sold FROM sq GROUP BY 1, 2)"""))
 def c02_activity(spark: SparkSession, d: str) -> DataFrame:
-    a = coin.activity(v.ledger(spark, d).where("abs(usd_net_transfers) > 45"), "2024-01-30")
+    a = coin.activity(v.ledger(spark, d), "2024-01-30")
     return rounded(a.select("coin_id", "date", "total_balance", "total_holders", "buyers_new", "buyers_repeat", "sellers_new", "total_bought", "total_sold"))
 
 
@@ -185,12 +185,12 @@ def g01_coin_performance(spark: SparkSession, d: str) -> DataFrame:
     return rounded(targets.coin_performance(v.market(spark, d), v.MODEL_START, v.MODEL_END))
 
 
-SERIES_RETURNS = """sr AS (SELECT strftime(date, '%Y-%m') AS coin_id, round(arg_max(price, date) / arg_min(price, date) - 1, 9) AS coin_return FROM series WHERE coin_id = '1-URGENT' GROUP BY 1)"""
+SERIES_RETURNS = """sr AS (SELECT coin_id || ' ' || strftime(date, '%Y-%m') AS coin_id, round(arg_max(price, date) / arg_min(price, date) - 1, 9) AS coin_return FROM series GROUP BY 1)"""
 
 
 def series_returns(spark: SparkSession, d: str) -> DataFrame:
-    s = v.series(spark, d).where("coin_id = '1-URGENT'")
-    return s.groupBy(F.date_format("date", "yyyy-MM").alias("coin_id")).agg(F.round(F.max_by("price", "date") / F.min_by("price", "date") - 1, 9).alias("coin_return"))
+    """The return of each series in each month, as an asset of its own."""
+    return v.series(spark, d).groupBy(F.concat_ws(" ", "coin_id", F.date_format("date", "yyyy-MM")).alias("coin_id")).agg(F.round(F.max_by("price", "date") / F.min_by("price", "date") - 1, 9).alias("coin_return"))
 
 
 @query(Q("series", """SELECT coin_id, coin_return, CAST(coin_return >= 0.5 OR (coin_return < 0.5 AND km <= CAST(floor((SELECT count(*) FROM sr) * 0.3) AS BIGINT) - (SELECT count(*) FROM sr WHERE coin_return >= 0.5)) AS INTEGER) AS is_moon, CAST(coin_return <= -0.5 OR kc <= CAST(floor((SELECT count(*) FROM sr) * 0.3) AS BIGINT) - (SELECT count(*) FROM sr WHERE coin_return <= -0.5) AS INTEGER) AS is_crater
@@ -249,6 +249,6 @@ def m09_m10_feature_selection(spark: SparkSession, d: str) -> DataFrame:
     """Columns that the selectors drop from the line items."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     li = v.table(spark, d, "lineitem").select(*cols)
-    low = targets.low_variance(li, cols, 0.01)
+    low = targets.low_variance(li, cols, 0.01, scaled=False)
     rest = [c for c in cols if c not in low]
     return spark.createDataFrame([(c, "low_variance") for c in low] + [(c, "correlated") for c in targets.correlated(li, rest, 0.0001)], "feature string, reason string")

@@ -97,9 +97,9 @@ def c14_quantile_index(spark: SparkSession, d: str) -> DataFrame:
     return coin.quantile_index(coin.quantile_index(s, "score", 4, "bucket"), "flag", 2, "flag_bucket").select("wallet_address", "coin_id", "bucket", "flag_bucket")
 
 
-@query(Q("ledger scores market", "SELECT p.coin_id, p.wallet_address, p.volume, coalesce(b.balance_end, 0) AS balance_end, ws FROM pm p LEFT JOIN (SELECT coin_id, wallet_address, max(usd_balance) FILTER (date = DATE '2024-01-20') AS balance_end FROM ledger WHERE wallet_address % 3 = 0 GROUP BY 1, 2) b USING (coin_id, wallet_address) LEFT JOIN (SELECT * FROM ws WHERE ws >= 0.5) w USING (wallet_address)", "volume balance_end ws", PAIRS))
+@query(Q("ledger scores market", "SELECT p.coin_id, p.wallet_address, p.volume, coalesce(b.balance_end, 0) AS balance_end, ws FROM pm p LEFT JOIN (SELECT coin_id, wallet_address, max(usd_balance) FILTER (date = DATE '2024-01-20') AS balance_end FROM ledger GROUP BY 1, 2) b USING (coin_id, wallet_address) LEFT JOIN (SELECT * FROM ws WHERE ws >= 0.5) w USING (wallet_address)", "volume balance_end ws", PAIRS))
 def c21_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    b = coin.pair_balances(v.ledger(spark, d).where("wallet_address % 3 = 0"), v.START, v.END).select("coin_id", "wallet_address", "balance_end")
+    b = coin.pair_balances(v.ledger(spark, d), v.START, v.END).select("coin_id", "wallet_address", "balance_end")
     w = segments(spark, d).where("ws >= 0.5").select("wallet_address", "ws")
     return rounded(coin.pair_metrics(b, pairs(spark, d).select("coin_id", "wallet_address", "volume"), w, ["ws"]))
 
@@ -120,9 +120,9 @@ def h05_coin_features_on_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(g.join(flatten.flatten(v.market(spark, d).where("coin_id <> 'click'"), {"price": {"aggregations": ["mean"]}}), "coin_id", "left").select("coin_id", "wallet_address", "n", "price_mean"))
 
 
-@query(Q("ledger market", "SELECT s.wallet_address, coalesce(t.total_volume, 0) AS total_volume, coalesce(t.net_gain, 0) AS net_gain FROM (SELECT DISTINCT wallet_address FROM ledger) s LEFT JOIN (SELECT * FROM trading WHERE wallet_address % 2 = 0) t USING (wallet_address)", "total_volume net_gain", PERIOD + "," + TRADING, 4))
+@query(Q("ledger market", "SELECT s.wallet_address, coalesce(t.total_volume, 0) AS total_volume, coalesce(t.net_gain, 0) AS net_gain FROM (SELECT DISTINCT wallet_address FROM ledger) s LEFT JOIN trading t USING (wallet_address)", "total_volume net_gain", PERIOD + "," + TRADING, 4))
 def g06_wallet_targets(spark: SparkSession, d: str) -> DataFrame:
-    t = trading(spark, d).where("wallet_address % 2 = 0").select("wallet_address", "total_volume", "net_gain")
+    t = trading(spark, d).select("wallet_address", "total_volume", "net_gain")
     return rounded(targets.wallet_targets(v.ledger(spark, d), t), 4)
 
 

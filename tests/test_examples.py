@@ -1,11 +1,13 @@
 """Small worked examples and invariants."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowledger.functions import expr
+from flowledger.functions import expr, order
 from flowledger.functions.order import pct_rank, winsorize
 from flowledger.operators import checks, cleaning, coin, evaluate, flatten, indicators, invest, models, targets, wallet
 from flowledger.plans import views as v
@@ -54,13 +56,17 @@ def test_indicators(spark):
     e = indicators.ema_table(two, "price", 2, "e").where("coin_id = 'a'")
     assert [x and round(x, 3) for x in column(e, "e")] == [None, 106.667, 105.556]
     w = indicators.over()
-    assert column(e.withColumn("f", indicators.ema("price", 2, w)), "f") == column(e, "e")
+    assert column(indicators.generate(two, {"price": {"ema": {"window": [2]}}}).where("coin_id = 'a'"), "price_ema_2") == column(e, "e")
+    holes = indicators.ema_table(series(spark, [None, 4.0, None, 8.0]), "price", 1, "e")
+    assert column(holes, "e") == [None, 4.0, 4.0, 8.0]
     long = series(spark, [10.0, 12.0, 15.0, 14.0, 13.0, 16.0, 17.0])
     got = column(indicators.generate(long, {"price": {"rsi": {"window": [3]}}}), "price_rsi_3")
     assert [x and round(x, 4) for x in got] == [None, None, 1.0, 0.8333, 0.6, 0.6, 0.8]
     both = spark.createDataFrame([("a", day(i + 1), float(p), 100.0 + 50 * i) for i, p in enumerate([10, 12, 15, 14, 13, 16, 17, 18, 19, 20])], "coin_id string, date date, price double, volume double")
     m = column(indicators.mfi(both, "price", "volume", 3, "m"), "m")
     assert m[0] == 0.5 and m[2] == 100.0 and None not in m
+    # inflow 12 * 150 + 15 * 200 + 0, outflow 14 * 250: the index, not the ratio
+    assert m[3] == pytest.approx(100 - 100 / (1 + (12 * 150 + 15 * 200) / (14 * 250)))
     with pytest.raises(ValueError):
         indicators.bollinger("price", 3, 2, "middle", w)
     with pytest.raises(ValueError):
@@ -104,8 +110,86 @@ def test_twb_and_gain(spark):
     led = spark.createDataFrame(rows, cols)
     t = wallet.trading(led, day(1, 2), day(10, 3)).first()
     assert (t["crypto_inflows"], t["crypto_outflows"], t["net_gain"], t["max_investment"], t["total_volume"]) == (150.0, 160.0, 10.0, 150.0, 210.0)
-    b = wallet.time_weighted_balance(led).first()
-    assert round(b["time_weighted_balance"], 4) == round((100 * 10 + 160 * 20) / 39, 4)
+    b = wallet.trading(led, day(1, 2), day(10, 3), balances=True).first()  # cost: 100, 150 from February 10, 0 from March 1
+    assert round(b["time_weighted_balance"], 4) == round((100 * 10 + 150 * 20) / 39, 4) and b["active_time_weighted_balance"] == pytest.approx((100 * 10 + 150 * 20) / 30)
+
+
+#: Rows of the edge-case ledger of FIXTURES.md, first table, which must equal the given ones.
+EDGE = [
+    ("btc", "w01", "2024-01-01", 100, 100, False), ("btc", "w01", "2024-05-01", 120, 50, False), ("btc", "w01", "2024-10-01", 180, 0, True),
+    ("eth", "w01", "2024-01-01", 200, 200, False), ("eth", "w01", "2024-05-01", 300, 50, False), ("eth", "w01", "2024-10-01", 280, 0, True),
+    ("eth", "w03", "2024-01-01", 50, 50, False), ("eth", "w03", "2024-03-01", 0, -50, False), ("eth", "w03", "2024-08-01", 40, 40, False), ("eth", "w03", "2024-10-01", 42, 0, True),
+    ("eth", "w04a", "2023-12-31", 30, 0, True), ("eth", "w04a", "2024-10-01", 90, 50, False),
+    ("sol", "w08", "2023-12-31", 500, 0, True), ("sol", "w08", "2024-02-01", 10400, 10000, False), ("sol", "w08", "2024-02-02", 400, -10000, False), ("sol", "w08", "2024-10-01", 750, 0, True),
+]
+
+
+def edge(spark):
+    rows = [(c, w, dt.date.fromisoformat(d), float(b), float(t), i, float(max(t, 0) if not i else 0)) for c, w, d, b, t, i in EDGE]
+    return spark.createDataFrame(rows, "coin_id string, wallet_address string, date date, usd_balance double, usd_net_transfers double, is_imputed boolean, usd_inflows double")
+
+
+def test_edge_case_wallets(spark):
+    t = {r["wallet_address"]: r for r in wallet.trading(edge(spark), "2024-01-01", "2024-10-01", returns=True, balances=True).collect()}
+    r = t["w01"]
+    assert (r["crypto_inflows"], r["crypto_outflows"], r["net_crypto_flows"], r["net_gain"], r["total_volume"], r["average_transaction"]) == (400, 460, -60, 60, 400, 100)
+    assert r["time_weighted_balance"] == pytest.approx(356.20, rel=1e-2) and r["volume_vs_twb_ratio"] == pytest.approx(400 / 356.20, rel=1e-2)
+    r = t["w04a"]  # a true row on the closing day: bought for 50, then all 90 sold, of which 40 are more than it bought
+    assert (r["crypto_inflows"], r["crypto_outflows"], r["net_gain"], r["total_volume"]) == (30, 40, 10, 50)
+    assert (r["cash_buys"], r["cash_sells"], r["net_cash_flow"]) == (0, 40, -40)
+    # cost: 500 until February 1, 10,500 for one day, then what is left of it, 400 of 10,400
+    left = 10500 * (1 - 10000 / 10400)
+    assert t["w08"]["time_weighted_balance"] == pytest.approx((500 * 32 + 10500 + left * 242) / 275)
+    assert t["w03"]["time_weighted_balance"] == pytest.approx((50 * 60 + 40 * 61) / 274)
+    pairs = {r["wallet_address"]: r for r in wallet.time_weighted_returns(wallet.boundary_flows(edge(spark), "2024-01-01", "2024-10-01"), cutoff=0).where("coin_id = 'eth'").collect()}
+    assert pairs["w04a"]["time_weighted_return"] == pytest.approx((0 - 50) / 30 - 1) and pairs["w04a"]["annual_twr"] is None
+    assert pairs["w01"]["time_weighted_return"] == pytest.approx(250 / 200 - 1)
+
+
+def test_transfer_sequence(spark):
+    rows = [("a", w, day(d), float(t), False) for w, d, t in [(1, 3, 10), (1, 2, -10), (1, 9, -10), (2, 3, 10), (2, 5, -10), (3, 8, 10), (4, 1, -10), (5, 1, 1)]]
+    led = spark.createDataFrame(rows, "coin_id string, wallet_address long, date date, usd_net_transfers double, is_imputed boolean")
+    s = {r["wallet_address"]: r for r in wallet.transfer_sequence(led, day(20), 5.0).collect()}
+    assert set(s) == {1, 2, 3, 4}  # 5 only moved a trifle
+    assert s[1]["first_sell"] is None and s[2]["first_sell"] == day(5) and s[4]["first_buy"] is None and s[4]["buyer_rank"] is None
+    assert [s[w]["buyer_rank"] for w in (1, 2, 3)] == [1, 1, 3] and [s[w]["seller_rank"] for w in (4, 1, 2, 3)] == [1, 2, 3, None]
+    assert {r["coin_age_days"] for r in s.values()} == {17} and [s[w]["wallet_age_days"] for w in (1, 3, 4)] == [17, 12, None]
+    f = {r["wallet_address"]: r for r in wallet.transfer_features(led, wallet.transfer_sequence(led, day(20), 5.0), day(20)).collect()}
+    assert set(f) == {1, 2, 3} and f[1]["hold_days_mean"] == 17 and f[2]["hold_days_mean"] == 2 and f[3]["later_buyers_mean"] == 0 and f[1]["earlybird_ratio_median"] == 3
+
+
+def test_cohort_returns_by_the_last_row(spark):
+    rows = [(1, "a", 1, 100.0, 40.0), (1, "a", 2, 0.0, 60.0), (2, "a", 1, 100.0, 40.0), (2, "a", 2, 100.0, 30.0), (3, "a", 1, 100.0, 50.0), (3, "a", 2, 0.0, 0.0)]
+    led = spark.createDataFrame([(w, c, day(d), i, p) for w, c, d, i, p in rows], "wallet_address long, coin_id string, date date, usd_inflows double, profits_cumulative double")
+    got = {r["wallet_address"]: (r["total_inflows"], r["winning_coins"]) for r in coin.classify_cohort(led, 50, 500, 0, 0.35, 1).collect()}
+    assert got == {1: (100.0, 1), 2: (200.0, 0), 3: (100.0, 1)}  # beyond any limit; 0.3; the last return there is
+
+
+def test_feature_selection(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i, float(i % 2), 5.0, None if i % 3 else float(-i)) for i in range(60)], "a double, b double, c double, d double, e double")
+    cols = list("abcde")
+    assert targets.low_variance(df, cols, 0.5) == [] and targets.low_variance(df, cols, 0.5, scaled=False) == ["c", "d"] and targets.low_variance(df, cols, 0.5, ["c"], False) == ["d"]
+    assert targets.low_variance(df, ["a"], 1.1) == ["a"]  # scaled variances are about 1
+    assert targets.correlated(df, cols, 0.9) == ["b", "e"] and targets.correlated(df, cols, 0.9, ["e"]) == ["b"]
+    r = targets.correlations(df, cols)
+    assert r[0, 4] == pytest.approx(-1) and np.isnan(r[3]).all()
+    wide = df.select(*[(F.col("a") * k + F.col("c") * (k % 7)).alias(f"x{k}") for k in range(1, 151)])
+    want = np.corrcoef(np.array(wide.collect()).T)
+    assert np.abs(targets.correlations(wide, wide.columns) - want).max() < 1e-9
+
+
+def test_order_statistics_narrow_down(spark, monkeypatch):
+    """With few rows allowed at the end, ranks are narrowed by estimates and counts and stay exact."""
+    rng = random.Random(1)
+    values = [rng.choice([rng.random(), 0.5, None, rng.expovariate(0.01)]) for _ in range(5000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double")
+    known = sorted(x for x in values if x is not None)
+    monkeypatch.setattr(order, "FEW", 20)
+    ranks = [0, 1, 100, 1234, len(known) // 2, len(known) - 2, len(known) - 1]
+    assert order.at_ranks(df, {"x": ranks}, {"x": len(known)})["x"] == [known[k] for k in ranks]
+    assert order.quantiles(df, ["x"], [0.1, 0.5, 0.999])["x"] == pytest.approx(np.quantile(known, [0.1, 0.5, 0.999]).tolist())
+    run = order.running(df, "x", ["i"], {"s": "x", "n": F.lit(1)}, "k", descending=False).orderBy("k").collect()
+    assert [r["x"] for r in run] == known and [r["n"] for r in run] == list(range(1, len(known) + 1)) and run[-1]["s"] == pytest.approx(sum(known))
 
 
 def test_flatten_and_policy(spark):
@@ -205,4 +289,4 @@ def test_export(spark, tmp_path):
         tables.export_splits({"x": df.where("k < 0")}, str(tmp_path), "240101", ["k"])
     with pytest.raises(ValueError):
         tables.append_scores(df.withColumn("epoch", F.col("k")), str(tmp_path), str(tmp_path), {})
-    assert invest.lifetime(spark.createDataFrame([(0.5, "a", 2, 0.1), (0.5, "b", 0, None)], "threshold double, epoch string, n long, mean_return double")).first()["lifetime_return"] == pytest.approx(0.1)
+    assert invest.lifetime(spark.createDataFrame([(0.5, "a", 2, 0.1), (0.5, "b", 0, None)], "threshold double, epoch string, n long, mean_return double").withColumn("mean_return_all", F.lit(0.2))).first()["lifetime_return"] == pytest.approx(0.1)
