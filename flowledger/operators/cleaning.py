@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
@@ -142,13 +142,15 @@ def epoch_slice(ledger: DataFrame, prices: DataFrame, opening, end, min_inflows:
     return rows.join(enough, PAIR, "left_semi")
 
 
-def grid_fill(df: DataFrame, end, carried: Sequence[str], flows: Sequence[str]) -> DataFrame:
+def grid_fill(df: DataFrame, end, carried: Sequence[str], flows: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Every asset on every day from the first day of all to ``end``: stocks are carried forward, then 0; flows are 0."""
-    days = df.agg(F.min("date").alias("a")).select(F.explode(F.sequence("a", F.lit(str(end)).cast("date"))).alias("date"))
-    grid = df.select("coin_id").distinct().crossJoin(F.broadcast(days))
-    w = Window.partitionBy("coin_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    last = end if isinstance(end, Column) else F.lit(str(end)).cast("date")
+    days = df.groupBy(*keys).agg(F.min("date").alias("a")).select(*keys, F.explode(F.sequence("a", last)).alias("date"))
+    coins = df.select(*keys, "coin_id").distinct()
+    grid = coins.join(F.broadcast(days), list(keys)) if keys else coins.crossJoin(F.broadcast(days))  # a row for each day
+    w = Window.partitionBy(*keys, "coin_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     kept = [F.coalesce(F.last(c, True).over(w), F.lit(0.0)).alias(c) for c in carried]
-    return grid.join(df, ["coin_id", "date"], "left").select("coin_id", "date", *kept, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in flows])
+    return grid.join(df, [*keys, "coin_id", "date"], "left").select(*keys, "coin_id", "date", *kept, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in flows])
 
 
 def scan_ledger(ledger: DataFrame, prices: DataFrame, start, end, min_inflows: float) -> DataFrame:

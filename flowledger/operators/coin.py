@@ -14,7 +14,7 @@ from flowledger.operators.cleaning import grid_fill
 PAIR = ["coin_id", "wallet_address"]
 
 
-def classify_cohort(ledger: DataFrame, min_inflows: float, max_inflows: float, profit_win: float, return_win: float, min_wins: int) -> DataFrame:
+def classify_cohort(ledger: DataFrame, min_inflows: float, max_inflows: float, profit_win: float, return_win: float, min_wins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Wallets whose inflows, summed over rows, are in the range: assets, profits, wins, and whether they are in the cohort.
 
     A pair wins if its last profit and its last return reach their limits. A row's return is the profit so far over that
@@ -22,26 +22,27 @@ def classify_cohort(ledger: DataFrame, min_inflows: float, max_inflows: float, p
     """
     p, i = F.col("profits_cumulative"), F.col("usd_inflows")
     ret = F.when(i != 0, p / i).when(p > 0, float("inf")).when(p < 0, float("-inf"))
-    pair = ledger.groupBy("wallet_address", "coin_id").agg(F.max_by(p, "date").alias("p"), F.sum(i).alias("i"), F.max_by(ret, F.when(ret.isNotNull(), F.col("date"))).alias("r"))
+    pair = ledger.groupBy(*keys, "wallet_address", "coin_id").agg(F.max_by(p, "date").alias("p"), F.sum(i).alias("i"), F.max_by(ret, F.when(ret.isNotNull(), F.col("date"))).alias("r"))
     win = (F.col("p") >= profit_win) & (F.col("r") >= return_win)
-    w = pair.groupBy("wallet_address").agg(F.sum("i").alias("total_inflows"), F.count("*").alias("total_coins"), F.count_if(win).alias("winning_coins"), F.sum("p").alias("total_profits"))
+    w = pair.groupBy(*keys, "wallet_address").agg(F.sum("i").alias("total_inflows"), F.count("*").alias("total_coins"), F.count_if(win).alias("winning_coins"), F.sum("p").alias("total_profits"))
     w = w.where(F.col("total_inflows").between(min_inflows, max_inflows))
     return w.withColumns({"return_rate": expr.try_ratio("total_profits", "total_inflows"), "in_cohort": F.col("winning_coins") >= min_wins})
 
 
-def activity(ledger: DataFrame, end) -> DataFrame:
-    """Per asset and day: buyers and sellers, new and repeat, flows and holders, on a full grid of days."""
-    w = Window.partitionBy(*PAIR).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def activity(ledger: DataFrame, end, keys: Sequence[str] = ()) -> DataFrame:
+    """Per asset and day: buyers and sellers, new and repeat, flows and holders, on a full grid of days. With ``keys``, such as
+    a window, each is a ledger of its own, and ``end`` may be a column of them."""
+    w = Window.partitionBy(*keys, *PAIR).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("usd_net_transfers")
     rows = ledger.withColumn("nb", F.when(t > 0, F.count_if(t > 0).over(w))).withColumn("ns", F.when(t < 0, F.count_if(t < 0).over(w)))
-    daily = rows.groupBy("coin_id", "date").agg(
+    daily = rows.groupBy(*keys, "coin_id", "date").agg(
         F.count_if(F.col("nb") == 1).alias("buyers_new"), F.count_if(F.col("nb") > 1).alias("buyers_repeat"), F.count("nb").alias("total_buyers"),
         F.count_if(F.col("ns") == 1).alias("sellers_new"), F.count_if(F.col("ns") > 1).alias("sellers_repeat"), F.count("ns").alias("total_sellers"),
         F.sum(expr.positive(t)).alias("total_bought"), F.sum(expr.negative(t)).alias("total_sold"), F.sum(t).alias("total_net_transfers"), F.sum(F.abs(t)).alias("total_volume"),
         F.countDistinct("wallet_address").cast("double").alias("total_holders"), F.sum("usd_balance").alias("total_balance"),
     )
-    flows = [c for c in daily.columns if c not in ("coin_id", "date", "total_holders", "total_balance")]
-    return grid_fill(daily, end, ["total_balance", "total_holders"], flows)
+    flows = [c for c in daily.columns if c not in (*keys, "coin_id", "date", "total_holders", "total_balance")]
+    return grid_fill(daily, end, ["total_balance", "total_holders"], flows, keys)
 
 
 def metadata_flags(meta: DataFrame, categories: Sequence[str], chain_threshold: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowledger.functions.order import quantiles, winsorize
@@ -174,16 +174,42 @@ class ReturnEvaluator(Evaluator):
         return True
 
 
-def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequence], n: int, kind: str, columns: Sequence[str], evaluator: Evaluator, label: str = "target", seed: int = 42) -> DataFrame:
-    """(combination, param, value, score) for n sampled combinations; drop_patterns, if in the space, choose columns."""
+class MetricEvaluator(Evaluator):
+    """A score to be maximised: ``neg_log_loss``, ``auc`` (of actual 0 or 1; of three classes, 2 counts as 1), ``neg_rmse``, ``r2``."""
+
+    def __init__(self, metric: str, y: str = "target", p: str = "score"):
+        super().__init__()
+        if metric not in ("neg_log_loss", "auc", "neg_rmse", "r2"):
+            raise ValueError(f"no such metric: {metric}")
+        self.metric, self.y, self.p = metric, y, p
+
+    def _evaluate(self, df: DataFrame) -> float:
+        if self.metric in ("neg_rmse", "r2"):
+            r = evaluate.regression(df, self.y, self.p).first()
+            return float(-r["rmse"] if self.metric == "neg_rmse" else r["r2"])
+        top = df.agg(F.max(self.y)).first()[0]
+        rows = df.withColumn("_actual", (F.col(self.y) == (2 if top == 2 else 1)).cast("int"))
+        if self.metric == "auc":
+            area = evaluate.roc_auc(rows, "_actual", self.p).first()["roc_auc"]
+            return 0.5 if area is None else float(area)  # one class alone tells nothing
+        return -float(evaluate.classification(rows, 0.5, "_actual", self.p).first()["log_loss"])
+
+    def isLargerBetter(self) -> bool:  # noqa: N802
+        return True
+
+
+def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequence], n: int, kind: str, columns: Sequence[str], evaluator: Evaluator, label: str = "target", seed: int = 42, variants: Mapping[str, Column] | None = None) -> DataFrame:
+    """(combination, param, value, score) for n sampled combinations; drop_patterns, if in the space, choose columns, and
+    target chooses one of the named ``variants`` of the label."""
     rng = random.Random(seed)
     rows = []
     for i in range(n):
         combo = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
         patterns = combo.get("drop_patterns")
         used = [c for c in columns if c not in set(matching(columns, patterns))] if patterns else list(columns)
-        params = {k: v for k, v in combo.items() if k != "drop_patterns"}
-        s = float(evaluator.evaluate(score(build(kind, used, label, seed=seed, **params).fit(train), test)))
+        params = {k: v for k, v in combo.items() if k not in ("drop_patterns", "target")}
+        a, b = (x.withColumn(label, variants[combo["target"]].cast("double")) for x in (train, test)) if "target" in combo else (train, test)
+        s = float(evaluator.evaluate(score(build(kind, used, label, seed=seed, **params).fit(a), b)))
         rows += [(i, k, str(v), s) for k, v in combo.items()]
     return train.sparkSession.createDataFrame(rows, "combination int, param string, value string, score double")
 
@@ -194,13 +220,16 @@ def search_report(results: DataFrame) -> DataFrame:
     return results.join(vary, "param", "left_semi").groupBy("param", "value").agg(F.avg("score").alias("mean_score"), F.count("*").alias("combinations"))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether something has been written at ``path``, wherever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def saved(path: str, fit, rebuild: bool = False) -> PipelineModel:
     """The model at ``path``, fitted and saved unless it is there."""
-    if not rebuild:
-        try:
-            return PipelineModel.load(path)
-        except Exception:  # noqa: BLE001  no model yet
-            pass
+    if not rebuild and there(SparkSession.active(), path):
+        return PipelineModel.load(path)
     model = fit()
     model.write().overwrite().save(path)
     return model

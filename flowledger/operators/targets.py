@@ -125,7 +125,7 @@ def select_target(column: str, low: float | None = None, high: float | None = No
 
 def _order(keys: Sequence[str], seed: int) -> Column:
     """An order that looks random and that SQL can repeat: a multiplicative hash of the number that the key ends in."""
-    return (F.col(keys[0]).cast("long") * 2654435761 + F.lit(seed)) % (1 << 32)
+    return (F.pmod(F.col(keys[0]).cast("long"), F.lit(1 << 31)) * 2654435761 + F.lit(seed)) % (1 << 32)
 
 
 def future_split(df: DataFrame, n: int) -> DataFrame:

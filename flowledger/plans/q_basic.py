@@ -214,14 +214,14 @@ def d07_d09_random_search(spark: SparkSession, d: str) -> DataFrame:
     return models.search_report(r)
 
 
-@query()
+@query(Q("ledger market scores", "SELECT CAST(floor(round(score / 0.05, 9)) AS BIGINT) AS k, count(*) AS n, avg(r) AS mean_return, median(r) AS median_return, (floor(round(score / 0.05, 9)) + 0.5) * 0.05 AS midpoint FROM scores JOIN (SELECT coin_id, wallet_address FROM ledger WHERE date <= DATE '2024-01-20' GROUP BY 1, 2 HAVING max(usd_inflows_cumulative) >= 100) USING (coin_id, wallet_address) JOIN (SELECT coin_id, max(price) FILTER (date = DATE '2024-01-25') / nullif(max(price) FILTER (date = DATE '2024-01-21'), 0) - 1 AS r FROM market GROUP BY 1) USING (coin_id) GROUP BY 1, 5", "mean_return median_return midpoint"))
 def x12_scored_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Scored pairs with enough inflows against the returns of the following days."""
     from flowledger.operators import targets
 
     led = v.ledger(spark, d).where("date <= '2024-01-20'").groupBy("coin_id", "wallet_address").agg(F.max("usd_inflows_cumulative").alias("i")).where("i >= 100")
     r = targets.coin_performance(v.market(spark, d), v.MODEL_START, v.MODEL_END)
-    return evaluate.step_buckets(v.scores(spark, d).join(led, ["coin_id", "wallet_address"]).join(r.withColumnRenamed("coin_return", "actual_return"), "coin_id"))
+    return rounded(evaluate.step_buckets(v.scores(spark, d).join(led, ["coin_id", "wallet_address"]).join(r.withColumnRenamed("coin_return", "actual_return"), "coin_id")))
 
 
 @query(Q("market", """SELECT coin_id, date, market_cap_filled FROM (SELECT coin_id, date, coalesce(first_value(market_cap_imputed IGNORE NULLS) OVER (PARTITION BY coin_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(market_cap_imputed IGNORE NULLS) OVER (PARTITION BY coin_id ORDER BY date ROWS UNBOUNDED PRECEDING), 1.0) AS market_cap_filled FROM imp2) z
