@@ -196,6 +196,8 @@ def pair_metrics(balances: DataFrame, trading: DataFrame, wallets: DataFrame, co
 
 def coin_matrix(wallet_features: DataFrame, macro_row: DataFrame, *others: DataFrame) -> DataFrame:
     """One row for each asset of the wallet features: a date-only row on all, other asset tables joined, NULL kept."""
+    if macro_row.limit(2).count() != 1:
+        raise ValueError("the date-only features are not one row")
     out = wallet_features.crossJoin(F.broadcast(macro_row))
     for df in others:
         out = out.join(df, "coin_id", "left")

@@ -70,7 +70,7 @@ def score_metrics(scores: DataFrame) -> DataFrame:
 def with_macro(rows: DataFrame, macro: DataFrame, column: str) -> DataFrame:
     """Epoch rows with the indicator's value on the epoch's day; epochs without one are left out."""
     m = macro.where(F.col(column).isNotNull()).select(F.col("date").alias("epoch"), column)
-    return rows.join(F.broadcast(m), "epoch")
+    return rows.join(m, "epoch")
 
 
 def score_levels(rows: DataFrame, levels: int = 20) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.functions.order import quantiles, winsorize
+from flowledger.functions.order import quantiles, settled, winsorize
 from flowledger.operators import evaluate, targets
 
 
@@ -84,7 +84,8 @@ def cluster_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], shar
         if run >= share:
             comps = i + 1
             break
-    space = PCA(k=comps, inputCol="_z", outputCol="_q").fit(pre.transform(filled)).transform(pre.transform(filled))
+    turned = pre.transform(filled)
+    space = settled(PCA(k=comps, inputCol="_z", outputCol="_q").fit(turned).transform(turned).drop("_v", "_z", "_p"))
     some = space.orderBy(F.xxhash64(*columns)).limit(sample)
     rows = []
     for k in ks:

@@ -51,8 +51,15 @@ def overlap(epochs_: DataFrame) -> DataFrame:
     return epochs_.where("epoch_type = 'modeling'").crossJoin(F.broadcast(first)).where("end_date > first")
 
 
+#: Epochs that are broadcast at most, and values of a column that become columns of their own.
+EPOCHS, CATEGORIES = 10_000, 1_000
+
+
 def in_epochs(df: DataFrame, epochs_: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Rows once for each epoch that they fall into, with its start: one range join with a broadcast table."""
+    """Rows once for each epoch that they fall into, with its start: one range join with a broadcast table, of which EPOCHS
+    rows are the most."""
+    if epochs_.limit(EPOCHS + 1).count() > EPOCHS:
+        raise ValueError(f"more than {EPOCHS} epochs")
     t = epochs_.select(F.col(start).alias("epoch_start_date"), F.col(end).alias("_end"))
     return df.join(F.broadcast(t), F.col("date").between(F.col("epoch_start_date"), F.col("_end"))).drop("_end")
 
@@ -86,7 +93,7 @@ def fill_up(df: DataFrame, column: str, already: Column, share: float, out: str,
     if more <= 0:
         return df.withColumn(out, already.cast("int"))
     best = df.where(~already).orderBy(F.desc(column) if largest else F.asc(column), key).limit(more).select(key, F.lit(1).alias("_m"))
-    return df.join(F.broadcast(best), key, "left").withColumn(out, (already | F.col("_m").isNotNull()).cast("int")).drop("_m")
+    return df.join(best, key, "left").withColumn(out, (already | F.col("_m").isNotNull()).cast("int")).drop("_m")
 
 
 def moon_crater(returns: DataFrame, moon: float, crater: float, min_moon: float, min_crater: float) -> DataFrame:
@@ -144,14 +151,19 @@ def share_split(df: DataFrame, key: str, share: float, out: str, seed: int = 0)
 
 def stratified_split(df: DataFrame, key: str, stratum: str, shares: Mapping[str, float], rest: str, seed: int = 0) -> DataFrame:
     """A column split: of each stratum, round(share x rows) to each named split in turn, by hash order, the rest to ``rest``.
-    Shares are of the original count."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(_order([key], seed), key))
+    Shares are of the original count. Rows are ranked in ranges of their hash, so that a stratum isn't one task's."""
+    cut = df.withColumn("_h", _order([key], seed)).withColumn("_b", F.shiftright("_h", 22))
+    sizes = cut.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))  # 1,024 rows a stratum at most
+    w = Window.partitionBy(stratum)
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(stratum).alias("_s"), F.col("_b").alias("_b2"), before.alias("_before"), F.sum("_c").over(w).alias("_n"))
+    df = cut.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_b2"))).drop("_s", "_b2")
+    k = F.col("_before") + F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key))
     out, run = None, F.lit(0)
     for name, share in shares.items():
         run = run + F.bround(F.col("_n") * share)
         out = F.when(F.col("_k") <= run, name) if out is None else out.when(F.col("_k") <= run, name)
-    return df.withColumn("_n", n).withColumn("_k", k).withColumn("split", out.otherwise(rest)).drop("_n", "_k")
+    return df.withColumn("_k", k).withColumn("split", out.otherwise(rest)).drop("_n", "_k", "_h", "_b", "_before")
 
 
 # preprocessing
@@ -174,9 +186,11 @@ def scale(df: DataFrame, train: DataFrame, how: Mapping[str, str]) -> DataFrame:
 
 
 def one_hot(df: DataFrame, train: DataFrame, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
-    """A 0/1 column for each value of ``train``; unknown values are 0 in all."""
+    """A 0/1 column for each value of ``train``; unknown values are 0 in all. More than CATEGORIES values are an error."""
     for c in columns:
-        values = sorted(r[0] for r in train.select(c).distinct().where(F.col(c).isNotNull()).collect())  # categories
+        values = sorted(r[0] for r in train.select(c).distinct().where(F.col(c).isNotNull()).limit(CATEGORIES + 1).collect())
+        if len(values) > CATEGORIES:
+            raise ValueError(f"{c} has more than {CATEGORIES} values")
         df = df.withColumns({f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("int") for v in values[1 if drop_first else 0 :]}).drop(c)
     return df
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowledger.operators import evaluate, invest
@@ -276,6 +276,7 @@ def b14_feature_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT user_id, avg(value) AS macro, list(value ORDER BY event_id)[1:20] AS curve FROM events GROUP BY 1 HAVING count(*) >= 20), m AS (SELECT median(macro) AS mid FROM c), x AS (SELECT macro < mid AS low, CAST(unnest(range(0, 20)) AS INTEGER) AS position, unnest(curve) AS v FROM c, m) SELECT position, round(avg(v) FILTER (low), 6) AS below, round(avg(v) FILTER (NOT low), 6) AS above FROM x GROUP BY 1""")
 def b15_curve_positions(spark: SparkSession, d: str) -> DataFrame:
     e = v.table(spark, d, "events")
-    rows = F.slice(F.sort_array(F.collect_list(F.struct("event_id", "value"))), 1, 20)
-    c = e.groupBy("user_id").agg(F.avg("value").alias("macro"), F.transform(rows, lambda r: r["value"]).alias("curve"))
+    first = e.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("k <= 20")
+    curve = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"])  # 20 values
+    c = first.groupBy("user_id").agg(curve.alias("curve")).join(e.groupBy("user_id").agg(F.avg("value").alias("macro")), "user_id")
     return rounded(invest.curve_positions(c, "macro"))

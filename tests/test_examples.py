@@ -1,4 +1,7 @@
-"""Small worked examples and invariants."""
+"""Small worked examples and invariants.
+
+Fixed values: inputs and expected numbers of the worked examples are those of FIXTURES.md, section 2, which must be met.
+"""
 
 import datetime as dt
 import random
