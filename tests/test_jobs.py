@@ -69,7 +69,7 @@ def test_scores_are_read_again(spark):
 
 def test_model_job_parts(spark):
     m = q_jobs.window_matrix(spark, SF)
-    done = jobs.model_job(m, q_jobs.FEATURES, targets.select_target("later", 0.01), "rf_classifier", "wallet_address", validation=m, variance=0.5, correlation=0.9, numTrees=3)
+    done = jobs.model_job(m, q_jobs.FEATURES, targets.select_target("later", 0.01), "rf_classifier", "wallet_address", validation=m, variance=0.5, correlation=0.2, numTrees=3)
     rows = {r["data"]: r for r in done["metrics"].collect()}
     assert set(rows) == {"test", "validation"} and 0 < done["threshold"] < 1 and len(done["columns"]) < len(q_jobs.FEATURES)
     n = {k: r["tp"] + r["fp"] + r["tn"] + r["fn"] for k, r in rows.items()}
@@ -82,6 +82,6 @@ def test_model_job_parts(spark):
 
 def test_splits_of_a_large_stratum(spark):
     """Every stratum is split by exact numbers, whatever its size, and keys beyond 32 bits are taken."""
-    df = spark.range(3000).select((F.col("id") * 6364136223846793005 % (1 << 62)).alias("k"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("s"))
+    df = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("k"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("s"))
     got = {(r["s"], r["split"]): r["count"] for r in targets.stratified_split(df, "k", "s", {"test": 0.2, "eval": 0.1}, "train").groupBy("s", "split").count().collect()}
     assert got == {("small", "test"): 60, ("small", "eval"): 30, ("small", "train"): 210, ("large", "test"): 540, ("large", "eval"): 270, ("large", "train"): 1890}
