@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from flowledger.llm.scratch import keep, lean
 
-#: Vectors in a block of candidates, and queries in a block of those, about.
-ROWS, QUERIES = 16_384, 2_048
+#: Vectors in a block of candidates, and queries in a block of those, about; fewer if they hold more than so many numbers.
+ROWS, QUERIES, NUMBERS = 16_384, 2_048, 1 << 20
 #: Centres of one length at most, and numbers in the sample that they are learned from.
 CENTRES, SAMPLE = 1024, 2_000_000
 #: Queries whose bounds are held at once.
@@ -108,10 +108,14 @@ def _pack(method: Any, key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [key[0]], "d": [pdf["d"].iloc[0]], "centre": [pdf["centre"].iloc[0]], "ids": long("vec_id"), "rks": long("rk"), "approx": [method.approx(v)], "exact": [v.tobytes()]})
 
 
+def most(size: int, d: int) -> int:
+    return max(1, min(size, NUMBERS // d))
+
+
 def packed(rows: DataFrame, size: int, method: Any, name: str) -> DataFrame:
     """Blocks of about ``size`` rows of one length and centre: ids, row numbers, approximations and whole vectors."""
     counts = rows.groupBy("d", "centre").count().orderBy("d", "centre").collect()  # a row for each centre
-    salts = [-(-r["count"] // size) for r in counts]
+    salts = [-(-r["count"] // most(size, r["d"])) for r in counts]
     first = np.cumsum([0, *salts])
     place = rows.sparkSession.createDataFrame([(r["d"], r["centre"], int(f), s) for r, f, s in zip(counts, first, salts, strict=False)], "d int, centre int, first int, salts int")
     block = (F.col("first") + F.pmod(F.xxhash64("rk"), F.col("salts"))).cast("int").alias("block")
@@ -221,7 +225,7 @@ def search(rows: DataFrame, known: dict, sample: dict[int, np.ndarray], every: i
     """The k best candidates of each query, (query_id, rank, vec_id, score, top, high, low). ``method`` has ``kind``, the type of
     a stored component, ``approx`` (of some vectors), ``bounds`` (lower and upper, by an approximation) and ``score``."""
     lean(rows.sparkSession)
-    middle = {d: centres(x, min(CENTRES, -(-known[d][0] // ROWS))) for d, x in sample.items()}
+    middle = {d: centres(x, min(CENTRES, -(-known[d][0] // most(ROWS, d)))) for d, x in sample.items()}
     placed = keep(rows.mapInPandas(partial(_placed, middle), f"rk long, vec_id long, v {rows.schema['v'].dataType.simpleString()}, d int, centre int"), "placed")
     w = Window.partitionBy("d", F.xxhash64("v"), "v").orderBy("vec_id", "rk")
     data = packed(placed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1), ROWS, method, "blocks")

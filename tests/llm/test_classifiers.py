@@ -133,9 +133,9 @@ def plain_score(text, value, bias):
         hashes.append(sum((x + 1) * 31**k for k, x in enumerate(b)) * 0x100000001B3 & mask)
         buckets = [(h * 0x9E3779B97F4A7C15 & mask) >> 40 for h in hashes]
         worth.append(sum(float(value[x % toxicity.BUCKETS]) for x in buckets) / len(buckets))
-    starts = [k for k in range(0, len(worth), 16) if k == 0 or len(worth) - k >= 9 or len(worth) - k == 16]
+    starts = [k for k in range(0, max(1, len(worth)), 16) if k == 0 or len(worth) - k > 8]
     spans = [worth[a:b] for a, b in zip(starts, [*starts[1:], len(worth)], strict=True)]
-    return 1 / (1 + math.exp(-(bias + max((sum(s) / len(s) for s in spans), default=0.0))))
+    return 1 / (1 + math.exp(-(bias + max(sum(s) / max(1, len(s)) for s in spans))))
 
 
 def test_toxicity_scores_against_plain_sums():
