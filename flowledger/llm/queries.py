@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.llm import ann, bpe, html_extract, langid, packing, sharding, simhash, spans, topk, toxicity
+from flowledger.llm import ann, bpe, html_extract, langid, lexical, packing, sharding, simhash, spans, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing)
+    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing, op12_lexical)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6}
+    return {"op6_topk": OP6, "op12_lexical": OP12}
 
 
 OP6 = """
@@ -81,3 +85,28 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP12 = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+), lengths AS (
+    SELECT d, doc_id, len(ts) AS n, ts FROM words WHERE len(ts) > 0
+), total AS (
+    SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM lengths
+), items AS (
+    SELECT DISTINCT q, item_id, unnest(ts) AS t FROM (
+        SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark)
+), tf AS (
+    SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(ts) AS t FROM lengths) WHERE t IN (SELECT t FROM items) GROUP BY ALL
+), weights AS (
+    SELECT t, CAST(floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t
+), scores AS (
+    SELECT q, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+    FROM items JOIN tf USING (t) JOIN weights USING (t), total
+    GROUP BY ALL
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
