@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.llm import ann, bpe, html_extract, langid, lexical, packing, sharding, simhash, spans, topk, toxicity
+from flowledger.llm import ann, bpe, collocations, html_extract, langid, lexical, packing, sharding, simhash, spans, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,17 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing, op12_lexical)
+    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing, op12_lexical, op13_collocations)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6, "op12_lexical": OP12}
+    return {"op6_topk": OP6, "op12_lexical": OP12, "op13_collocations": OP13}
 
 
 OP6 = """
@@ -110,3 +114,41 @@ WITH words AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+OP13 = r"""
+WITH pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+), totals AS (
+    SELECT lang, sum(len(ws))::BIGINT AS n FROM pieces GROUP BY lang
+), sizes AS (
+    SELECT unnest([1, 2, 3, 4]) AS m
+), grams AS (
+    SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM pieces, sizes WHERE len(ws) >= m
+), f AS (
+    SELECT lang, m, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30
+), cuts AS (
+    SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scored AS (
+    SELECT c.lang, c.phrase, c.m, c.a, c.k, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * c.a) // (x.a + y.a) AS BIGINT) AS score
+    FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 : c.m], ' ')
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, a, ws, m, unnest(range(2, m)) AS size FROM f WHERE m > 2
+), around AS (
+    SELECT lang, phrase, max(a) AS a FROM (
+        SELECT lang, a, unnest(list_transform(range(1, m - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase FROM inside)
+    GROUP BY lang, phrase
+), open AS (
+    SELECT lowest.* FROM lowest LEFT JOIN around USING (lang, phrase) WHERE around.a IS NULL OR 100::HUGEINT * around.a < 80::HUGEINT * lowest.a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM open
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

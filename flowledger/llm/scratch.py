@@ -40,13 +40,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in a folder for each value of column ``by`` if named, and read it back.
 
     This cuts the lineage: what follows is computed from files that survive the loss of an executor, and random or
     Python steps before it run once. The folder of a session can be deleted when its results have been written.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/flowledger/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
