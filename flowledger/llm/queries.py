@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.llm import ann, bpe, collocations, html_extract, langid, lexical, packing, sharding, simhash, spans, topk, toxicity
+from flowledger.llm import ann, bpe, chat, collocations, html_extract, langid, lexical, packing, sharding, simhash, spans, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return chat.digests(chat.windows(_table(spark, sf_dir, "conversations").select(*more.columns).unionAll(more)))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -67,7 +73,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing, op12_lexical, op13_collocations)
+    ops = (op1_spans, op2_ann, op3_langid, op4_toxicity, op5_simhash, op6_topk, op7_sharding, op8_bpe, op9_html, op10_packing, op11_chat, op12_lexical, op13_collocations)
     return {f.__name__: f for f in ops}
 
 
