@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import cache, partial
+from functools import cache, partial, reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import keep, lean
+from flowledger.llm.scratch import keep, lean, place
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Shards of a cycle.
 SHARDS = 2
 #: Bits of a slot's number, and what a slot can say: reached, reached within the last cycle, being counted.
-BITS = 24
+BITS = 23
 REACHED, FRESH, COUNTED = 1, 2, 4
 #: Phrases of a task that are counted together before they are shuffled, and bytes of text for which there is one part of
 #: the phrases, of MOST parts at least.
@@ -148,7 +149,7 @@ class Scan:
         w, piece, text, starts, ends, raw = words(texts, langs)
         if not len(w):
             return
-        if 1 in self.open:
+        if self.everything or 1 in self.open:
             one = np.arange(len(w)) if self.everything else np.flatnonzero(self.says(w) & COUNTED)
             yield from self._words(w[one], text[one], starts[one], ends[one], raw, langs)
         if self.table is None:
@@ -275,22 +276,33 @@ def _facts_of(*args) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return facts
 
 
-def _counts(facts: DataFrame, least: int) -> DataFrame:
-    """Of each phrase: its count so far ``a``, the step since which it is counted and that at which it reached ``least``."""
-    once = facts.where("m > 0").groupBy("m", *_KEY, "k", "shard").agg(F.min("step").alias("step"), F.max("c").alias("c"), F.max("lang").alias("lang"), F.max("word").alias("word"))
-    so_far = F.sum("c").over(Window.partitionBy(*_KEY).orderBy("step").rowsBetween(Window.unboundedPreceding, 0))  # SHARDS rows at most
-    run = once.withColumn("a", so_far)
-    return run.groupBy("m", *_KEY, "k").agg(F.max("a").alias("a"), F.min("step").alias("since"), F.min(F.when(F.col("a") >= least, F.col("step"))).alias("reached"), F.max("lang").alias("lang"), F.max("word").alias("word"))
-
-
-def _told(counts: DataFrame, step: int, shards: int) -> np.ndarray:
-    """The table of slots for ``step``: at most 2 ** BITS numbers come to the driver."""
+def _counts(facts: DataFrame, least: int, shards: int, *more: Column) -> DataFrame:
+    """Of each phrase that is noted: its count so far ``a``, the step since which it is counted and that at which it reached
+    ``least``. A shard's count is the same whenever it is scanned."""
+    by = lambda f, x: [f(F.when(F.col("shard") == s, x)) for s in range(shards)]
+    each = by(F.min, F.col("step")), by(F.max, F.col("c")), by(F.min, F.when(F.col("c") >= -(-least // shards), F.col("step")))
+    named = [x.alias(f"{n}{i}") for n, xs in zip("scp", each, strict=True) for i, x in enumerate(xs)]
+    rows = facts.where("m > 0").groupBy("m", *_KEY, "k").agg(*named, *more)
+    col = lambda n, i: F.col(f"{n}{i}")
+    until = lambda i: reduce(add, [F.when(col("s", j) <= col("s", i), col("c", j)).otherwise(0) for j in range(shards)])
+    first = lambda x: F.array_min(F.array(*x))
+    a = reduce(add, [F.coalesce(col("c", j), F.lit(0)) for j in range(shards)])
+    reached = first([F.when(until(i) >= least, col("s", i)) for i in range(shards)])
+    out = rows.select("m", *_KEY, "k", a.alias("a"), first([col("p", i) for i in range(shards)]).alias("since"), reached.alias("reached"), *[c for c in ("lang", "word") if c in rows.columns])
+    return out.where("since is not null")
+
+
+def _told(counts: DataFrame, step: int, shards: int) -> tuple[np.ndarray, list[int]]:
+    """The table of slots for ``step``, for which at most 2 ** BITS numbers a length come to the driver, and the lengths
+    that have open phrases."""
     fresh = (F.col("m") < LONGEST) & (F.col("reached") >= step - shards)
     says = F.when((F.col("m") < LONGEST) & F.col("reached").isNotNull(), REACHED).otherwise(0) + F.when(fresh, FRESH).otherwise(0) + F.when(F.col("since") > step - shards, COUNTED).otherwise(0)
-    rows = counts.select(F.shiftrightunsigned("k", 64 - BITS).alias("slot"), says.alias("says")).where("says > 0").groupBy("slot").agg(F.bit_or("says").alias("says")).toPandas()
+    slots = counts.select("m", F.shiftrightunsigned("k", 64 - BITS).cast("int").alias("slot"), says.cast("byte").alias("says")).where("says > 0")
+    rows = slots.groupBy("m", "slot").agg(F.bit_or("says").alias("says")).toArrow()
+    m, slot, told = (rows[c].to_numpy() for c in ("m", "slot", "says"))
     table = np.zeros(1 << BITS, np.uint8)
-    table[rows["slot"].to_numpy(np.int64)] = rows["says"].to_numpy(np.uint8)
-    return table
+    np.bitwise_or.at(table, slot, told.astype(np.uint8))
+    return table, sorted({*(m[told & FRESH > 0] + 1).tolist(), *m[told & COUNTED > 0].tolist()})
 
 
 def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -302,27 +314,24 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, text: str =
     dealt = keep(own.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), "shards", by="shard")
     size = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(PARTS, -(-size // PART_BYTES))
-    facts = counts = None
-    step = 0
+    base, facts, step = place(spark, "facts"), None, 0
     while True:
-        told, open_ = None, [1]
-        if counts is not None:
-            last = {r["m"]: r for r in counts.groupBy("m").agg(F.max("reached").alias("reached"), F.max("since").alias("since")).collect()}  # LONGEST rows
-            fresh = [m for m, r in last.items() if m < LONGEST and r["reached"] is not None and r["reached"] >= step - shards]
-            open_ = sorted({m + 1 for m in fresh} | {m for m, r in last.items() if r["since"] > step - shards} | ({1} if step < shards else set()))
-            told = spark.sparkContext.broadcast(_told(counts, step, shards))
-        if not open_:
-            break
+        told, open_ = None, []
+        if facts is not None:
+            table, open_ = _told(_counts(facts, least, shards), step, shards)
+            told = spark.sparkContext.broadcast(table)
         everything = step < shards
+        if not open_ and not everything:
+            break
         found = dealt.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(partial(_scan, parts, told, open_, everything), "m int, part int, lang string, n long, payload binary")
         new = found.groupBy("part").applyInPandas(_facts_of(-(-least // shards), told, everything), _FACTS)
-        new = keep(new.withColumns({"step": F.lit(step), "shard": F.lit(step % shards)}), "facts")
-        facts = new if facts is None else facts.unionAll(new)
-        counts = keep(_counts(facts, least), "counts")
+        new.write.parquet(f"{base}/step={step}")
+        facts = spark.read.schema(_FACTS + ", step int").parquet(base).withColumn("shard", F.col("step") % shards)
         if told is not None:
             told.unpersist()
         step += 1
     totals = facts.where("m = 0").groupBy("lang").agg(F.sum("c").alias("n"))
+    counts = _counts(facts, least, shards, F.max("lang").alias("lang"), F.max("word").alias("word"))
     return counts.where(F.col("a") >= least), totals
 
 

@@ -40,6 +40,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is used once."""
+    return f"{folder(spark)}/flowledger/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder, in a folder for each value of column ``by`` if named, and read it back.
 
@@ -47,6 +52,6 @@ def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     Python steps before it run once. The folder of a session can be deleted when its results have been written.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/flowledger/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
