@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
-from flowledger.functions.order import quantiles
+from flowledger.functions.order import numbered, quantiles, settled, with_quantiles
 from flowledger.operators.cleaning import grid_fill
 
 PAIR = ["coin_id", "wallet_address"]
@@ -115,8 +115,9 @@ def _long(pairs: DataFrame, segments: DataFrame, metrics: Sequence[str], familie
 
 def segment_aggregates(pairs: DataFrame, segments: DataFrame, metrics: Sequence[str], families: Sequence[str]) -> DataFrame:
     """Long form (coin, family, segment, metric): sum, count, mean, median, std and share of the asset's total."""
-    rows = _long(pairs, segments, metrics, families)
-    g = rows.groupBy("coin_id", "family", "segment", "metric").agg(F.sum("value").alias("sum"), F.count("value").alias("count"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    rows = settled(_long(pairs, segments, metrics, families))
+    g = rows.groupBy("coin_id", "family", "segment", "metric").agg(F.sum("value").alias("sum"), F.count("value").alias("count"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"))
+    g = with_quantiles(g, rows, ["coin_id", "family", "segment", "metric"], {"value": "median"}, [0.5])
     return g.withColumn("share", F.try_divide(F.col("sum"), F.sum("sum").over(Window.partitionBy("coin_id", "family", "metric"))))
 
 
@@ -130,10 +131,11 @@ QUANTILES = (0.002, 0.01, 0.05, 0.25, 0.75, 0.95, 0.99, 0.998)
 
 def score_distribution(pairs: DataFrame, segments: DataFrame, metric: str, families: Sequence[str], minimum: float = 20.0) -> DataFrame:
     """Long form: twelve statistics of the scores of wallets with enough of the metric; NULL as 0."""
-    rows = _long(pairs, segments, [metric], families).where(F.col("value") >= minimum)
-    g = rows.groupBy("coin_id", "family", "segment").agg(F.percentile("score", F.array(*map(F.lit, QUANTILES))).alias("q"), F.median("score").alias("median"), F.stddev_samp("score").alias("std"), expr.skewness(F.col("score")).alias("skew"), expr.kurtosis(F.col("score")).alias("kurt"))
+    rows = settled(_long(pairs, segments, [metric], families).where(F.col("value") >= minimum))
+    g = rows.groupBy("coin_id", "family", "segment").agg(F.stddev_samp("score").alias("std"), expr.skewness(F.col("score")).alias("skew"), expr.kurtosis(F.col("score")).alias("kurt"))
+    g = with_quantiles(g, rows, ["coin_id", "family", "segment"], {"score": "q"}, [*QUANTILES, 0.5])
     named = [F.col("q")[i].alias(f"p{x * 100:g}".replace(".", "_")) for i, x in enumerate(QUANTILES)]
-    return g.select("coin_id", "family", "segment", *named, "median", "std", "skew", "kurt").na.fill(0)
+    return g.select("coin_id", "family", "segment", *named, F.col("q")[len(QUANTILES)].alias("median"), "std", "skew", "kurt").na.fill(0)
 
 
 def spread(long: DataFrame, values: Sequence[str], columns: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -148,8 +150,16 @@ def eligible(coins: DataFrame, wallets: str, balance: str, cap: str, min_wallets
 
 
 def hybrid_map(pairs: DataFrame) -> DataFrame:
-    """(coin, wallet, id) of the distinct pairs. The id is a hash; ``collisions`` says whether two pairs share one."""
-    return pairs.select(*PAIR).distinct().withColumn("hybrid_id", F.xxhash64(*PAIR))
+    """(coin, wallet, id) of the distinct pairs: ids from 1 in the order of the pairs, so no two share one, and the same
+    pairs have the same ids in every run."""
+    return numbered(pairs.select(*PAIR).distinct(), PAIR, "hybrid_id")
+
+
+def extended_map(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``mapping`` and, for pairs that it doesn't know, ids above its own; known pairs keep theirs."""
+    last = mapping.agg(F.coalesce(F.max("hybrid_id"), F.lit(0))).first()[0]
+    new = hybrid_map(unmapped(pairs, mapping))
+    return mapping.unionByName(new.withColumn("hybrid_id", F.col("hybrid_id") + last))
 
 
 def collisions(mapping: DataFrame) -> DataFrame:
@@ -157,7 +167,9 @@ def collisions(mapping: DataFrame) -> DataFrame:
 
 
 def hybridize(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The pair's id in place of the wallet; every pair must be in the map."""
+    """The pair's id in place of the wallet; every pair must be in the map, and no id twice."""
+    if twice := collisions(mapping).limit(1).collect():
+        raise ValueError(f"two pairs have the id {twice[0]['hybrid_id']}")
     return df.join(mapping, PAIR, "left").withColumn("hybrid_id", F.coalesce("hybrid_id", F.raise_error(F.lit("a pair has no id")).cast("long"))).drop("wallet_address")
 
 

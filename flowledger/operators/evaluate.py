@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowledger.functions import expr
-from flowledger.functions.order import pct_rank, quantiles, running, winsorize
+from flowledger.functions.order import pct_rank, quantiles, running, running_in, settled, winsorize, with_quantiles
 
 
 def regression(df: DataFrame, y: str = "actual", p: str = "score") -> DataFrame:
@@ -76,7 +78,9 @@ def score_cuts(df: DataFrame, threshold: float, ret: str = "actual_return", p: s
 def step_buckets(df: DataFrame, step: float = 0.05, ret: str = "actual_return", p: str = "score") -> DataFrame:
     """Buckets of fixed width by score, named by their lower edge."""
     k = F.floor(F.round(F.col(p) / step, 9)).cast("long")
-    return df.groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.avg(ret).alias("mean_return"), F.median(ret).alias("median_return")).withColumn("midpoint", (F.col("k") + 0.5) * step)
+    rows = settled(df.select(k.alias("k"), ret))
+    g = rows.groupBy("k").agg(F.count("*").alias("n"), F.avg(ret).alias("mean_return"))
+    return with_quantiles(g, rows, ["k"], {ret: "median_return"}, [0.5]).withColumn("midpoint", (F.col("k") + 0.5) * step)
 
 
 def rank_buckets(df: DataFrame, n: int, column: str = "score", out: str = "bucket") -> DataFrame:
@@ -121,6 +125,49 @@ def chi_square_p(x: float | None) -> float | None:
     return None if x is None else math.erfc(math.sqrt(x / 2))
 
 
+@F.pandas_udf(DoubleType())
+def _chi_square_p(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if pd.isna(v) else chi_square_p(v)).astype("float64")
+
+
+@F.pandas_udf(DoubleType())
+def _t_p(t: pd.Series, freedom: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or pd.isna(n) or n < 1 else t_tail(a, int(n)) for a, n in zip(t, freedom, strict=True)], dtype="float64")
+
+
+def significant(df: DataFrame, level: float = 0.05) -> DataFrame:
+    """A report's rows with ``p_value``, from a column chi2 of one degree of freedom or from t and freedom, and whether it is
+    below ``level``, NULL without a statistic. Reports have a row for each feature, so the function of a row is no burden."""
+    p = _chi_square_p("chi2") if "chi2" in df.columns else _t_p("t", F.col("freedom").cast("double"))
+    return df.withColumn("p_value", p).withColumn("significant", F.col("p_value") < level)
+
+
+def predictive(report: DataFrame, level: float = 0.05, lift: float = 1.0) -> DataFrame:
+    """The bins of ``subpopulations`` that succeed: significant, and with more than ``lift`` times the share of positives."""
+    return significant(report, level).where(F.col("significant") & (F.col("lift") > lift))
+
+
+def group_metrics(df: DataFrame, key: str, y: str = "actual", p: str = "score", threshold: float = 0.5, least: int = 50) -> DataFrame:
+    """(key): rows, positives, ROC AUC, log loss, accuracy, precision and recall of each group's scores, all groups in one
+    pass; the metrics are NULL for groups of fewer than ``least`` rows, the AUC also where there is one class only.
+
+    Scores are counted by (group, score), and running counts of the negatives below give each positive's wins, ties half.
+    """
+    rows = settled(df.select(key, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p_")).where("_p_ is not null and _y is not null").withColumnRenamed("_p_", "_score"))
+    q = F.least(F.greatest(F.col("_score"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    hit, pos = F.col("_score") >= threshold, F.col("_y") == 1
+    g = rows.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("n"), F.count_if(pos).alias("positives"), F.avg(-F.when(pos, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"), F.avg((hit == pos).cast("double")).alias("accuracy"),
+        F.count_if(hit & pos).alias("_tp"), F.count_if(hit).alias("_hits"),
+    )
+    counted = rows.groupBy(F.col(key).alias("_key"), "_score").agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg"))
+    wins = running_in(counted, ["_key"], "_score", {"_neg": "_below"}).groupBy(F.col("_key").alias("_k")).agg(F.sum(F.col("_pos") * (F.col("_below") - F.col("_neg") / 2)).alias("_wins"))
+    both = g.join(wins, F.col("_key").eqNullSafe(F.col("_k")))
+    enough = lambda c: F.when(F.col("n") >= least, c)
+    auc = F.try_divide("_wins", F.col("positives").cast("double") * (F.col("n") - F.col("positives")))
+    return both.select(F.col("_key").alias(key), "n", "positives", enough(auc).alias("roc_auc"), *[enough(F.col(c)).alias(c) for c in ("log_loss", "accuracy")], enough(expr.ratio("_tp", "_hits")).alias("precision"), enough(expr.ratio("_tp", "positives")).alias("recall"))
+
+
 def subpopulations(df: DataFrame, columns: Sequence[str], n: int, y: str = "actual", least: int = 5) -> DataFrame:
     """(feature, bin): size, positives, lift and chi-square with Yates's correction against all other rows."""
     edges = quantiles(df, columns, [i / n for i in range(1, n)])
@@ -150,7 +197,9 @@ def name_parts(df: DataFrame, column: str = "feature") -> DataFrame:
 
 def group_profile(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Size, share, means and medians of each group (a cluster, quantile group or cohort)."""
-    g = df.groupBy(key).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{s}") for c in columns for s, f in (("mean", F.avg), ("median", F.median))])
+    df = settled(df.select(key, *columns))
+    g = df.groupBy(key).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
+    g = with_quantiles(g, df, [key], {c: f"{c}_median" for c in columns}, [0.5])
     return g.crossJoin(F.broadcast(df.agg(F.count("*").alias("_t")))).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
 
 
@@ -166,6 +215,25 @@ def top_by_metric(df: DataFrame, metrics: Sequence[str], n: int, ret: str, keys:
     return long.withColumn("_k", k).where(F.col("_k") <= n).groupBy(*keys, "metric").agg(F.avg(ret).alias("mean_return"), F.median(ret).alias("median_return"), F.min(ret).alias("min_return"), F.max(ret).alias("max_return"))
 
 
+def top_report(df: DataFrame, metrics: Sequence[str], n: int, ret: str, cap: str | None = None, caps: tuple[float | None, float | None] = (None, None), key: str = "coin_id") -> DataFrame:
+    """(metric): returns of its ``n`` highest rows against those of all, the row ``all``; with ``cap``, only of rows whose
+    market cap lies within ``caps``, a missing cap outside of any limit."""
+    low, high = caps
+    if cap and (low is not None or high is not None):
+        inside = F.lit(True) if low is None else F.col(cap) >= low
+        df = df.where(inside if high is None else inside & (F.col(cap) <= high))
+    df = settled(df.select(key, ret, *metrics))
+    stats = [F.count(ret).alias("n"), F.avg(ret).alias("mean_return"), F.min(ret).alias("min_return"), F.max(ret).alias("max_return")]
+    long = df.select(key, ret, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(key, ret, "x.*")
+    k = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc_nulls_last("value"), key))
+    top = long.withColumn("_k", k).where(F.col("_k") <= n)
+    g = top.groupBy("metric").agg(*stats, F.median(ret).alias("median_return"))  # n rows a metric
+    middle = quantiles(df, [ret], [0.5]).get(ret, [None])[0]
+    every = df.agg(*stats).select(F.lit("all").alias("metric"), "*", F.lit(middle).cast("double").alias("median_return"))
+    mean = every.select(F.col("mean_return").alias("_all"))
+    return g.unionByName(every).crossJoin(F.broadcast(mean)).withColumn("against_all", F.col("mean_return") - F.col("_all")).drop("_all")
+
+
 def consistency(segments: DataFrame, key: str = "segment") -> DataFrame:
     """(metric): mean over segments of the average-tie rank of its mean return."""
     r = pct_rank(segments.withColumn("_neg", -F.col("mean_return")), "_neg", "_r", [key]).withColumn("_rank", F.col("_r") * F.count("_neg").over(Window.partitionBy(key)))
@@ -252,5 +320,7 @@ def profit_auc(df: DataFrame, p: str, ret: str, keys: Sequence[str], share: floa
 def quartiles(df: DataFrame, column: str, cohorts: Mapping[str, Column]) -> DataFrame:
     """(cohort): count, mean, deviation and quartiles; cohorts may overlap."""
     names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cohorts.items()]))
-    g = df.select(column, F.explode(names).alias("cohort")).groupBy("cohort").agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    rows = settled(df.select(column, F.explode(names).alias("cohort")))
+    g = rows.groupBy("cohort").agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    g = with_quantiles(g, rows, ["cohort"], {column: "q"}, [0.25, 0.75])
     return g.select("cohort", "n", "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))

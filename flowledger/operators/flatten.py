@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,45 @@ def flatten(df: DataFrame, spec: Mapping[str, Mapping], keys: Sequence[str] = ("
     return rows.groupBy(*keys).agg(*out)
 
 
+def checked(df: DataFrame, end: str | None = None, keys: Sequence[str] = ("coin_id",)) -> DataFrame:
+    """``df`` if each key has one row for every day from its first to ``end``, or to the last day of all; a doubled or missing
+    day is an error that names the key."""
+    last = F.lit(end).cast("date") if end else F.lit(df.agg(F.max("date")).first()[0])
+    g = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.countDistinct("date").alias("days"), F.min("date").alias("first"), F.max("date").alias("last"))
+    bad = g.where((F.col("rows") != F.col("days")) | (F.col("last") != last) | (F.col("days") != F.datediff(last, "first") + 1))
+    if found := bad.orderBy(*keys).limit(3).collect():
+        raise ValueError(f"days missing or doubled: {[tuple(r) for r in found]}")
+    return df
+
+
+def window_dataset(sets: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = ("time_window", "coin_id")) -> tuple[DataFrame, DataFrame]:
+    """(data set, join log): the feature sets of all time windows aligned by policy, as in ``join_by_policy``, each column
+    under its set's name as name|column; and for each set its policy, its rows, the distinct keys it has of those of the
+    data set, rows of the data set before it was joined and after, all counted in one pass over the marks that the joins
+    leave. A set with a doubled key would multiply rows and is an error."""
+    full = [d.select(*keys) for d, p in sets.values() if p not in ("extend_coin_ids", "extend_time_windows")]
+    if not full:
+        raise ValueError("no set has windows and assets both")
+    out = reduce(DataFrame.union, full).distinct()
+    alive, log = F.lit(True), []
+    for name, (d, policy) in sets.items():
+        if policy not in ("retain_nulls", "fill_zeros", "drop_records", "extend_coin_ids", "extend_time_windows"):
+            raise ValueError(f"no such policy: {policy}")
+        on = {"extend_coin_ids": ["time_window"], "extend_time_windows": ["coin_id"]}.get(policy, list(keys))
+        if d.groupBy(*on).count().where("count > 1").limit(1).count():
+            raise ValueError(f"a key of {name} is there twice")
+        named = d.toDF(*[c if c in on else f"{name}|{c}" for c in d.columns]).withColumn(f"_{name}", F.lit(True))
+        out = out.join(named, on, "left")
+        if policy == "fill_zeros":
+            out = out.na.fill(0, [f"{name}|{c}" for c in d.columns if c not in on])
+        there = F.col(f"`_{name}`").isNotNull()
+        before, alive = alive, alive & there if policy == "drop_records" else alive
+        log.append((name, policy, F.count_if(there), F.count_if(before), F.count_if(alive)))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), F.lit(p).alias("policy"), F.element_at("_c", 3 * i + 1).alias("matched"), F.element_at("_c", 3 * i + 2).alias("rows_before"), F.element_at("_c", 3 * i + 3).alias("rows_after")) for i, (n, p, *_) in enumerate(log)])).alias("x")
+    counts = out.agg(F.array(*[c for _, _, *cs in log for c in cs]).alias("_c")).select(steps).select("x.*")
+    return out.where(alive).drop(*[f"_{n}" for n in sets]), counts
+
+
 def join_by_policy(sets: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str] = ("time_window", "coin_id")) -> DataFrame:
     """All data sets on the distinct keys of the full ones. Policies: retain_nulls, fill_zeros, drop_records, extend_coin_ids
     (a set without assets, for all of a window's), extend_time_windows (a set without windows, for all of an asset's)."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
-from flowledger.functions.order import pct_rank, winsorize, winsorize_by
+from flowledger.functions.order import pct_rank, quantiles, settled, winsorize, winsorize_by, with_quantiles
 
 
 def buy_signals(scores: DataFrame, high: float, min_high: int, min_mean: float, top: int) -> DataFrame:
@@ -38,8 +38,9 @@ def buys(scores: DataFrame, signals: DataFrame, returns: DataFrame) -> DataFrame
 def epoch_metrics(rows: DataFrame, cutoff: float) -> DataFrame:
     """Per epoch, with returns winsorized inside it: bought against all."""
     r = winsorize_by(rows, "coin_return", cutoff, ["epoch"], "_w")
-    b = F.when(F.col("bought"), F.col("_w"))
-    return r.groupBy("epoch").agg(F.count("*").alias("n_all"), F.avg("_w").alias("mean_all"), F.median("_w").alias("median_all"), F.count(b).alias("n_bought"), F.avg(b).alias("mean_bought"), F.median(b).alias("median_bought"), F.max(b).alias("max_bought"))
+    r = settled(r.select("epoch", "_w", F.when(F.col("bought"), F.col("_w")).alias("_b")))
+    g = r.groupBy("epoch").agg(F.count("*").alias("n_all"), F.avg("_w").alias("mean_all"), F.count("_b").alias("n_bought"), F.avg("_b").alias("mean_bought"), F.max("_b").alias("max_bought"))
+    return with_quantiles(g, r, ["epoch"], {"_w": "median_all", "_b": "median_bought"}, [0.5])
 
 
 def cycles(rows: DataFrame, thresholds: Sequence[float], cutoff: float = 0.005) -> DataFrame:
@@ -47,10 +48,9 @@ def cycles(rows: DataFrame, thresholds: Sequence[float], cutoff: float = 0.005)
     all epochs; epochs without any stay, with NULL."""
     r = winsorize(rows.withColumn("_w", F.col("coin_return")), ["_w"], cutoff)
     t = r.select("epoch", "score", "_w", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    pick = F.when(F.col("score") >= F.col("threshold"), F.col("_w"))
-    return t.groupBy("threshold", "epoch").agg(
-        F.count("_w").alias("n_all"), F.avg("_w").alias("mean_return_all"), F.median("_w").alias("median_return_all"), F.count(pick).alias("n"), F.avg(pick).alias("mean_return"), F.median(pick).alias("median_return"),
-    )
+    t = settled(t.select("threshold", "epoch", "_w", F.when(F.col("score") >= F.col("threshold"), F.col("_w")).alias("_p")))
+    g = t.groupBy("threshold", "epoch").agg(F.count("_w").alias("n_all"), F.avg("_w").alias("mean_return_all"), F.count("_p").alias("n"), F.avg("_p").alias("mean_return"))
+    return with_quantiles(g, t, ["threshold", "epoch"], {"_w": "median_return_all", "_p": "median_return"}, [0.5])
 
 
 def lifetime(cycles_: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ def lifetime(cycles_: DataFrame) -> DataFrame:
 def score_metrics(scores: DataFrame) -> DataFrame:
     """Per epoch: moments and quantiles of the scores."""
     s = F.col("score")
-    g = scores.groupBy("epoch").agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), expr.skewness(s).alias("skew"), expr.kurtosis(s).alias("kurt"), F.count_if(s > 0.8).alias("above_80"), F.count_if(s > 0.9).alias("above_90"), F.percentile(s, F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q"))
+    scores = settled(scores.select("epoch", "score"))
+    g = scores.groupBy("epoch").agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), expr.skewness(s).alias("skew"), expr.kurtosis(s).alias("kurt"), F.count_if(s > 0.8).alias("above_80"), F.count_if(s > 0.9).alias("above_90"))
+    g = with_quantiles(g, scores, ["epoch"], {"score": "q"}, [0.1, 0.5, 0.9])
     return g.select("epoch", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "skew", "kurt")], "above_80", "above_90", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
@@ -88,6 +90,35 @@ def search_summary(results: DataFrame) -> DataFrame:
     return results.withColumn("_b", base).groupBy("param", "value").agg(F.avg(s).alias("mean"), F.median(s).alias("median"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), (F.max(s) - F.min(s)).alias("range"), F.count_if(s > F.col("_b")).alias("improved"), F.countDistinct("date").alias("dates"))
 
 
+def search_deltas(results: DataFrame, baseline: int = 0) -> DataFrame:
+    """(date, combination): score, the baseline's score on that date, what it is better by, and its place on the date, the
+    best first, average of equals; the baseline itself is left out. A date without a baseline has NULL."""
+    base = results.where(F.col("combination") == baseline).groupBy("date").agg(F.max("score").alias("baseline"))  # a row for each date
+    rows = results.where(F.col("combination") != baseline).join(base, "date", "left").withColumns({"delta": F.col("score") - F.col("baseline"), "_neg": -F.col("score")})
+    place = pct_rank(rows, "_neg", "_place", ["date"]).withColumn("place", F.col("_place") * F.count("_neg").over(Window.partitionBy("date")))
+    return place.drop("_neg", "_place")
+
+
+def search_comparison(deltas: DataFrame) -> DataFrame:
+    """(combination): over dates, mean score, mean and worst delta to the baseline, mean place, and the share of dates on
+    which it beat the baseline; and a row ``all`` over combinations."""
+    aggs = [F.countDistinct("date").alias("dates"), F.avg("score").alias("mean_score"), F.avg("delta").alias("mean_delta"), F.min("delta").alias("worst_delta"), F.avg("place").alias("mean_place"), F.avg((F.col("delta") > 0).cast("double")).alias("share_better")]
+    each = deltas.groupBy(F.col("combination").cast("string").alias("combination")).agg(*aggs)
+    return each.unionByName(deltas.agg(*aggs).select(F.lit("all").alias("combination"), "*"))
+
+
+def set_scores(results: DataFrame, sets: DataFrame, baseline: int = 0) -> DataFrame:
+    """(feature): of searches in which sets of features were left out (``sets``: combination, feature), the mean delta to the
+    baseline with the feature and without it, and what the feature is worth: their difference."""
+    d = search_deltas(results, baseline).select("combination", "delta")
+    features = sets.select("feature").distinct()
+    runs = d.crossJoin(F.broadcast(features))  # features of a model: as many as its columns
+    out = runs.join(sets.select("combination", "feature", F.lit(True).alias("_out")), ["combination", "feature"], "left")
+    kept, left = F.when(F.col("_out").isNull(), F.col("delta")), F.when(F.col("_out"), F.col("delta"))
+    g = out.groupBy("feature").agg(F.count(kept).alias("n_with"), F.count(left).alias("n_without"), F.avg(kept).alias("mean_with"), F.avg(left).alias("mean_without"))
+    return g.withColumn("worth", F.col("mean_with") - F.col("mean_without"))
+
+
 def stability(summary: DataFrame, dates: int, limit: float = 0.3) -> DataFrame:
     """Coefficient of variation for positive means, percent ranks of mean and stability weighted 0.3 to 0.7, and whether the
     value is stable and tested on at least 80 % of the dates."""
@@ -105,7 +136,7 @@ def feature_stats(importances: DataFrame) -> DataFrame:
 
 def curve_positions(curves: DataFrame, macro: str, positions: int = 20) -> DataFrame:
     """(position): mean of the curves' values where the macro indicator is below its median, and above."""
-    mid = curves.agg(F.median(macro).alias("_mid"))
-    whole = curves.where(F.size("curve") == positions).crossJoin(F.broadcast(mid))
-    rows = whole.select((F.col(macro) < F.col("_mid")).alias("low"), F.posexplode("curve").alias("position", "v"))
+    mid = quantiles(curves, [macro], [0.5]).get(macro, [None])[0]
+    whole = curves.where(F.size("curve") == positions)
+    rows = whole.select((F.col(macro) < F.lit(mid)).alias("low"), F.posexplode("curve").alias("position", "v"))
     return rows.groupBy("position").agg(F.avg(F.when(F.col("low"), F.col("v"))).alias("below"), F.avg(F.when(~F.col("low"), F.col("v"))).alias("above"))

@@ -97,6 +97,22 @@ def coin_epochs(ledger: DataFrame, scores: DataFrame, market: DataFrame, starts:
     return out.join(r, WINDOW)
 
 
+def window_datasets(ledger: DataFrame, market: DataFrame, macro: DataFrame, cohort: DataFrame, starts: Sequence[str], days: int, series_spec: Mapping[str, Mapping], macro_spec: Mapping[str, Mapping], policies: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(data set, join log) of all time windows: market series and the cohort's activity by (window, asset), the macro series
+    by window, each flattened over the ``days`` days before the window's start and joined by its policy.
+
+    ``cohort`` names wallets by window (time_window, wallet_address). One range join for all windows a set, no loop over
+    them. Defaults: assets without a market series go, inactive ones have 0, the macro row goes to all assets of a window.
+    """
+    by = {"market": "drop_records", "cohort": "fill_zeros", "macro": "extend_coin_ids"} | dict(policies or {})
+    series = flatten.flatten(flatten.in_windows(market, starts, days), series_spec, WINDOW)
+    wide = flatten.flatten(flatten.in_windows(macro, starts, days), macro_spec, ["time_window"])
+    rows = flatten.in_windows(ledger, starts, days).join(cohort, ["time_window", "wallet_address"], "left_semi")
+    t = F.col("usd_net_transfers")
+    active = rows.groupBy(*WINDOW).agg(F.sum(F.abs(t)).alias("volume"), F.sum(expr.positive(t)).alias("bought"), F.countDistinct("wallet_address").alias("wallets"))
+    return flatten.window_dataset({"market": (series, by["market"]), "cohort": (active, by["cohort"]), "macro": (wide, by["macro"])})
+
+
 def validation_returns(scores: DataFrame, inflows: DataFrame, market: DataFrame, starts: Sequence[str], days: int, min_inflows: float = 0.0, cutoff: float = 0.0) -> DataFrame:
     """Scored pairs of each epoch (``epoch_start_date``) with inflows above ``min_inflows``, and their asset's return from
     the start to ``days`` days later, winsorized over all epochs' assets."""

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import fnmatch
+import json
+import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, Evaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -19,7 +22,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowledger.functions.order import quantiles, settled, winsorize
+from flowledger.functions.order import free, quantiles, settled, winsorize
 from flowledger.operators import evaluate, targets
 
 
@@ -215,6 +218,58 @@ def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequenc
     return train.sparkSession.createDataFrame(rows, "combination int, param string, value string, score double")
 
 
+_RESULT = "date string, combination int, params string, score double"
+
+
+def _combinations(space: Mapping[str, Sequence], n: int, seed: int) -> list[dict]:
+    """The empty one, which is the baseline, and n different draws, fewer if there aren't so many."""
+    rng = random.Random(seed)
+    most = math.prod(len(v) for v in space.values())
+    drawn: dict[str, dict] = {}
+    while len(drawn) < min(n, most):
+        combo = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
+        drawn.setdefault(json.dumps(combo, sort_keys=True), combo)
+    return [{}, *drawn.values()]
+
+
+def date_search(rows: DataFrame, space: Mapping[str, Sequence], n: int, kind: str, columns: Sequence[str], evaluator: Evaluator, path: str, date: str = "date", split: str = "split", label: str = "target", seed: int = 42, parallel: int = 4) -> DataFrame:
+    """(date, combination, params, score): the same n sampled combinations on every date of ``rows``, and combination 0, the
+    baseline: default parameters and all columns.
+
+    The features are assembled once for all fits and settled; drop_patterns, if in the space, choose among them. Fits of
+    several (date, combination) pairs run side by side. ``rows`` are trained on where ``split`` is train and scored where it
+    is test. Every result is written to ``path`` when it is known, and one that is there is not fitted again, so a search
+    that broke off, or that gets more dates or combinations, goes on from there. Another space under the same path is an
+    error.
+    """
+    spark = rows.sparkSession
+    combos = _combinations(space, n, seed)
+    whole = VectorAssembler(inputCols=list(columns), outputCol="_all", handleInvalid="keep").transform(rows)
+    whole = settled(whole.select(F.col(date).cast("string").alias("_date"), split, *[c for c in rows.columns if c not in (date, split, *columns)], "_all"))
+    found = sorted(r["_date"] for r in whole.select("_date").distinct().collect())  # a row for each date
+    known = {(r["date"], r["combination"]): r["params"] for r in spark.read.schema(_RESULT).parquet(f"{path}/*/*").collect()} if there(spark, path) else {}
+    told = [json.dumps(c, sort_keys=True) for c in combos]
+    if other := [k for k, p in known.items() if k[1] < len(told) and p != told[k[1]]]:
+        raise ValueError(f"results of another search: {other[0]}")
+
+    def fit(task: tuple[str, int]) -> None:
+        day, i = task
+        combo = combos[i]
+        patterns = combo.get("drop_patterns")
+        used = [k for k, c in enumerate(columns) if c not in set(matching(columns, patterns) if patterns else ())]
+        params = {k: v for k, v in combo.items() if k != "drop_patterns"}
+        slicer = VectorSlicer(inputCol="_all", outputCol="_x", indices=used)
+        own = whole.where(F.col("_date") == day)
+        model = Pipeline(stages=[slicer, KINDS[kind](featuresCol="_x", labelCol=label, seed=seed, **params)]).fit(own.where(F.col(split) == "train"))
+        got = float(evaluator.evaluate(score(model, own.where(F.col(split) == "test"))))
+        spark.createDataFrame([(day, i, told[i], got)], _RESULT).coalesce(1).write.mode("overwrite").parquet(f"{path}/date={day}/combination={i}")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(fit, [(d, i) for d in found for i in range(len(combos)) if (d, i) not in known]))
+    free(whole)
+    return spark.read.schema(_RESULT).parquet(*[f"{path}/date={d}/combination={i}" for d in found for i in range(len(combos))])
+
+
 def search_report(results: DataFrame) -> DataFrame:
     """(param, value): mean score of the values of parameters that vary."""
     vary = results.groupBy("param").agg(F.countDistinct("value").alias("n")).where("n > 1")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowledger.functions.order import pct_rank, winsorize
+from flowledger.functions.order import highest, pct_rank, settled, winsorize
 
 
 def periods(spark: SparkSession, modeling_start: str, training_days: int, modeling_days: int) -> DataFrame:
@@ -92,7 +92,7 @@ def fill_up(df: DataFrame, column: str, already: Column, share: float, out: str,
     more = int(n["n"] * share) - n["a"]
     if more <= 0:
         return df.withColumn(out, already.cast("int"))
-    best = df.where(~already).orderBy(F.desc(column) if largest else F.asc(column), key).limit(more).select(key, F.lit(1).alias("_m"))
+    best = highest(df.where(~already).select(column, key), column, more, [key], largest).select(key, F.lit(1).alias("_m"))
     return df.join(best, key, "left").withColumn(out, (already | F.col("_m").isNotNull()).cast("int")).drop("_m")
 
 
@@ -143,9 +143,8 @@ def future_split(df: DataFrame, n: int) -> DataFrame:
 
 def share_split(df: DataFrame, key: str, share: float, out: str, seed: int = 0) -> DataFrame:
     """Whole keys, round(share x keys) of them, in hash order."""
-    keys = df.select(key).distinct()
-    n = round(keys.count() * share)
-    chosen = keys.orderBy(_order([key], seed), key).limit(n).withColumn(out, F.lit(True))
+    keys = settled(df.select(key).distinct().withColumn("_h", _order([key], seed)))
+    chosen = highest(keys, "_h", round(keys.count() * share), [key], largest=False).select(key, F.lit(True).alias(out))
     return df.join(chosen, key, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
@@ -225,30 +225,59 @@ def timing(ledger: DataFrame, changes: DataFrame, columns: Sequence[str], minimu
 # scenarios
 
 
+def extremes(prices: DataFrame, first, last) -> DataFrame:
+    """(coin_id, date, levels): for every day from ``first`` to ``last``, the lowest and highest price of the 1, 2, 4 ... days
+    from it on, days without a price left out; each level is made of the one below by looking ahead."""
+    days = (last - first).days + 1
+    calendar = prices.select("coin_id").distinct().select("coin_id", F.explode(F.sequence(day(first), day(last))).alias("date"))
+    rows = calendar.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"], "left")
+    w = Window.partitionBy("coin_id").orderBy("date")
+    rows = rows.withColumns({"_l0": F.col("price"), "_h0": F.col("price")})
+    for k in range(1, days.bit_length()):
+        ahead = {x: F.lead(f"_{x}{k - 1}", 1 << (k - 1)).over(w) for x in "lh"}
+        rows = rows.withColumns({f"_l{k}": F.least(f"_l{k - 1}", ahead["l"]), f"_h{k}": F.greatest(f"_h{k - 1}", ahead["h"])})
+    return rows.select("coin_id", "date", F.array(*[F.struct(F.col(f"_l{k}").alias("low"), F.col(f"_h{k}").alias("high")) for k in range(days.bit_length())]).alias("levels"))
+
+
 def price_ranges(ledger: DataFrame, prices: DataFrame, start) -> DataFrame:
     """Per ledger row: lowest and highest price from the day of the pair's row before, or the day before ``start``, to its
-    own day. Opening and closing rows count as rows.
+    own day. Opening and closing rows count as rows; one without any price in its range is left out.
 
-    Each row meets the days of its own range by an equi-join on (asset, day)."""
+    A range of any length is two overlapping runs of a power of two days, so each row meets a table of ``extremes`` twice,
+    by equi-joins on (asset, day)."""
     before = F.coalesce(F.lag("date").over(Window.partitionBy(*PAIR).orderBy("date")), F.date_sub(day(start), 1))
-    days = ledger.withColumn("open_date", F.least(before, "date")).select(*PAIR, F.col("date").alias("row_date"), "open_date", F.explode(F.sequence("open_date", "date")).alias("date"))
-    return days.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).groupBy(*PAIR, F.col("row_date").alias("date")).agg(F.first("open_date").alias("open_date"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    rows = ledger.select(*PAIR, "date", F.least(before, "date").alias("open_date"))
+    first, last = ledger.agg(F.least(F.min("date"), F.date_sub(day(start), 1)), F.greatest(F.max("date"), day(start))).first()
+    level = F.length(F.bin(F.datediff("date", "open_date") + 1)) - 1
+    rows = rows.withColumn("_k", level).withColumn("_back", F.expr("date_sub(date, cast(pow(2, _k) as int) - 1)"))
+    table = extremes(prices, first, last)
+    for side, on in (("_a", "open_date"), ("_b", "_back")):
+        at = table.select("coin_id", F.col("date").alias(on), F.col("levels").alias("_levels"))
+        rows = rows.join(at, ["coin_id", on]).withColumn(side, F.col("_levels")[F.col("_k")]).drop("_levels")
+    out = rows.select(*PAIR, "date", "open_date", F.least("_a.low", "_b.low").alias("min_price"), F.greatest("_a.high", "_b.high").alias("max_price"))
+    return out.where("min_price is not null")
+
+
+def scenarios(ledger: DataFrame, ranges: DataFrame, prices: DataFrame, end, kinds: Sequence[str] = ("ideal", "worst")) -> DataFrame:
+    """The ledger once for each kind, with column ``kind``: as if every sale had been at the best (ideal) or worst price of its
+    range, every buy at the opposite, and the balance of the last day were priced like a sale. Tokens stay the same."""
+    if unknown := set(kinds) - {"ideal", "worst"}:
+        raise ValueError(f"no such scenario: {unknown}")
+    both = ledger.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).join(ranges.drop("open_date"), [*PAIR, "date"])
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(h).alias("_sale"), F.col(w).alias("_buy")) for k, h, w in (("ideal", "max_price", "min_price"), ("worst", "min_price", "max_price")) if k in kinds]))
+    rows = both.withColumn("_x", kind).select(*both.columns, "_x.*")
+    tokens = F.col("usd_net_transfers") / F.col("price")
+    new = tokens * F.when(F.col("usd_net_transfers") < 0, F.col("_sale")).otherwise(F.col("_buy"))
+    balance = F.when(F.col("date") == day(end), F.col("usd_balance") / F.col("price") * F.col("_sale")).otherwise(F.col("usd_balance"))
+    return rows.withColumns({"usd_net_transfers": new, "usd_balance": balance, "usd_inflows": expr.positive(new)}).select("kind", *ledger.columns)
 
 
 def scenario(ledger: DataFrame, ranges: DataFrame, prices: DataFrame, end, kind: str) -> DataFrame:
-    """The ledger as if every sale had been at the best (ideal) or worst price of its range, every buy at the opposite, and
-    the balance of the last day were priced like a sale. Tokens stay the same."""
-    if kind not in ("ideal", "worst"):
-        raise ValueError(f"no such scenario: {kind}")
-    high, low = ("max_price", "min_price") if kind == "ideal" else ("min_price", "max_price")
-    both = ledger.join(prices.select("coin_id", "date", "price"), ["coin_id", "date"]).join(ranges.drop("open_date"), [*PAIR, "date"])
-    tokens = F.col("usd_net_transfers") / F.col("price")
-    new = F.when(F.col("usd_net_transfers") < 0, tokens * F.col(high)).otherwise(tokens * F.col(low))
-    balance = F.when(F.col("date") == day(end), F.col("usd_balance") / F.col("price") * F.col(high)).otherwise(F.col("usd_balance"))
-    return both.withColumns({"usd_net_transfers": new, "usd_balance": balance, "usd_inflows": expr.positive(new)}).select(*ledger.columns)
+    """The ledger of one scenario."""
+    return scenarios(ledger, ranges, prices, end, [kind]).drop("kind")
 
 
-#: What is compared with a scenario: name -> (column, column that it is measured by, name of the share).
+#: What of trading is compared with a scenario: name -> (column, column that it is measured by, name of the share).
 RELATIVE = {
     "relative_cash_buys": ("cash_buys", "cash_buys", "relative_cash_buys/pct"), "relative_cash_sells": ("cash_sells", "cash_sells", "relative_cash_sells/pct"),
     "relative_gains": ("crypto_outflows", "crypto_outflows", "relative_gains/pct"), "relative_net_gains": ("net_gain", "max_investment", "relative_roi"),
@@ -256,43 +285,48 @@ RELATIVE = {
 NET = ("relative_cash_sells", "relative_cash_buys", "relative_roi", "relative_gains", "relative_net_gains")
 
 
-def relative_trading(actual: DataFrame, other: DataFrame, materiality: float = 20.0, cutoff: float = 0.01) -> DataFrame:
-    """Per wallet: how far its trading is from a scenario's, in money, as a winsorized share of a material base (else 0), as
-    the rank of that, and buys and sales combined. Shares are rounded to nine digits, as in ``performance``."""
-    used = sorted({c for a, b, _ in RELATIVE.values() for c in (a, b)})
-    rows = actual.select("wallet_address", *used).join(other.select("wallet_address", *[F.col(c).alias(f"_{c}") for c in used]), "wallet_address")
-    rows = rows.withColumns({n: F.abs(F.col(c) - F.col(f"_{c}")) for n, (c, _, _) in RELATIVE.items()})
-    rows = rows.withColumns({share: F.round(F.when(F.col(base) >= materiality, F.col(n) / F.col(base)).otherwise(0.0), 9) for n, (_, base, share) in RELATIVE.items()})
-    shares = [share for _, _, share in RELATIVE.values()]
-    rows = winsorize(settled(rows.select("wallet_address", *RELATIVE, *shares)), shares, cutoff)
-    both = "relative_combined/pct"
-    rows = settled(rows.withColumn(both, F.round((F.col("`relative_cash_buys/pct`") + 1) * (F.col("`relative_cash_sells/pct`") + 1) - 1, 9)))
-    rows = winsorize(rows, [both], cutoff)
-    return pct_ranks(rows, {c: c + "_rank" if c.endswith("/pct") else c + "/pct_rank" for c in (*shares, both)})
-
-
-def relative_performance(actual: DataFrame, other: DataFrame) -> DataFrame:
-    """Per wallet: performance less the scenario's, for gains by investment and by inflows, in all its forms."""
-    short = {"net_gain/max_investment": "relative_net_gain_max_inv", "net_gain/crypto_inflows": "relative_net_gain_inflows"}
-    cols = {f"{a}/{c.rpartition('/')[2]}": f"{b}/{c.rpartition('/')[2]}" for a, b in short.items() for c in actual.columns if c.startswith(a + "/")}
-    both = actual.select("wallet_address", *[F.col(f"`{c}`").alias(f"_{c}") for c in cols]).join(other.select("wallet_address", *[F.col(f"`{c}`") for c in cols]), "wallet_address")
-    return both.select("wallet_address", *[(F.col(f"`_{c}`") - F.col(f"`{c}`")).alias(n) for c, n in cols.items()])
+#: Ratios that are compared in all their forms, and the names of the differences.
+COMPARED = {"net_gain/max_investment": "relative_net_gain_max_inv", "net_gain/crypto_inflows": "relative_net_gain_inflows"}
+_FORMS = ("base", "winsorized", "rank")
 
 
 def scenario_features(ledger: DataFrame, prices: DataFrame, start, end, materiality: float = 20.0, cutoff: float = 0.01) -> DataFrame:
     """Per wallet: trading and performance against the ideal (signs turned: what was missed) and the worst scenario, and
-    where between the two the wallet lies, from 0, the worst, to 1."""
-    ranges = price_ranges(ledger, prices, start)
-    base = settled(trading(ledger, start, end))
-    perform = settled(performance(base, bases=["max_investment", "crypto_inflows"], cutoff=cutoff))
-    parts = []
-    for kind in ("ideal", "worst"):
-        t = settled(trading(scenario(ledger, ranges, prices, end, kind), start, end))
-        p = performance(t, bases=["max_investment", "crypto_inflows"], cutoff=cutoff)
-        both = relative_trading(base, t, materiality, cutoff).join(relative_performance(perform, p), "wallet_address")
-        sign = -1 if kind == "ideal" else 1
-        parts.append(both.select("wallet_address", *[(F.col(f"`{c}`") * sign).alias(f"{kind}/{c}") for c in both.columns if c != "wallet_address"]))
-    rows = parts[0].join(parts[1], "wallet_address")
+    where between the two the wallet lies, from 0, the worst, to 1.
+
+    Of trading: how far it is from the scenario's, in money, as a winsorized share of a material base (else 0), as the rank
+    of that, and buys and sales combined. Of performance: the ratio to the scenario's, for gains by investment and by
+    inflows, in all its forms. Shares and ratios are rounded to nine digits, as in ``performance``.
+
+    The ledger and its scenarios are one table with a column for the kind, so trading features are one pass, and all
+    columns are winsorized and ranked together, each over the wallets that its scenarios know.
+    """
+    ledger = settled(ledger)
+    rows = ledger.select(F.lit("actual").alias("kind"), "*").unionByName(scenarios(ledger, price_ranges(ledger, prices, start), prices, end))
+    kinds, others = ("actual", "ideal", "worst"), ("ideal", "worst")
+    used = sorted({c for a, b, _ in RELATIVE.values() for c in (a, b)} | {c for n in COMPARED for c in n.split("/")})
+    of = lambda k, c: F.col(f"`{k}|{c}`")
+    wide = trading(rows, start, end, ["kind"]).groupBy("wallet_address").agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}|{c}") for k in kinds for c in used])
+    new = {f"{k}|{n}/base": F.round(expr.ratio(of(k, n.split("/")[0]), of(k, n.split("/")[1])), 9) for k in kinds for n in COMPARED}
+    for k in others:
+        for n, (c, base, share) in RELATIVE.items():
+            far = F.abs(of("actual", c) - of(k, c))
+            new[f"{k}|{n}"] = far
+            new[f"{k}|{share}"] = F.when(far.isNotNull(), F.round(F.when(of("actual", base) >= materiality, far / of("actual", base)).otherwise(0.0), 9))
+    shares = [f"{k}|{share}" for k in others for _, _, share in RELATIVE.values()]
+    known = F.col("`actual|net_gain`").isNotNull() & of("ideal", "net_gain").isNotNull() & of("worst", "net_gain").isNotNull()
+    rows = wide.withColumns(new).withColumns({f"{k}|{n}/winsorized": of(k, f"{n}/base") for k in kinds for n in COMPARED})
+    rows = winsorize(rows.withColumn("_known", known), [*[f"{k}|{n}/winsorized" for k in kinds for n in COMPARED], *shares], cutoff)
+    combined = {f"{k}|relative_combined/pct": F.round((of(k, "relative_cash_buys/pct") + 1) * (of(k, "relative_cash_sells/pct") + 1) - 1, 9) for k in others}
+    rows = winsorize(rows.withColumns(combined), list(combined), cutoff)
+    ranks = {c: c + "_rank" if c.endswith("/pct") else c + "/pct_rank" for c in (*shares, *combined)}
+    rows = pct_ranks(rows, ranks | {f"{k}|{n}/base": f"{k}|{n}/rank" for k in kinds for n in COMPARED}).where("_known")
+    own = [*RELATIVE, *[c.partition("|")[2] for x in ranks.items() for c in x if c.startswith("ideal|")]]
+    out: dict[str, Column] = {}
+    for k, sign in (("ideal", -1), ("worst", 1)):
+        out |= {f"{k}/{c}": of(k, c) * sign for c in own}
+        out |= {f"{k}/{short}/{form}": (of("actual", f"{n}/{form}") - of(k, f"{n}/{form}")) * sign for n, short in COMPARED.items() for form in _FORMS}
+    rows = rows.select("wallet_address", *[c.alias(n) for n, c in out.items()])
     a, b = (lambda c: F.col(f"`ideal/{c}`")), (lambda c: F.col(f"`worst/{c}`"))
     return rows.withColumns({f"net_perf/{c}": F.when(F.abs(b(c) - a(c)) < 1e-10, 0.0).otherwise(F.try_divide(-a(c), b(c) - a(c))) for c in NET})
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
+from flowledger.functions.order import highest, with_quantiles
 from flowledger.operators import cleaning, evaluate, models
 from flowledger.plans import views as v
 from flowledger.plans.oracle import Q, rounded
@@ -48,8 +49,9 @@ def a01_a03_conditional_weighted(spark: SparkSession, d: str) -> DataFrame:
 def a05_moments(spark: SparkSession, d: str) -> DataFrame:
     rows = v.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_quantity") * F.col("l_quantity")).alias("x"))
     x = F.col("x")
-    q = F.percentile(x, F.array(F.lit(0.002), F.lit(0.998)))
-    return rows.groupBy("k").agg(F.round(q[0], 4).alias("p02"), F.round(q[1], 4).alias("p998"), F.round(F.median(x), 4).alias("median"), F.round(F.stddev_samp(x), 3).alias("std"), F.round(expr.skewness(x), 5).alias("skew"), F.round(expr.kurtosis(x), 5).alias("kurt"))
+    g = rows.groupBy("k").agg(F.round(F.stddev_samp(x), 3).alias("std"), F.round(expr.skewness(x), 5).alias("skew"), F.round(expr.kurtosis(x), 5).alias("kurt"))
+    g = with_quantiles(g, rows, ["k"], {"x": "q"}, [0.002, 0.5, 0.998])
+    return g.select("k", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p02", "median", "p998"))], "std", "skew", "kurt")
 
 
 @query("""WITH m AS (SELECT event_type, CAST(ts AS DATE) AS date, round(avg(value), 4) AS p FROM events GROUP BY 1, 2) SELECT event_type, round(product(1 + coalesce(r, 0)) - 1, 4) + 0.0 AS compounded FROM (SELECT event_type, p / lag(p) OVER (PARTITION BY event_type ORDER BY date) - 1 AS r FROM m) GROUP BY 1""")
@@ -79,8 +81,8 @@ def o02_top_n(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT (SELECT CAST(ceil(count(*) * 0.01) AS BIGINT) FROM orders)")
 def o04_top_percent(spark: SparkSession, d: str) -> DataFrame:
     """The top one percent of the rows, one at least."""
-    o = v.table(spark, d, "orders")
-    return o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(max(1, -(-o.count() // 100))).select("o_orderkey")
+    o = v.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return highest(o, "o_totalprice", max(1, -(-o.count() // 100)), ["o_orderkey"]).select("o_orderkey")
 
 
 @query("""SELECT key, bool_or(a) AS in_a, bool_or(b) AS in_b FROM (SELECT l_partkey AS key, true AS a, false AS b FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT l_partkey, false, true FROM lineitem WHERE l_discount > 0.095) GROUP BY 1 HAVING NOT (bool_or(a) AND bool_or(b))""")
@@ -116,6 +118,16 @@ def s09_s10_parquet_cache(spark: SparkSession, d: str) -> DataFrame:
     return tables.cached(spark, path, build, covers=("2024-01-01", "2024-01-30"))
 
 
+@query(Q("market", "SELECT coin_id, date, price, volume FROM market WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'"))
+def s10_growing_days(spark: SparkSession, d: str) -> DataFrame:
+    """A data set that grows: a first period, then a longer one, of which only the days before and after are built."""
+    m = v.market(spark, d).select("coin_id", "date", "price", "volume")
+    path = tables.scratch(spark, "growing")
+    build = lambda a, b: m.where(F.col("date").between(a, b))
+    tables.grown(spark, path, build, "2024-01-08", "2024-01-15")
+    return tables.grown(spark, path, build, "2024-01-03", "2024-01-25").select("coin_id", "date", "price", "volume")
+
+
 @query(Q("market", "SELECT coin_id, strftime(date, '%Y-%m-%d') AS day, price, NULL::DOUBLE AS volume FROM market WHERE date < DATE '2024-01-16' UNION ALL SELECT coin_id, strftime(date, '%Y-%m-%d'), price, volume FROM market WHERE date >= DATE '2024-01-16'", "price volume"))
 def s11_csv_union(spark: SparkSession, d: str) -> DataFrame:
     m = v.market(spark, d).withColumn("day", F.col("date").cast("string"))

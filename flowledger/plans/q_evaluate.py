@@ -280,3 +280,38 @@ def b15_curve_positions(spark: SparkSession, d: str) -> DataFrame:
     curve = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "value"))), lambda r: r["value"])  # 20 values
     c = first.groupBy("user_id").agg(curve.alias("curve")).join(e.groupBy("user_id").agg(F.avg("value").alias("macro")), "user_id")
     return rounded(invest.curve_positions(c, "macro"))
+
+
+CLUSTERS = SCORED + """, cl AS (SELECT *, CAST(wallet_address % 7 AS INTEGER) AS cluster FROM sc WHERE wallet_address % 7 < 6 OR wallet_address % 5 = 0), pairs_ AS (SELECT p.cluster, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auc FROM cl p JOIN cl n ON p.cluster = n.cluster AND p.actual = 1 AND n.actual = 0 GROUP BY 1)"""
+
+
+@query(Q("scores", """SELECT cluster, n, positives, CASE WHEN n >= 50 THEN auc END AS roc_auc, CASE WHEN n >= 50 THEN ll END AS log_loss, CASE WHEN n >= 50 THEN CAST(ok AS DOUBLE) / n END AS accuracy,
+    CASE WHEN n >= 50 THEN coalesce(CAST(tp AS DOUBLE) / nullif(hits, 0), 0) END AS precision, CASE WHEN n >= 50 THEN coalesce(CAST(tp AS DOUBLE) / nullif(positives, 0), 0) END AS recall
+    FROM (SELECT cluster, count(*) AS n, count(*) FILTER (actual = 1) AS positives, avg(-CASE WHEN actual = 1 THEN ln(least(greatest(score, 1e-15), 1 - 1e-15)) ELSE ln(1 - least(greatest(score, 1e-15), 1 - 1e-15)) END) AS ll, count(*) FILTER ((score >= 0.5) = (actual = 1)) AS ok, count(*) FILTER (actual = 1 AND score >= 0.5) AS tp, count(*) FILTER (score >= 0.5) AS hits FROM cl GROUP BY 1) LEFT JOIN pairs_ USING (cluster)""", "roc_auc log_loss accuracy precision recall", CLUSTERS, 5))
+def x15_cluster_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Model metrics of every cluster of wallets, in one pass."""
+    rows = scored(spark, d).withColumn("cluster", (F.col("wallet_address") % 7).cast("int")).where("cluster < 6 or wallet_address % 5 = 0")
+    return rounded(evaluate.group_metrics(rows, "cluster"), 5)
+
+
+#: Upper tail of chi-square with one degree of freedom, by the series of the error function that has positive terms only.
+CHI_P = "greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} / 2) * sqrt({x} / 2) * list_sum(list_transform(range(0, 120), lambda i: exp(i * ln(greatest({x}, 1e-300)) - list_sum(list_transform(range(0, i + 1), lambda j: ln(2 * j + 1)))))))"
+SUBS = SCORED + """, fe AS (SELECT 'score' AS feature, score AS v, actual FROM sc UNION ALL SELECT 'noisy', noisy, actual FROM sc), ed AS (SELECT feature, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM fe GROUP BY 1),
+bi AS (SELECT feature, CAST(1 + (v > a)::INT + (v > b)::INT + (v > c)::INT AS INTEGER) AS bin, count(*) AS n, count(*) FILTER (actual = 1) AS pos FROM fe JOIN ed USING (feature) GROUP BY 1, 2), tt AS (SELECT count(*) AS tn, count(*) FILTER (actual = 1) AS tp FROM sc),
+ch AS (SELECT feature, bin, n, pos, (CAST(pos AS DOUBLE) / n) / (CAST(tp AS DOUBLE) / tn) AS lift, tn * power(greatest(abs(CAST(pos AS DOUBLE) * (tn - n - tp + pos) - CAST(n - pos AS DOUBLE) * (tp - pos)) - tn / 2.0, 0), 2) / (CAST(n AS DOUBLE) * (tn - n) * tp * (tn - tp)) AS chi2 FROM bi, tt)"""
+
+
+@query(Q("scores", f"SELECT feature, bin, n, pos, lift, chi2, {CHI_P.format(x='chi2')} AS p_value, {CHI_P.format(x='chi2')} < 0.3 AS significant FROM ch", "lift chi2 p_value", SUBS, 4))
+def x13_significance(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of two features with their p-values against all other rows."""
+    return rounded(evaluate.significant(evaluate.subpopulations(scored(spark, d), ["score", "noisy"], 4), 0.3), 4)
+
+
+REPORT = PARTS + ", pc AS (SELECT * FROM pt WHERE price BETWEEN 905 AND 1500), mc AS (SELECT coin_id, ret, 'size' AS metric, size AS value FROM pc UNION ALL SELECT coin_id, ret, 'price', price FROM pc)"
+
+
+@query(Q("", """SELECT *, mean_return - (SELECT avg(ret) FROM pc) AS against_all FROM (SELECT metric, count(*) AS n, avg(ret) AS mean_return, median(ret) AS median_return, min(ret) AS min_return, max(ret) AS max_return FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, coin_id) AS k FROM mc) WHERE k <= 25 GROUP BY 1
+    UNION ALL SELECT 'all', count(*), avg(ret), median(ret), min(ret), max(ret) FROM pc)""", "mean_return median_return min_return max_return against_all", REPORT))
+def x18_top_report(spark: SparkSession, d: str) -> DataFrame:
+    """Top assets of each metric against all assets, within limits of the market cap, for which the price stands."""
+    return rounded(evaluate.top_report(parts(spark, d), ["size", "price"], 25, "ret", "price", (905.0, 1500.0)))

@@ -13,6 +13,7 @@ from flowledger.operators import checks, cleaning, wallet
 from flowledger.plans import views as v
 from flowledger.plans.oracle import COST, PERIOD, TRADING, Q, rounded
 from flowledger.plans.registry import query
+from flowledger.sources import tables
 
 TRADING_DOUBLES = "crypto_inflows crypto_outflows net_crypto_flows net_gain max_investment total_volume average_transaction cash_buys cash_sells net_cash_flow"
 ROW_DOUBLES = "usd_net_transfers usd_balance usd_inflows usd_inflows_cumulative profits_cumulative"
@@ -424,7 +425,7 @@ def f71_windows_wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query(Q("ledger market", """SELECT c.wallet_address, coalesce(t.total_volume, 0) AS "trading|total_volume", b.hhi AS "balance|hhi" FROM (SELECT DISTINCT wallet_address FROM ledger) c LEFT JOIN trading t USING (wallet_address) LEFT JOIN (SELECT wallet_address, sum(f * f) AS hhi FROM (SELECT wallet_address, b / sum(b) OVER (PARTITION BY wallet_address) AS f FROM (SELECT coin_id, wallet_address, arg_max(usd_balance, date) AS b FROM period GROUP BY 1, 2) WHERE b > 0) GROUP BY 1) b USING (wallet_address)""", "trading|total_volume balance|hhi", PERIOD + "," + TRADING, 5))
 def f70_all_features(spark: SparkSession, d: str) -> DataFrame:
-    p = period(spark, d)
+    p = tables.bucketed(period(spark, d), ["coin_id", "wallet_address"], ["date"])
     out = wallet.features(p, v.START, v.END, v.ledger(spark, d).select("wallet_address").distinct(), {"trading": wallet.trading(p, v.START, v.END), "balance": wallet.balance_distribution(p)}, ["balance"])
     return rounded(out.select("wallet_address", F.col("`trading|total_volume`"), F.col("`balance|hhi`")), 5)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from datetime import date as dates
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,46 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force
     return spark.read.parquet(path)
 
 
+def grown(spark: SparkSession, path: str, build: Callable[[str, str], DataFrame], start: str, end: str, date: str = "date") -> DataFrame:
+    """Rows of the days from ``start`` to ``end`` of a data set that grows: only days that it has never had are built, by
+    ``build(first, last)`` for each gap, and appended, a folder for each day.
+
+    A manifest beside the data lists the days that are done, those without a row too. It is written after a gap's data, so
+    a run that broke off is done again from there, over what it had left."""
+    done, data = f"{path}/manifest", f"{path}/data"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(done)
+    known = set()
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = {r["day"] for r in spark.read.schema("day string").json(done).collect()}  # a row for each day
+    a, b = (dates.fromisoformat(x) for x in (start, end))
+    missing = [d for k in range((b - a).days + 1) if str(d := a + timedelta(k)) not in known]
+    gaps: list[list[dates]] = []
+    for d in missing:
+        if gaps and d == gaps[-1][1] + timedelta(1):
+            gaps[-1][1] = d
+        else:
+            gaps.append([d, d])
+    for first, last in gaps:
+        rows = build(str(first), str(last)).where(F.col(date).between(str(first), str(last)))
+        rows.repartition(date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date).parquet(data)
+        days = [(str(first + timedelta(k)),) for k in range((last - first).days + 1)]
+        spark.createDataFrame(days, "day string").coalesce(1).write.mode("append").json(done)
+    return spark.read.parquet(data).withColumn(date, F.col(date).cast("date")).where(F.col(date).between(start, end))
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``df`` written once as a table of buckets by ``keys``, each sorted by the keys and ``order``, and read back: what groups,
+    windows or joins it by the keys, or by the keys and more (a window, an epoch), needs no exchange of its own.
+
+    A ledger is laid out by pair this way before several families of features are made of it. There are as many buckets as
+    shuffle partitions unless said otherwise."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"laid_out_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys, *order).option("path", path or scratch(spark, "buckets")).saveAsTable(name)
+    return spark.table(name)
+
+
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
     if twice:
