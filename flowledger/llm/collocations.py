@@ -8,7 +8,7 @@ phrases are noted, and from there on counted exactly in every shard until they h
 So no step holds the counts of more than one shard, and a phrase activates longer ones as soon as its count so far is
 enough, whatever the cycle. The scans end when nothing is open.
 
-Which phrases are open is told to the tasks by a table of ``SLOTS`` bytes at hashes of phrases, of that size for any
+Which phrases are open is told to the tasks by a table of bytes at hashes of phrases, of 2 ** BITS bytes at most for any
 corpus. Two phrases in one slot only make a task count a phrase in vain: counts go by the words' hashes.
 """
 
@@ -32,9 +32,11 @@ from flowledger.llm.scratch import keep, lean, place
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Shards of a cycle.
 SHARDS = 2
-#: Bits of a slot's number, and what a slot can say: reached, reached within the last cycle, being counted.
-BITS = 23
-REACHED, FRESH, COUNTED = 1, 2, 4
+#: Bits of a slot's number: at least, at most, and bytes of text for which there is one slot in between. What a slot says:
+#: reached, reached within the last cycle; being counted, in three slots of a phrase, so that few others seem to be.
+FEWEST, BITS, SLOT_BYTES = 16, 26, 64
+REACHED, FRESH = 1, 2
+COUNTED = (4, 8, 16)
 #: Phrases of a task that are counted together before they are shuffled, and bytes of text for which there is one part of
 #: the phrases, of MOST parts at least.
 TOGETHER, PART_BYTES, PARTS = 3_000_000, 16 << 20, 64
@@ -125,9 +127,18 @@ def _bytes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, np.where(last, n[index] - 255 * (times[index] - 1), 255).astype(np.uint8)
 
 
-def _said(table: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """What the table of slots, of a power of two, says of phrases by their hashes."""
-    return table[(k >> np.uint64(65 - len(table).bit_length())).astype(np.int64)]
+def _slot(k: np.ndarray, bits: int, i: int) -> np.ndarray:
+    """The i-th slot of phrases, by their hashes."""
+    return ((k >> np.uint64((64 - bits, 32 - bits // 2, 0)[i])) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _counted(table: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Whether phrases seem to be among those that are counted."""
+    out = np.ones(len(k), bool)
+    for i, flag in enumerate(COUNTED):
+        at = np.flatnonzero(out)
+        out[at] = table[_slot(k[at], len(table).bit_length() - 1, i)] & flag > 0
+    return out
 
 
 class Scan:
@@ -143,14 +154,14 @@ class Scan:
         self.strings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of words: hash, text bytes, languages
 
     def says(self, k: np.ndarray) -> np.ndarray:
-        return _said(self.table, k)
+        return self.table[_slot(k, len(self.table).bit_length() - 1, 0)]
 
     def add(self, texts: list[bytes], langs: list[str]) -> Iterator[tuple]:
         w, piece, text, starts, ends, raw = words(texts, langs)
         if not len(w):
             return
         if self.everything or 1 in self.open:
-            one = np.arange(len(w)) if self.everything else np.flatnonzero(self.says(w) & COUNTED)
+            one = np.arange(len(w)) if self.everything else np.flatnonzero(_counted(self.table, w))
             yield from self._words(w[one], text[one], starts[one], ends[one], raw, langs)
         if self.table is None:
             return
@@ -161,14 +172,17 @@ class Scan:
             if n <= 0:
                 break
             k = _mix(k[:n] * np.uint64(0x9E3779B97F4A7C15) + w[m - 1 :])
-            own = self.says(k)
             both, any_ = below[:n] & below[1 : n + 1], below[:n] | below[1 : n + 1]
-            wanted = (both & REACHED > 0) & (any_ & FRESH > 0) | (own & COUNTED > 0)
-            at = np.flatnonzero(wanted & (piece[:n] == piece[m - 1 :])) if m in self.open else []
-            if len(at):
-                self.found[m].append([w[at + j] for j in range(m)])
-                self.held += len(at)
-            below = own
+            below = self.says(k)
+            if m in self.open:
+                whole = piece[:n] == piece[m - 1 :]
+                wanted = whole & (both & REACHED > 0) & (any_ & FRESH > 0)
+                rest = np.flatnonzero(whole & ~wanted)
+                wanted[rest] = _counted(self.table, k[rest])
+                at = np.flatnonzero(wanted)
+                if len(at):
+                    self.found[m].append([w[at + j] for j in range(m)])
+                    self.held += len(at)
         if self.held >= TOGETHER:
             yield from self.sent()
 
@@ -252,7 +266,7 @@ def _facts(least: int, table: Broadcast | None, everything: bool, pdf: pd.DataFr
                 langs += [lang] * n
         keys, n = [np.concatenate(c) for c in columns], np.concatenate(counts)
         order, first, total, k = _summed(keys, n)
-        wanted = np.flatnonzero((total >= least) | (_said(table.value, k) & COUNTED > 0) if table else total >= least)
+        wanted = np.flatnonzero((total >= least) | _counted(table.value, k) if table else total >= least)
         at = order[first[wanted]]
         frame = {"m": m} | {w: (keys[j][at].view(np.int64) if j < m else np.zeros(len(at), np.int64)) for j, w in enumerate(_KEY)} | {"k": k[wanted].view(np.int64)}
         if m == 1:
@@ -292,17 +306,30 @@ def _counts(facts: DataFrame, least: int, shards: int, *more: Column) -> DataFra
     return out.where("since is not null")
 
 
-def _told(counts: DataFrame, step: int, shards: int) -> tuple[np.ndarray, list[int]]:
-    """The table of slots for ``step``, for which at most 2 ** BITS numbers a length come to the driver, and the lengths
-    that have open phrases."""
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk of the table, and the lengths that have fresh and counted phrases in it, as bits."""
+    chunk = np.zeros(1 << FEWEST, np.uint8)
+    says = pdf["says"].to_numpy(np.uint8)
+    np.bitwise_or.at(chunk, pdf["slot"].to_numpy(np.int64) & (1 << FEWEST) - 1, says)
+    m = 1 << pdf["m"].to_numpy(np.int64)
+    bits = [int(np.bitwise_or.reduce(m[says & flag > 0], initial=0)) for flag in (FRESH, COUNTED[0])]
+    return pd.DataFrame({"chunk": [int(pdf["slot"].iloc[0]) >> FEWEST], "fresh": bits[:1], "counted": bits[1:], "payload": [zlib.compress(chunk.tobytes(), 1)]})
+
+
+def _told(counts: DataFrame, step: int, shards: int, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The table of slots for ``step``, which comes to the driver in chunks, and the lengths that have open phrases."""
     fresh = (F.col("m") < LONGEST) & (F.col("reached") >= step - shards)
-    says = F.when((F.col("m") < LONGEST) & F.col("reached").isNotNull(), REACHED).otherwise(0) + F.when(fresh, FRESH).otherwise(0) + F.when(F.col("since") > step - shards, COUNTED).otherwise(0)
-    slots = counts.select("m", F.shiftrightunsigned("k", 64 - BITS).cast("int").alias("slot"), says.cast("byte").alias("says")).where("says > 0")
-    rows = slots.groupBy("m", "slot").agg(F.bit_or("says").alias("says")).toArrow()
-    m, slot, told = (rows[c].to_numpy() for c in ("m", "slot", "says"))
-    table = np.zeros(1 << BITS, np.uint8)
-    np.bitwise_or.at(table, slot, told.astype(np.uint8))
-    return table, sorted({*(m[told & FRESH > 0] + 1).tolist(), *m[told & COUNTED > 0].tolist()})
+    reached = F.when((F.col("m") < LONGEST) & F.col("reached").isNotNull(), REACHED).otherwise(0) + F.when(fresh, FRESH).otherwise(0)
+    counted = F.col("since") > step - shards
+    slot = lambda i: F.shiftrightunsigned("k", (64 - bits, 32 - bits // 2, 0)[i]).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    each = [F.struct(slot(0).alias("slot"), (reached + F.when(counted, COUNTED[0]).otherwise(0)).cast("int").alias("says"))]
+    each += [F.struct(slot(i).alias("slot"), F.when(counted, COUNTED[i]).otherwise(0).cast("int").alias("says")) for i in (1, 2)]
+    slots = counts.select("m", F.explode(F.array(*each)).alias("x")).select("m", "x.*").where("says > 0")
+    table, fresh_, counted_ = np.zeros(1 << bits, np.uint8), 0, 0
+    for r in slots.groupBy(F.shiftright("slot", FEWEST)).applyInPandas(_packed, "chunk int, fresh int, counted int, payload binary").toLocalIterator():
+        table[r["chunk"] << FEWEST : (r["chunk"] + 1) << FEWEST] = np.frombuffer(zlib.decompress(r["payload"]), np.uint8)
+        fresh_, counted_ = fresh_ | r["fresh"], counted_ | r["counted"]
+    return table, [m for m in range(1, LONGEST + 1) if (fresh_ << 1 | counted_) >> m & 1]
 
 
 def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -314,11 +341,12 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, text: str =
     dealt = keep(own.withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int")), "shards", by="shard")
     size = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(PARTS, -(-size // PART_BYTES))
+    bits = min(BITS, max(FEWEST, (size // SLOT_BYTES).bit_length()))
     base, facts, step = place(spark, "facts"), None, 0
     while True:
         told, open_ = None, []
         if facts is not None:
-            table, open_ = _told(_counts(facts, least, shards), step, shards)
+            table, open_ = _told(_counts(facts, least, shards), step, shards, bits)
             told = spark.sparkContext.broadcast(table)
         everything = step < shards
         if not open_ and not everything:
