@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import fresh, lean
+from flowledger.llm.scratch import columns, fresh, lean
 
 #: Trigrams are hashed to this many buckets.
 BUCKETS = 1 << 16
@@ -141,5 +141,5 @@ def identify(docs: DataFrame, train: int = TRAIN, penalty: float = PENALTY, id_c
     langs, p = learn(pool.join(F.broadcast(part), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), "i"), F.lit(2**31)) < F.col("part")))
     kind = F.pandas_udf(partial(_predict, langs, p, penalty), "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
     (told,) = fresh(docs, "_told")
-    rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "languages")]
+    rest = columns(c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "languages"))
     return docs.withColumn(told, kind(F.col(text))).select(*rest, held_out(id_col).alias("held_out"), f"{told}.lang_pred", f"{told}.score", F.lit(len(langs)).alias("languages"))

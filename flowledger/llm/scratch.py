@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
@@ -40,6 +41,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def columns(names) -> list:
+    """Columns of a table by their names, whatever characters these hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that is used once."""
     return f"{folder(spark)}/flowledger/{spark.conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"

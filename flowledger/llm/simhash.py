@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowledger.llm.components import components, forest
-from flowledger.llm.scratch import fresh, keep, lean
+from flowledger.llm.scratch import columns, fresh, keep, lean
 
 WORDS, BITS = 4, 4
 #: First bit and width of each block.
@@ -219,6 +219,6 @@ def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text: str) ->
     best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("text_hash").alias("h"))).alias("b"))
     i, h, t = fresh(docs, "_id", "_h", "_t")
     stay = best.select(F.col("b.id").alias(i), F.col("b.h").alias(h))
-    cols = docs.columns
+    cols = columns(docs.columns)
     joined = docs.withColumn(t, F.xxhash64(text)).join(stay, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left_semi")
     return joined.dropDuplicates([id_col, t]).select(*cols)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import fresh, lean
+from flowledger.llm.scratch import columns, fresh, lean
 
 SENTENCES, WORDS = 3, 20
 #: Consecutive words of which one ends a clause; with more, a passage of 51 words might hold no run.
@@ -143,4 +143,5 @@ def dedup(docs: DataFrame, sentences: int = SENTENCES, least: int = WORDS, id_co
     gone = later.groupBy(F.col("_id").alias(i), F.col("_t").alias(t)).agg(F.collect_set(F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(dead))
     kind = F.pandas_udf(partial(_cut, sentences, least), "text string, removed long", F.PandasUDFType.SCALAR_ITER)
     both = docs.withColumn(i, own).withColumn(t, mark).join(gone, [i, t], "left").withColumn(done, kind(F.col(text), F.col(dead)))
-    return both.select(*[F.col(f"{done}.text").alias(text) if c == text else F.col(c) for c in docs.columns if c != removed], F.col(f"{done}.removed").alias(removed))
+    rest = [F.col(f"{done}.text").alias(text) if c == text else columns([c])[0] for c in docs.columns if c != removed]
+    return both.select(*rest, F.col(f"{done}.removed").alias(removed))

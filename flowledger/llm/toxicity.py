@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowledger.llm.scratch import fresh, lean
+from flowledger.llm.scratch import columns, fresh, lean
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 SPAN = 16
@@ -190,4 +190,4 @@ def score(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = O
     kind = F.pandas_udf(partial(_scores, value.astype(np.float32), bias), "double", F.PandasUDFType.SCALAR_ITER)
     (got,) = fresh(docs, "_got")
     scored = docs.withColumn(got, kind(F.col(text)))
-    return scored.select(*[c for c in docs.columns if c not in ("held_out", "score", "predicted")], held_out(id_col).alias("held_out"), F.col(got).alias("score"), (F.col(got) >= threshold).cast("int").alias("predicted"))
+    return scored.select(*columns(c for c in docs.columns if c not in ("held_out", "score", "predicted")), held_out(id_col).alias("held_out"), F.col(got).alias("score"), (F.col(got) >= threshold).cast("int").alias("predicted"))

@@ -1,7 +1,7 @@
 """Rows with nulls, blanks, long texts, ties, repeated rows and clashing column names, for every operator."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, piece string, salt string, k long, anchor string, ids string, count long, _ID string, _t string, _gone string, _got int, _told int"
-REST = ("x", "y", "z", 1, "w", "v", 2, "u", "t", "s", 3, 4)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, piece string, salt string, k long, anchor string, ids string, count long, _ID string, _t string, _gone string, _got int, _told int, `a.b` int, `c``d` string"
+REST = ("x", "y", "z", 1, "w", "v", 2, "u", "t", "s", 3, 4, 5, "r")
 
 
 def documents(spark, texts, first=0):
