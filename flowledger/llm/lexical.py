@@ -27,7 +27,7 @@ from flowledger.llm.scratch import keep, lean
 
 TOP = 10
 #: Of a block of the index: documents and postings at most, more only in a block of one document.
-DOCUMENTS, POSTINGS = 8192, 1 << 20
+DOCUMENTS, POSTINGS = 8192, 1 << 19
 #: Of one pass over the documents: distinct terms and items that it serves at most; more items take further passes.
 TERMS, ITEMS = 1 << 19, 1 << 14
 #: Parts in which an item's candidates are ranked first.
@@ -86,8 +86,8 @@ def _block(docs: list, ns: list[int], terms: list, tfs: list, weights: np.ndarra
         lists.append(pa_[met])
         joint.append(int((impact[starts[a] : ends[a]][met] + impact[starts[b] : ends[b]][k[met]]).max(initial=0)))
     return {
-        "docs": docs, "terms": known.tolist(), "ends": ends.tolist(), "places": place.tolist(), "impacts": impact.tolist(), "pairs": here.tolist(),
-        "joint": joint, "pair_ends": np.cumsum([len(x) for x in lists]).tolist(), "pair_places": np.concatenate(lists).tolist() if lists else [],
+        "docs": docs, "terms": known, "ends": ends, "places": place, "impacts": impact, "pairs": here,
+        "joint": joint, "pair_ends": np.cumsum([len(x) for x in lists]), "pair_places": np.concatenate(lists) if lists else [],
     }
 
 
@@ -95,7 +95,9 @@ def _index(weights: np.ndarray, both: np.ndarray, n_docs: int, n_terms: int, sch
     docs, ns, terms, tfs, held = [], [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([_block(docs, ns, terms, tfs, weights, both, n_docs, n_terms)], schema)
+        row = _block(docs, ns, terms, tfs, weights, both, n_docs, n_terms)
+        arrays = (pa.array(row[f.name], f.type.value_type) for f in schema)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays], schema=schema)
 
     for batch in batches:
         for i, n in enumerate(batch.column(1).to_pylist()):
@@ -118,7 +120,7 @@ class Block:
     """A row of the index, ready for searches."""
 
     def __init__(self, row: dict, n_words: int, n_pairs: int):
-        arrays = {k: np.array(v, np.int64) for k, v in row.items() if k != "docs"}
+        arrays = {k: np.asarray(v, np.int64) for k, v in row.items() if k != "docs"}
         self.docs, self.places, self.impacts, self.pair_places = row["docs"], arrays["places"], arrays["impacts"], arrays["pair_places"]
         self.span = np.zeros((n_words, 2), np.int64)
         self.span[arrays["terms"], 1] = arrays["ends"]
@@ -166,8 +168,9 @@ class Block:
 def _search(top: int, items: list[np.ndarray], both: np.ndarray, n_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     best: list[list[tuple]] = [[] for _ in items]
     for batch in batches:
-        for row in batch.to_pylist():
-            block = Block(row, n_words, len(both))
+        for i in range(batch.num_rows):
+            row = {n: c[i].values for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            block = Block(row | {"docs": row["docs"].to_pylist()}, n_words, len(both))
             for q, own in enumerate(items):
                 bar = max(1, -best[q][top - 1][0]) if len(best[q]) >= top else 1
                 places, scores = block.search(own, both, bar)
