@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from datetime import date, timedelta
 from functools import partial
 
@@ -210,51 +210,70 @@ def low_variance(df: DataFrame, columns: Sequence[str], limit: float, protected:
     return [c for c in columns if not c.startswith(tuple(protected)) and seen[c] is not None and seen[c] <= limit]
 
 
-#: Columns on each side of a block of sums of products.
-SIDE = 128
+#: Columns on each side of a block of column pairs, and blocks whose sums a task holds at once, of 0.8 MB each.
+SIDE, BLOCKS = 128, 32
 
 
-def _products(columns: list[str], middle: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """By block of column pairs, over rows where both are there: their number, sums of both, of squares and of products."""
-    n = len(columns)
-    total = np.zeros((4, n, n))
+def _products(blocks: list[tuple[int, int]], parts: dict[int, tuple[list[str], np.ndarray]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """By block of column pairs, over rows where both are there: their number, sums, sums of squares, and of products."""
+    total = {b: np.zeros((6, len(parts[b[0]][0]), len(parts[b[1]][0]))) for b in blocks}
     for pdf in batches:
-        x = pdf[columns].to_numpy(np.float64) - middle
-        there = ~np.isnan(x)
-        x, m = np.where(there, x, 0.0), there.astype(np.float64)
-        total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-    for i in range(0, n, SIDE):
-        for j in range(0, n, SIDE):
-            yield pd.DataFrame({"i": [i], "j": [j], "sums": [total[:, i : i + SIDE, j : j + SIDE].tobytes()]})
-
-
-def _added(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"i": [key[0]], "j": [key[1]], "sums": [sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()]})
+        x, m = {}, {}
+        for k, (columns, middle) in parts.items():
+            v = pdf[columns].to_numpy(np.float64) - middle
+            m[k] = (~np.isnan(v)).astype(np.float64)
+            x[k] = np.where(m[k] > 0, v, 0.0)
+        for i, j in blocks:
+            total[i, j] += np.stack([m[i].T @ m[j], x[i].T @ m[j], m[i].T @ x[j], (x[i] * x[i]).T @ m[j], m[i].T @ (x[j] * x[j]), x[i].T @ x[j]])
+    for (i, j), t in total.items():
+        yield pd.DataFrame({"i": [i], "j": [j], "width": [t.shape[2]], "sums": [t.tobytes()]})
+
+
+def _links(limit: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    def links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        count, a, b, aa, bb, ab = np.sum([np.frombuffer(x) for x in pdf["sums"]], 0).reshape(6, -1, int(pdf["width"].iloc[0]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(count > 1, (ab - a * b / count) / np.sqrt((aa - a * a / count) * (bb - b * b / count)), np.nan)
+        i, j = np.nonzero(np.abs(r) > limit)
+        found = pd.DataFrame({"a": i + key[0] * SIDE, "b": j + key[1] * SIDE, "r": r[i, j]})
+        return found[found["a"] < found["b"]] if limit >= 0 else found
+
+    return links
+
+
+def correlation_links(df: DataFrame, columns: Sequence[str], limit: float) -> DataFrame:
+    """(a, b, r): numbers of the columns, a before b, whose correlation over the rows where both are there lies beyond the
+    limit, either sign; below 0 as a limit gives all pairs, a column's with itself too. Tasks add up sums of products by block of column pairs, BLOCKS of them in one pass and as many
+    passes as it takes; only the links of a block leave it, so no one holds the whole matrix."""
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = settled(rows) if len(columns) > SIDE else rows
+    means = rows.agg(*[F.avg(c) for c in rows.columns]).first()
+    parts = {k: (rows.columns[at : at + SIDE], np.array([x or 0.0 for x in means[at : at + SIDE]])) for k, at in enumerate(range(0, len(columns), SIDE))}
+    blocks = [(i, j) for i in parts for j in parts if i <= j]
+    found = None
+    for at in range(0, len(blocks), BLOCKS):
+        now = blocks[at : at + BLOCKS]
+        used = {k: parts[k] for k in sorted({k for b in now for k in b})}
+        sums = rows.select(*[c for names, _ in used.values() for c in names]).mapInPandas(partial(_products, now, used), "i int, j int, width int, sums binary")
+        links = sums.groupBy("i", "j").applyInPandas(_links(limit), "a int, b int, r double")
+        found = links if found is None else found.unionAll(links)
+    return found
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Correlation of each pair of columns over the rows where both are there, NaN without two of them or a spread. Two
-    passes: means, then sums of products, which Spark adds up by block of columns."""
-    n = len(columns)
-    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    middle = np.array([x or 0.0 for x in rows.agg(*[F.avg(c) for c in rows.columns]).first()])
-    parts = rows.mapInPandas(partial(_products, rows.columns, middle), "i int, j int, sums binary").groupBy("i", "j").applyInPandas(_added, "i int, j int, sums binary")
-    total = np.zeros((4, n, n))
-    for r in parts.toLocalIterator():
-        i, j = r["i"], r["j"]
-        total[:, i : i + SIDE, j : j + SIDE] = np.frombuffer(r["sums"]).reshape(4, min(SIDE, n - i), -1)
-    count, one, square, product = total
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = square - one * one / count
-        return np.where(count > 1, (product - one * one.T / count) / np.sqrt(spread * spread.T), np.nan)
+    """The whole matrix of a report on a few columns, NaN without two rows that have both or without a spread."""
+    out = np.full((len(columns), len(columns)), np.nan)
+    for r in correlation_links(df, columns, -1.0).collect():
+        out[r["a"], r["b"]] = out[r["b"], r["a"]] = r["r"]
+    return out
 
 
 def correlated(df: DataFrame, columns: Sequence[str], limit: float, protected: Sequence[str] = ()) -> list[str]:
     """Columns that correlate beyond the limit with one before them; prefixes in ``protected`` stay."""
-    r = np.abs(correlations(df, columns)) if len(columns) > 1 else np.zeros((1, 1))
-    return [c for i, c in enumerate(columns) if not c.startswith(tuple(protected)) and (r[i, :i] > limit).any()]
-
-
+    if len(columns) < 2:
+        return []
+    late = {r["b"] for r in correlation_links(df, columns, limit).select("b").distinct().collect()}  # numbers of columns
+    return [c for i, c in enumerate(columns) if i in late and not c.startswith(tuple(protected))]
 
 
 def wallet_targets(cohort: DataFrame, features: DataFrame) -> DataFrame:

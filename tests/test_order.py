@@ -237,3 +237,19 @@ def test_search_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
     assert len(deltas) == 6 and all(r["delta"] == pytest.approx(r["score"] - best[r["date"], 0]) for r in deltas)
     with pytest.raises(ValueError, match="another search"):
         models.date_search(rows, {"maxDepth": [3]}, 1, "rf_classifier", ["good", "noise"], models.MetricEvaluator("auc"), f"file://{tmp_path}/s")
+
+
+def test_correlated_columns_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(targets, "BLOCKS", 2)
+    rng = random.Random(9)
+    n = 2 * targets.SIDE + 3
+    rows = []
+    for _ in range(60):
+        r = [rng.gauss(0, 1) for _ in range(n)]
+        r[200], r[n - 1], r[5] = -r[3] * 2 + 1, r[130] + 0.01 * r[131], None if rng.random() < 0.2 else r[4] * 3
+        rows.append(tuple(r))
+    names = [f"x{i}" for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    links = {(r["a"], r["b"]): r["r"] for r in targets.correlation_links(df, names, 0.9).collect()}
+    assert set(links) == {(3, 200), (130, n - 1), (4, 5)} and links[3, 200] == pytest.approx(-1) and links[4, 5] == pytest.approx(1)
+    assert targets.correlated(df, names, 0.9, ["x200"]) == ["x5", f"x{n - 1}"]
