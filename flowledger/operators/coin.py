@@ -45,11 +45,18 @@ def activity(ledger: DataFrame, end, keys: Sequence[str] = ()) -> DataFrame:
     return grid_fill(daily, end, ["total_balance", "total_holders"], flows, keys)
 
 
+#: Chains that become columns of their own at most.
+CHAINS = 1_000
+
+
 def metadata_flags(meta: DataFrame, categories: Sequence[str], chain_threshold: int) -> DataFrame:
-    """One boolean for each category, each chain with enough assets, and the other chains; case doesn't matter."""
+    """One boolean for each category, each chain with enough assets, and the other chains; case doesn't matter. More than
+    CHAINS such chains are an error."""
     lower = F.transform("categories", F.lower)
     chain = F.lower("chain")
-    known = sorted(r["c"] for r in meta.groupBy(chain.alias("c")).count().where((F.col("count") >= chain_threshold) & F.col("c").isNotNull()).select("c").collect())
+    known = sorted(r["c"] for r in meta.groupBy(chain.alias("c")).count().where((F.col("count") >= chain_threshold) & F.col("c").isNotNull()).select("c").limit(CHAINS + 1).collect())
+    if len(known) > CHAINS:
+        raise ValueError(f"more than {CHAINS} chains have {chain_threshold} assets")
     flags = [F.coalesce(F.array_contains(lower, c.lower()), F.lit(False)).alias(f"category_{c.lower()}") for c in categories]
     flags += [F.coalesce(chain == c, F.lit(False)).alias(f"chain_{c}") for c in known]
     return meta.select("coin_id", *flags, (~F.coalesce(chain.isin(known), F.lit(False))).alias("chain_other"))

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowledger.functions import expr
-from flowledger.functions.order import pct_rank, winsorize, winsorize_by
+from flowledger.functions.order import pct_rank, settled, winsorize, winsorize_by
 from flowledger.operators import cleaning, coin, evaluate, flatten, indicators, models, targets
+from flowledger.sources import tables
 
 PAIR = ["coin_id", "wallet_address"]
 WINDOW = ["time_window", "coin_id"]
@@ -134,7 +135,7 @@ def model_job(data: DataFrame, columns: Sequence[str], target: Column, kind: str
     F-beta on eval. Gives the fitted ``model``, ``threshold``, ``columns``, and ``metrics``: a row for the test rows and one
     for ``validation``, data of later epochs with the same columns.
     """
-    rows = targets.stratified_split(data.withColumn("target", target.cast("double")), key, stratum, shares or {"test": 0.2, "eval": 0.1}, "train", seed)
+    rows = settled(targets.stratified_split(data.withColumn("target", target.cast("double")), key, stratum, shares or {"test": 0.2, "eval": 0.1}, "train", seed))
     train = rows.where("split = 'train'")
     drop = models.select_features(train, list(columns), -1.0 if variance is None else variance, 2.0 if correlation is None else correlation) if variance is not None or correlation is not None else None
     fit = rows.where("split <> 'test'").withColumn("_eval", F.col("split") == "eval") if kind.startswith("gbt") else train
@@ -144,7 +145,7 @@ def model_job(data: DataFrame, columns: Sequence[str], target: Column, kind: str
     parts = {"test": rows.where("split = 'test'")} | ({"validation": validation.withColumn("target", target.cast("double"))} if validation is not None else {})
     metrics = None
     for name, part in parts.items():
-        scored = models.score(model, part).withColumn("actual", F.col("target").cast("int" if classes else "double"))
+        scored = settled(models.score(model, part).select("score", F.col("target").cast("int" if classes else "double").alias("actual")))
         m = evaluate.classification(scored, cut).crossJoin(evaluate.roc_auc(scored)) if classes else evaluate.regression(scored, "actual", "score")
         m = m.select(F.lit(name).alias("data"), "*")
         metrics = m if metrics is None else metrics.unionByName(m)
@@ -158,7 +159,7 @@ def train_scores(definitions: Mapping[str, Mapping], data: DataFrame, columns: S
     spark, out = data.sparkSession, {}
     for name, own in definitions.items():
         path = f"{folder}/{name}" if folder else None
-        if path and not rebuild and models.there(spark, f"{path}/threshold"):
+        if path and not rebuild and tables.exists(spark, f"{path}/threshold"):  # written last
             out[name] = (PipelineModel.load(f"{path}/model"), spark.read.json(f"{path}/threshold").first()["threshold"])
             continue
         done = model_job(data, columns, key=key, **{**common, **own})
@@ -173,7 +174,7 @@ def investment_cycles(epochs: DataFrame, columns: Sequence[str], target: Column,
     """(time_window, coin_id, score, coin_return): for each cycle a model of the epochs whose returns were known by then, its
     scores of the assets on that day, and what they returned. ``epochs`` is as ``coin_epochs`` gives it; a cycle without
     past epochs, or a scored asset without a return, is an error."""
-    out = None
+    out, epochs = None, settled(epochs)
     for buy in cycles:
         known = epochs.where(F.date_add("time_window", hold - 1) < F.lit(buy).cast("date")).withColumn("target", target.cast("double"))
         now = epochs.where(F.col("time_window") == F.lit(buy).cast("date"))
@@ -196,7 +197,7 @@ def cycle_report(scored: DataFrame, thresholds: Sequence[float], cutoff: float =
 
 def k_fold(data: DataFrame, columns: Sequence[str], kind: str, key: str, folds: int, evaluator: models.Evaluator, seed: int = 42, **params) -> DataFrame:
     """(fold, score): each fold, by a hash of the key, scored by a model of the others."""
-    rows = data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)))
+    rows = settled(data.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds))))
     out = []
     for i in range(folds):
         model = models.build(kind, columns, seed=seed, **params).fit(rows.where(F.col("_fold") != i))

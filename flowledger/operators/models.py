@@ -206,7 +206,7 @@ def random_search(train: DataFrame, test: DataFrame, space: Mapping[str, Sequenc
     """(combination, param, value, score) for n sampled combinations; drop_patterns, if in the space, choose columns, and
     target chooses one of the named ``variants`` of the label."""
     rng = random.Random(seed)
-    rows = []
+    rows, train, test = [], settled(train), settled(test)
     for i in range(n):
         combo = {k: rng.choice(list(v)) for k, v in sorted(space.items())}
         patterns = combo.get("drop_patterns")

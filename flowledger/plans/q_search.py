@@ -79,3 +79,20 @@ def e07_window_dataset(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 1, 'cohort', 'fill_zeros', (SELECT count(*) FROM ac), (SELECT count(*) FROM mk), (SELECT count(*) FROM mk) UNION ALL SELECT 2, 'macro', 'extend_coin_ids', (SELECT count(*) FROM (SELECT time_window, coin_id FROM mk UNION SELECT time_window, coin_id FROM ac) JOIN ma USING (time_window)), (SELECT count(*) FROM mk), (SELECT count(*) FROM mk))""", "", SETS))
 def e07_join_log(spark: SparkSession, d: str) -> DataFrame:
     return window_sets(spark, d)[1]
+
+
+@query(Q("ledger scores", """SELECT a.coin_id, a.holders, b.wallets, b.mean_score FROM (SELECT coin_id, count(DISTINCT wallet_address) AS holders FROM ledger WHERE usd_balance > 100 GROUP BY 1) a JOIN (SELECT coin_id, count(*) AS wallets, avg(score) AS mean_score FROM scores GROUP BY 1) b USING (coin_id)""", "mean_score"))
+def j10_feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Two sets of asset features, joined where both know the asset."""
+    held = v.ledger(spark, d).where("usd_balance > 100").groupBy("coin_id").agg(F.countDistinct("wallet_address").alias("holders"))
+    scored = v.scores(spark, d).groupBy("coin_id").agg(F.count("*").alias("wallets"), F.avg("score").alias("mean_score"))
+    return rounded(jobs.join_features(held, scored))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 45""")
+def p09_matching_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Columns that match a glob are dropped, but for the protected ones."""
+    li = v.table(spark, d, "lineitem").where("l_quantity > 45")
+    wanted = ["l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus"]
+    gone = models.matching(li.columns, ["l_*date", "l_*key", "l_*t", "l_*y", "l_ext*", "l_tax"], wanted)
+    return li.drop(*gone)
