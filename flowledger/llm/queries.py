@@ -78,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6, "op12_lexical": OP12, "op13_collocations": OP13}
+    return {"op6_topk": OP6, "op11_chat": OP11, "op12_lexical": OP12, "op13_collocations": OP13}
 
 
 OP6 = """
@@ -96,6 +96,47 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP11 = r"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) - 1 AS pos, role, text,
+        len(regexp_extract_all(text, '[\p{L}\p{M}]{1,5}|\p{N}{1,3}|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) + 4 AS n,
+        length(text) + len(regexp_extract_all(text, '[\[<]\\*(/?(INST|TURN)\]|:\]|/?s>|</?SYS>>)'))
+            + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length(role) + len(regexp_extract_all(role, '[\[<]\\*(/?(INST|TURN)\]|:\]|/?s>|</?SYS>>)')) END AS chars
+    FROM given
+), turns AS (
+    SELECT *, sum(n) OVER w - n AS before, sum(chars) OVER w - chars AS chars_before, count(*) OVER (PARTITION BY conv_id) AS total
+    FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), system AS (
+    SELECT t.*, CASE WHEN z.role = 'system' THEN 1 ELSE 0 END AS first, CASE WHEN z.role = 'system' THEN z.n ELSE 0 END AS fixed, CASE WHEN z.role = 'system' THEN z.chars ELSE 0 END AS fixed_chars
+    FROM turns t JOIN turns z ON z.conv_id = t.conv_id AND z.pos = 0
+), past AS (
+    SELECT s.conv_id, s.pos, min(b.before) AS from_tokens, min(b.chars_before) AS from_chars
+    FROM system s JOIN system b ON b.conv_id = s.conv_id AND (b.pos = s.pos OR b.pos < s.pos AND b.pos >= s.first AND b.pos >= s.pos - 4 AND s.before - b.before <= least(512, 2048 - s.fixed - s.n))
+    GROUP BY ALL
+), starts AS (
+    SELECT s.*, p.from_tokens - CASE WHEN s.pos > 0 THEN s.fixed ELSE 0 END AS base, p.from_chars - CASE WHEN s.pos > 0 THEN s.fixed_chars ELSE 0 END AS base_chars
+    FROM system s JOIN past p ON p.conv_id = s.conv_id AND p.pos = s.pos
+), spans AS (
+    SELECT s.conv_id, s.pos, s.base_chars, coalesce(min(e.pos), any_value(s.total)) AS next
+    FROM starts s LEFT JOIN turns e ON e.conv_id = s.conv_id AND e.pos > s.pos AND (e.pos % 1024 = 0 OR e.before + e.n - s.base > 2048)
+    GROUP BY ALL
+), chosen AS (
+    SELECT conv_id, pos, base_chars, next FROM spans WHERE pos = 0
+    UNION ALL SELECT s.conv_id, s.pos, s.base_chars, s.next FROM chosen c JOIN spans s ON s.conv_id = c.conv_id AND s.pos = c.next
+), ends AS (
+    SELECT conv_id, pos + 1 AS next, chars_before + chars AS upto FROM turns
+), formatted AS (
+    SELECT conv_id, sum(upto - base_chars)::BIGINT AS formatted_chars FROM chosen JOIN ends USING (conv_id, next) GROUP BY conv_id
+), said AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss
+    FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said JOIN formatted USING (conv_id)
+"""
+
 OP12 = r"""
 WITH words AS (
     SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts

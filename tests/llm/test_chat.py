@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import regex
 
 from flowledger.llm import chat, queries
@@ -106,5 +107,9 @@ def test_query_and_its_plan(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     df = queries.op11_chat(spark, sf)
-    assert sorted(map(tuple, df.collect()), key=str) == digest(plain(rows))
+    got = sorted(map(tuple, df.collect()), key=str)
+    assert got == digest(plain(rows))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    assert got == sorted(con.execute(queries.OP11).fetchall(), key=str)
     assert not any(x in df._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
