@@ -9,10 +9,13 @@ either align or are optional.
 The wrapper's blocks are then judged by what the sample pages hold there. Slots, optional and repeated groups may be
 content; constants and blocks that are equal on CONSTANT_PAGES unlike pages are template. Content is what an article or
 main element holds, or, without one, the innermost block with all those parts whose changing words, outside links, make up
-a share of SIGNIFICANT. What HTML itself calls a menu, header, footer, aside, form or dialogue isn't followed. Names of
+a share of SIGNIFICANT, and with the paragraphs, headlines and the like beside them. Inside an article or main element
+texts that pages share are content too, a label of a recipe say, unless most of their words are links or their block's name
+tells otherwise. What HTML itself calls a menu, header, footer, aside, form or dialogue isn't followed. Names of
 classes only break ties: a block called a comment list or an advert, by exactly that name, is left out beside others, one
-with a vaguer name only if it recurs on the host's pages. A page is read by matching it against the wrapper, block by
-block; a page of which the wrapper knows less than it doesn't is its own sample.
+called a menu or sidebar only if most of its words are links or it recurs on the host's pages, one with a vaguer name only
+if it recurs. A page is read by matching it against the wrapper, block by block; a page of which the wrapper knows less
+than it doesn't is its own sample.
 
 At most SAMPLE pages of a host are aligned, one from each of as many hash classes; every page is extracted. Nothing here
 is recursive, so pages may nest as deep as they like.
@@ -54,14 +57,16 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img label".split())
+_MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split())
+_INLINE = _MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img label".split())
 #: What a start tag ends, if it is open and no block of the second kind lies between.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
-_NOISE_TAGS = frozenset("head nav aside footer form script style noscript template svg iframe button select option textarea title dialog menu object canvas audio video fieldset math xmp noembed noframes".split())
+_NOISE_TAGS = frozenset("head nav aside footer form script style noscript template svg iframe button select option textarea title dialog menu canvas audio video xmp noembed noframes".split())
 _NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 #: Whole names of classes and ids: those that say what a block is, and those that may also be an article's.
-_CLEAR = frozenset("ad ads advert adverts advertisement advertising comments comment-list disqus_thread sidebar cookie-notice cookie-banner breadcrumb breadcrumbs pagination navbar navigation menu nav footer".split())
+_CLEAR = frozenset("ad ads advert adverts advertisement advertising comments comment-list disqus_thread cookie-notice cookie-banner".split())
+_LISTS = frozenset("sidebar breadcrumb breadcrumbs pagination navbar navigation menu nav footer".split())
 _VAGUE = frozenset("comment replies respond related recommended share sharing social promo promotion sponsor sponsored banner notice notices newsletter subscribe subscription signup widget widgets cookie cookies popup modal overlay header".split())
 _MAIN = frozenset(["article", "main"])
 #: Blocks that are text rather than parts of a page.
@@ -70,7 +75,8 @@ _TEXT = frozenset("# p h1 h2 h3 h4 h5 h6 ul ol dl li dt dd blockquote pre table
 
 class Node:
     """A block: kind, children, how often (1, ?, + or *), the sample pages that have it as bits; a text has kind # and its
-    words or None for a slot. ``hint`` says what its names do: 2 clearly no article, 1 vaguely, 0 nothing."""
+    words or None for a slot. ``hint`` says what its names do: 3 clearly no article, 2 a menu or the like, 1 vaguely no
+    article, 0 nothing."""
 
     __slots__ = ("changed", "children", "flag", "hint", "kind", "links", "noise", "often", "pages", "tag", "text", "weight", "words")
 
@@ -96,7 +102,16 @@ def _noise(name: str, attrs: dict[str, str]) -> bool:
 
 def _hint(attrs: dict[str, str]) -> int:
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    return 2 if not _CLEAR.isdisjoint(names) else 1 if not _VAGUE.isdisjoint(names) else 0
+    return 3 if not _CLEAR.isdisjoint(names) else 2 if not _LISTS.isdisjoint(names) else 1 if not _VAGUE.isdisjoint(names) else 0
+
+
+def _linked(block: Node) -> bool:
+    """Whether most words of a block are links."""
+    words, links = 0, 0
+    for n in walk(block):
+        if n.kind == "#":
+            words, links = words + n.words, links + n.links
+    return 2 * links > words
 
 
 def parse(page: str) -> Node:
@@ -165,7 +180,7 @@ def parse(page: str) -> Node:
             if name == "br":
                 text.append(" ")
             elif name not in _VOID:
-                bad = _noise(name, attrs) or _hint(attrs) == 2
+                bad = _noise(name, attrs) or name.startswith("annotation")
                 inline.append((name, bad))
                 within[name] += 1
                 skip += bad
@@ -382,8 +397,11 @@ def infer(pages: list[Node]) -> Node:
             n.flag = CONTENT
             for c in n.children:
                 again = (c.pages & bits).bit_count() > 1
-                if not c.noise and not (c is not top and (c.hint == 2 and (again or several == 1) or c.hint == 1 and again) and c.weight < 0.5 * top.weight):
+                named = c.hint == 3 and (again or several == 1) or c.hint == 2 and (again or _linked(c)) or c.hint == 1 and again
+                if not c.noise and not (c is not top and named and c.weight < 0.5 * top.weight):
                     stack.append((c, top))
+                if c.kind == "#" and top.tag in _MAIN and not n.hint and 2 * c.links <= c.words:
+                    c.flag = CONTENT  # what an article says is its own, though others say it too
             if n.tag[:1] == "h" and n.tag[1:].isdigit():
                 for c in n.children:
                     c.flag = CONTENT  # a headline is never template
@@ -415,11 +433,12 @@ def _dense(root: Node) -> list[Node]:
         plain = sum(c.weight for c in node.children if c.tag in _TEXT and not c.noise)
         if plain >= SIGNIFICANT * node.weight or not kids:
             return [node]
+        beside = [c for c in kids if c.tag in _TEXT and not c.hint and not _linked(c)]
         kids = [c for c in kids if c.weight >= SIGNIFICANT * node.weight and c.tag not in _TEXT] or kids
         if best := [c for c in kids if not c.hint]:
             kids = best
-        if len(kids) > 1:
-            return kids
+        if len(kids) > 1 or beside:
+            return [*kids, *[c for c in beside if c not in kids]]
         node = kids[0]
 
 
@@ -475,7 +494,7 @@ class Wrapper:
                     if self.flag[k] != TEMPLATE:
                         todo.append((c, k, self.flag[k] == CONTENT))
                 elif content:
-                    if c.hint < 2:
+                    if c.hint < 2 or c.hint == 2 and not _linked(c):
                         todo.append((c, -1, True))
                 else:
                     lost += sum(x.words for x in walk(c))

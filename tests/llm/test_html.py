@@ -121,3 +121,43 @@ def test_longest_common_subsequence():
             got = h.common(x, y)
             assert len(got) == best[-1][-1] and all(x[i] == y[j] for i, j in got) and got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
         h.TABLE = was
+
+
+def read(pages):
+    """Texts of the pages of one host, by the wrapper of them all."""
+    w = h.Wrapper(h.flat(h.infer([h.parse(p) for p in pages])))
+    return [h.extract(p, w) for p in pages]
+
+
+def prose(k, n=60):
+    return " ".join(f"word{k}x{i}" for i in range(n))
+
+
+def test_labels_that_pages_share_stay_in_the_article():
+    pages = [f"<html><body><nav><a href=/>Home</a></nav><article><h1>Film {k}</h1><dl><dt>Director</dt><dd>Name{k} Surname{k}</dd></dl><p>{prose(k)}</p><p>Serve it cold and enjoy.</p></article></body></html>" for k in range(6)]
+    for k, text in enumerate(read(pages)):
+        assert text == f"Film {k}\nDirector\nName{k} Surname{k}\n{prose(k)}\nServe it cold and enjoy."
+
+
+def test_shared_links_and_named_notices_go():
+    pages = [f"<body><article><p>{prose(k)}</p><div class=more><a href=/x>Read more stories here</a></div><div class=notice><p>We use cookies on this page.</p></div></article></body>" for k in range(6)]
+    assert read(pages) == [prose(k) for k in range(6)]
+
+
+def test_a_short_lead_beside_a_long_body():
+    pages = [f"<body><div id=top><a href=/>Home</a></div><div class=page><p>Lead number {k} of a few words only.</p><div class=body><p>{prose(k, 150)}</p></div></div></body>" for k in range(5)]
+    want = [f"Lead number {k} of a few words only.\n{prose(k, 150)}" for k in range(5)]
+    assert read(pages) == want
+    assert [h.extract(p, None) for p in pages] == want
+
+
+def test_names_alone_drop_no_article_text():
+    page = f"<body><article><p>{prose(1)}</p><section class=menu><p>The menu: soup and fish.</p></section><ul class=navigation><li>Take the ferry.</li></ul><p>An <span class=ad>advert</span> is a text.</p></article></body>"
+    assert h.extract(page, None) == f"{prose(1)}\nThe menu: soup and fish.\nTake the ferry.\nAn advert is a text."
+    links = f"<body><article><p>{prose(2)}</p><ul class=menu><li><a href=a>One page</a></li><li><a href=b>Other page</a></li></ul></article></body>"
+    assert h.extract(links, None) == prose(2)
+
+
+def test_math_is_inline():
+    page = f"<body><article><p>{prose(3)}</p><p>the sum <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding=tex>x+1</annotation></math> is known</p></article></body>"
+    assert h.extract(page, None) == f"{prose(3)}\nthe sum x+1 is known"
