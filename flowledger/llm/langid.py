@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 TRAIN = 5_000
 SMOOTH, PENALTY, STEPS = 0.05, 3.0, 12
 #: Trigram occurrences (distinct within a document) that are worked on at once.
-BATCH = 1 << 18
+BATCH = 1 << 16
 
 _LETTER = np.arange(256, dtype=np.int64)
 _LETTER[:128] = [x if chr(x).islower() else 32 for x in range(128)]
