@@ -71,5 +71,5 @@ def test_language_stage_decides(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries()) and 4 <= len(corpus_pipeline.STAGES) <= 5
