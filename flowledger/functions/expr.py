@@ -87,5 +87,26 @@ def sum0(c) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0.0))
 
 
+def _fits(c: Column) -> Column:
+    return F.abs(c) < 1e9
+
+
+def _decimals(c: Column) -> Column:
+    return F.when(_fits(c), c).cast("decimal(38,18)")
+
+
+def exact_sum(c) -> Column:
+    """Sum that doesn't hang on the order of the rows, taken in decimals of 18 places: amounts of a few digits add up
+    exactly, so that a sum can be held against a limit. With a value of 1e9 or more it is the plain sum."""
+    c = col(c)
+    return F.when(F.bool_and(_fits(c)), F.sum(_decimals(c)).cast("double")).otherwise(F.sum(c))
+
+
+def exact_mean(c) -> Column:
+    """Mean by the same sum: the means of groups that hold the same numbers are equal, whatever the order."""
+    c = col(c)
+    return F.when(F.bool_and(_fits(c)), F.avg(_decimals(c)).cast("double")).otherwise(F.avg(c))
+
+
 def names(parts: Sequence[str], sep: str = "|") -> str:
     return sep.join(p for p in parts if p)

@@ -109,8 +109,9 @@ def unit_buckets(df: DataFrame, n: int = 10, column: str = "score", ret: str = "
 
 
 def coin_fit(df: DataFrame, min_score: float, min_count: int, ret: str = "actual_return") -> tuple[DataFrame, DataFrame]:
-    """(assets, fit): mean score and return of each asset, and the line through them."""
-    coins = df.where(F.col("score") >= min_score).groupBy("coin_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(ret).alias("mean_return")).where(F.col("n") >= min_count)
+    """(assets, fit): mean score and return of each asset, and the line through them; NULL where all mean scores are equal.
+    The means are exact, else their rounding errors would make a line where there is none."""
+    coins = df.where(F.col("score") >= min_score).groupBy("coin_id").agg(F.count("*").alias("n"), expr.exact_mean("score").alias("mean_score"), expr.exact_mean(ret).alias("mean_return")).where(F.col("n") >= min_count)
     return coins, coins.agg(F.regr_slope("mean_return", "mean_score").alias("slope"), F.regr_intercept("mean_return", "mean_score").alias("intercept"), F.regr_r2("mean_return", "mean_score").alias("r2"))
 
 

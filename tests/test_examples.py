@@ -293,3 +293,13 @@ def test_export(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.append_scores(df.withColumn("epoch", F.col("k")), str(tmp_path), str(tmp_path), {})
     assert invest.lifetime(spark.createDataFrame([(0.5, "a", 2, 0.1), (0.5, "b", 0, None)], "threshold double, epoch string, n long, mean_return double").withColumn("mean_return_all", F.lit(0.2))).first()["lifetime_return"] == pytest.approx(0.1)
+
+
+def test_no_line_through_equal_means(spark):
+    """Each asset has the same scores in another order: no slope, however the sums are rounded."""
+    rows = [(c, s / 1000, ((s * 7 + i) % 200) / 100 - 1) for i, c in enumerate("abcde") for s in random.Random(c).sample(range(1000), 1000)]
+    coins, fit = evaluate.coin_fit(spark.createDataFrame(rows, "coin_id string, score double, actual_return double").repartition(7), 0.2, 10)
+    assert {r["mean_score"] for r in coins.collect()} == {0.5995}
+    assert tuple(fit.first()) == (None, None, None)
+    big = spark.createDataFrame([(1e12,), (2e12,), (None,)], "x double").agg(expr.exact_mean("x"), expr.exact_sum("x")).first()
+    assert tuple(big) == (1.5e12, 3e12)
