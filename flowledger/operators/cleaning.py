@@ -80,7 +80,7 @@ def market_chain(df: DataFrame, max_gap_days: int, min_volume: float, min_covera
 def clean_ledger(df: DataFrame, max_wallet_inflows: float) -> tuple[DataFrame, DataFrame]:
     """(ledger, exclusions): wallets whose last cumulative inflows, over all assets, reach the limit are taken out."""
     last = df.groupBy(*PAIR).agg(F.max_by("usd_inflows_cumulative", "date").alias("v"))
-    out = last.groupBy("wallet_address").agg(F.sum("v").alias("total_inflows")).where(F.col("total_inflows") >= max_wallet_inflows)
+    out = last.groupBy("wallet_address").agg(expr.exact_sum("v").alias("total_inflows")).where(F.col("total_inflows") >= max_wallet_inflows)
     return df.join(out, "wallet_address", "left_anti"), out
 
 

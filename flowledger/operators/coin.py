@@ -22,9 +22,9 @@ def classify_cohort(ledger: DataFrame, min_inflows: float, max_inflows: float, p
     """
     p, i = F.col("profits_cumulative"), F.col("usd_inflows")
     ret = F.when(i != 0, p / i).when(p > 0, float("inf")).when(p < 0, float("-inf"))
-    pair = ledger.groupBy(*keys, "wallet_address", "coin_id").agg(F.max_by(p, "date").alias("p"), F.sum(i).alias("i"), F.max_by(ret, F.when(ret.isNotNull(), F.col("date"))).alias("r"))
+    pair = ledger.groupBy(*keys, "wallet_address", "coin_id").agg(F.max_by(p, "date").alias("p"), expr.exact_sum(i).alias("i"), F.max_by(ret, F.when(ret.isNotNull(), F.col("date"))).alias("r"))
     win = (F.col("p") >= profit_win) & (F.col("r") >= return_win)
-    w = pair.groupBy(*keys, "wallet_address").agg(F.sum("i").alias("total_inflows"), F.count("*").alias("total_coins"), F.count_if(win).alias("winning_coins"), F.sum("p").alias("total_profits"))
+    w = pair.groupBy(*keys, "wallet_address").agg(expr.exact_sum("i").alias("total_inflows"), F.count("*").alias("total_coins"), F.count_if(win).alias("winning_coins"), F.sum("p").alias("total_profits"))
     w = w.where(F.col("total_inflows").between(min_inflows, max_inflows))
     return w.withColumns({"return_rate": expr.try_ratio("total_profits", "total_inflows"), "in_cohort": F.col("winning_coins") >= min_wins})
 

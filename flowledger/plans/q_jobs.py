@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowledger.functions import expr
 from flowledger.operators import checks, coin, flatten, jobs, models, targets, wallet
 from flowledger.plans import views as v
 from flowledger.plans.oracle import Q, rounded
@@ -71,7 +72,7 @@ def x12_validation_returns(spark: SparkSession, d: str) -> DataFrame:
     """Scored pairs of each epoch with enough inflows before it, against their assets' winsorized returns."""
     s = epoch_scores(spark, d).withColumnRenamed("epoch", "epoch_start_date")
     starts = s.select("epoch_start_date").distinct()
-    i = v.ledger(spark, d).join(F.broadcast(starts), F.col("date") < F.col("epoch_start_date")).groupBy("epoch_start_date", "coin_id", "wallet_address").agg(F.sum("usd_inflows").alias("inflows"))
+    i = v.ledger(spark, d).join(F.broadcast(starts), F.col("date") < F.col("epoch_start_date")).groupBy("epoch_start_date", "coin_id", "wallet_address").agg(expr.exact_sum("usd_inflows").alias("inflows"))
     return rounded(jobs.validation_returns(s, i, v.market(spark, d), ["2024-01-06", "2024-01-11", "2024-01-16", "2024-01-21"], 7, 60.0, 0.1).select("epoch_start_date", "coin_id", "wallet_address", "score", "coin_return"))
 
 

@@ -80,7 +80,7 @@ def l09_e07_window_features(spark: SparkSession, d: str) -> DataFrame:
 def l10_window_cohorts(spark: SparkSession, d: str) -> DataFrame:
     """A cohort by inflows in each window, and what it moved."""
     rows = flatten.in_windows(v.ledger(spark, d), ["2024-01-21", "2024-01-16"], 10)
-    ok = rows.groupBy("time_window", "wallet_address").agg(F.sum("usd_inflows").alias("i")).where("i >= 250").select("time_window", "wallet_address")
+    ok = rows.groupBy("time_window", "wallet_address").agg(expr.exact_sum("usd_inflows").alias("i")).where("i >= 250").select("time_window", "wallet_address")
     return rounded(rows.join(ok, ["time_window", "wallet_address"], "left_semi").groupBy("time_window", "coin_id").agg(F.sum(F.abs("usd_net_transfers")).alias("total_volume")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowledger.functions import expr
 from flowledger.operators import flatten, invest, jobs, models
 from flowledger.plans import views as v
 from flowledger.plans.oracle import Q, rounded
@@ -65,7 +66,7 @@ ac AS (SELECT time_window, coin_id, sum(abs(usd_net_transfers)) AS vo, sum(great
 
 def window_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     starts, led = ["2024-01-21", "2024-01-16", "2024-01-11"], v.ledger(spark, d)
-    cohort = flatten.in_windows(led, starts, 10).groupBy("time_window", "wallet_address").agg(F.sum("usd_inflows").alias("i")).where("i >= 250").select("time_window", "wallet_address")
+    cohort = flatten.in_windows(led, starts, 10).groupBy("time_window", "wallet_address").agg(expr.exact_sum("usd_inflows").alias("i")).where("i >= 250").select("time_window", "wallet_address")
     return jobs.window_datasets(led, v.market(spark, d), v.macro(spark, d), cohort, starts, 10, {"price": {"aggregations": ["mean", "last"]}}, {"total_value": {"aggregations": ["sum"]}})
 
 

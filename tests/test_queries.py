@@ -1,7 +1,10 @@
 """Every registered query against its SQL in DuckDB on the given tables; model jobs by their properties."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from flowledger.plans.registry import ORACLES, QUERIES
@@ -46,3 +49,17 @@ def test_without_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_limit_is_not_passed_by_rounding(spark, tmp_path):
+    """Inflows of exactly 60.00 are not above 60, though the doubles of many such pairs add up to more."""
+    rng = random.Random(1)
+    rows = []
+    for wallet in range(300):
+        cuts = sorted(rng.sample(range(1, 6000), 4))
+        rows += [(f"2024-01-0{i + 1} 08:00:00", wallet, "view", (b - a) / 100) for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, 6000], strict=True))]
+    rows += [(f"2024-01-{i + 1:02d} 09:00:00", 1000, "view", 50.0 + i) for i in range(30)]
+    events = spark.createDataFrame([(3 * i + 1, *r) for i, r in enumerate(rows)], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["x12_validation_returns"](spark, str(tmp_path)).collect()
+    assert got and {r["wallet_address"] for r in got} == {1000}
