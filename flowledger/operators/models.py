@@ -59,17 +59,18 @@ def select_features(df: DataFrame, columns: Sequence[str], variance: float, corr
 
 def cluster_distances(df: DataFrame, columns: Sequence[str], components: int, ks: Sequence[int], seed: int = 42, labels: bool = False) -> DataFrame:
     """Distances to the centres of k clusters, kN/distance_to_cluster_i, in a space of standardised principal components."""
-    filled = df.na.fill(0, list(columns))
+    filled = settled(df.na.fill(0, list(columns)))
     stages = [VectorAssembler(inputCols=list(columns), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True), PCA(k=components, inputCol="_z", outputCol="_p")]
-    space = Pipeline(stages=stages).fit(filled).transform(filled)
+    space = settled(Pipeline(stages=stages).fit(filled).transform(filled).drop("_v", "_z"))
+    points = space.select("_p")
     for k in ks:
-        centres = KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="_k").fit(space).clusterCenters()
+        centres = KMeans(k=k, seed=seed, featuresCol="_p", predictionCol="_k").fit(points).clusterCenters()
         x = vector_to_array("_p")
         dist = [F.sqrt(F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)) for c in centres]
         space = space.withColumns({f"k{k}/distance_to_cluster_{i}": d for i, d in enumerate(dist)})
         if labels:
             space = space.withColumn(f"k{k}/label", nearest_cluster(k))
-    return space.drop("_v", "_z", "_p")
+    return space.drop("_p")
 
 
 def nearest_cluster(k: int) -> Column:
@@ -79,7 +80,7 @@ def nearest_cluster(k: int) -> Column:
 
 def cluster_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], share: float = 0.8, sample: int = 10_000, seed: int = 42) -> DataFrame:
     """(k, components, inertia, silhouette, elbow): silhouette on a bounded sample; the elbow is farthest from the chord."""
-    filled = df.na.fill(0, list(columns))
+    filled = settled(df.na.fill(0, list(columns)))
     pre = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True), PCA(k=len(columns), inputCol="_z", outputCol="_p")]).fit(filled)
     run, comps = 0.0, len(columns)
     for i, v in enumerate(pre.stages[2].explainedVariance.toArray()):

@@ -32,6 +32,23 @@ def test_distances_are_those_to_the_means_of_the_clusters(spark):
         assert np.allclose([r[f"k3/distance_to_cluster_{k}"] for r in out], want, atol=1e-9)
 
 
+def test_input_is_computed_once(spark):
+    """However many fits and values of k there are, each row of the input is made once."""
+    df, rows = blobs(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    models.cluster_distances(df.coalesce(1).mapInPandas(count, df.schema), ["a", "b", "c"], 3, [2, 3, 4], labels=True).collect()
+    assert made.value == len(rows)
+    made.value = 0
+    models.cluster_sweep(df.coalesce(1).mapInPandas(count, df.schema), ["a", "b", "c"], [2, 3]).collect()
+    assert made.value == len(rows)
+
+
 def test_sweep_finds_the_elbow(spark):
     df, rows = blobs(spark)
     x = np.array([r[2:] for r in rows])
