@@ -1,7 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, links by the exact value.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash, then by MinHash bands, links by the
+exact value.
 
-SimHash can't serve for this: at a similarity of 0.8 fingerprints differ in about 10 of 64 bits, with a deviation of 3, and
-a covering for 16 bits has anchors that hold much of the table. Here a text has BANDS keys, each the hash of ROWS minimums;
+SimHash comes first: fingerprints of the same shingles within simhash.BITS bits meet at anchor points, and their texts are
+checked. It can't find all: at a similarity of 0.8 fingerprints differ in about 10 of 64 bits, with a deviation of 3, and
+a covering for 16 bits has anchors that hold much of the table. For the rest, those linked by SimHash counting as one, a text has BANDS keys, each the hash of ROWS minimums;
 two texts with the similarity s meet under some key with the probability 1 - (1 - s^5)^20: 0.9996 at 0.8, all but never
 below 0.2. Under a key all pairs are compared by a sketch of one byte for each minimum, and those that may be similar are
 reduced to a forest in the order of the sketches' agreement. Every pair of a forest is then checked on the two texts
@@ -74,8 +76,9 @@ def _signatures(words: int, parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame
         rows = []
         for x in texts:
             h = shingles(x, words)
-            rows.append((int(np.uint64(_digest(h.tobytes())).astype(np.int64)), *signature(h)))
-        yield pd.DataFrame(rows, columns=["fp", "sketch", "keys"])
+            code = int(np.uint64(simhash.fingerprint(x, words)).astype(np.int64))
+            rows.append((int(np.uint64(_digest(h.tobytes())).astype(np.int64)), *signature(h), code))
+        yield pd.DataFrame(rows, columns=["fp", "sketch", "keys", "code"])
 
 
 def forests(a: np.ndarray, b: np.ndarray, agree: np.ndarray, times: int) -> np.ndarray:
@@ -197,10 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Texts without words are alike. ``similarity`` below SIMILARITY loses pairs: AGREE and the bands are made for that.
     """
     lean(docs.sparkSession)
-    sign = F.pandas_udf(partial(_signatures, words), "fp long, sketch binary, keys array<long>", F.PandasUDFType.SCALAR_ITER)
+    sign = F.pandas_udf(partial(_signatures, words), "fp long, sketch binary, keys array<long>, code long", F.PandasUDFType.SCALAR_ITER)
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), sign(F.col(text)).alias("s"))
     signed = keep(rows.select(id_col, "text_hash", "s.*"), "signatures")
-    first = keep(signed.groupBy("fp").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "distinct")
+    first = keep(signed.groupBy("fp").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("code").alias("code")), "distinct")
     found = _links(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), first, words, similarity)
     return simhash.grouped(signed.select(id_col, "text_hash", "fp"), first.select("fp", "first"), found, id_col)
 
@@ -214,28 +217,40 @@ def _checked(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, si
     return keep(both.mapInPandas(partial(_similar, words, similarity), "u long, v long"), "alike")
 
 
+def _close(first: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of texts that SimHash takes for near-duplicates: each text with the least of its fingerprint, and
+    that with the least of the fingerprints that it is linked to."""
+    least = keep(first.groupBy("code").agg(F.min("fp").alias("least")), "codes")
+    own = first.join(least, "code").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    found = keep(simhash.links(least.select(F.col("code").alias("fp"))), "links")
+    other = found.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select("a", "b")
+    return own.unionAll(other).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
 def _links(docs: DataFrame, first: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) that join all similar texts. Between two texts of different groups no pair may be left that a key brings
-    together, that agrees enough, and that has not been checked. In a further round take part only the groups that a failed
-    pair touches: no other could be torn by it, as groups that no failed pair joins had no candidate between them."""
-    active = first.select("fp", "sketch", "keys", F.col("fp").alias("label"), F.array().cast("array<long>").alias("failed"))
-    linked = wrong = None
-    times = 1
+    """Links (u, v) that join all similar texts: what SimHash finds and the texts confirm, then what bands find. Between two
+    texts of different groups no pair may be left that a key brings together, that agrees enough, and that has not been
+    checked. In a further round take part only the groups that a pair of the bands that failed touches: no other could be
+    torn by it, as groups that no failed pair joins had no candidate between them."""
+    pairs = keep(_close(first), "close")
+    linked = _checked(docs, first, pairs, words, similarity)
+    wrong = keep(pairs.join(linked, ["u", "v"], "left_anti"), "failed")
+    torn, times = None, 1
     while True:
-        pairs = keep(candidates(active, times), "candidates")
-        if linked is not None and not pairs.limit(1).count():
+        roots = components(linked)
+        of = lambda t: t.join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select(*t.columns, F.coalesce("root", "fp").alias("label"))
+        active = keep(of(first.select("fp", "sketch", "keys")), "labels")
+        if torn is not None:
+            active = active.join(of(torn.select(F.explode(F.array("u", "v")).alias("fp")).distinct()).select("label").distinct(), "label", "left_semi")
+        failed = wrong.groupBy(F.col("u").alias("fp")).agg(F.collect_set("v").alias("failed"))
+        pairs = keep(candidates(keep(active.join(failed, "fp", "left"), "active"), times), "candidates")
+        if not pairs.limit(1).count():
             return linked
         alike = _checked(docs, first, pairs, words, similarity)
         bad = keep(pairs.join(alike, ["u", "v"], "left_anti"), "failed")
-        linked, wrong = (x if old is None else old.unionAll(x) for old, x in ((linked, alike), (wrong, bad)))
+        linked, wrong, torn = linked.unionAll(alike), wrong.unionAll(bad), bad if torn is None else torn.unionAll(bad)
         if not bad.limit(1).count():
             return linked
-        roots = components(linked)
-        of = lambda t: t.join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select(*t.columns, F.coalesce("root", "fp").alias("label"))
-        labelled = keep(of(first.select("fp", "sketch", "keys")), "labels")
-        torn = of(wrong.select(F.explode(F.array("u", "v")).alias("fp")).distinct()).select("label").distinct()
-        failed = wrong.groupBy(F.col("u").alias("fp")).agg(F.collect_set("v").alias("failed"))
-        active = keep(labelled.join(torn, "label", "left_semi").join(failed, "fp", "left"), "active")
         times *= 16
 
 

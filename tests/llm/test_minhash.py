@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowledger.llm import minhash
@@ -93,3 +94,23 @@ def test_forests_go_on():
     a, b, n = np.array([1, 2, 1, 4]), np.array([2, 3, 3, 5]), np.array([90, 70, 80, 100])
     assert sorted(minhash.forests(a, b, n, 1).tolist()) == [0, 2, 3]
     assert sorted(minhash.forests(a, b, n, 9).tolist()) == [0, 1, 2, 3]
+
+
+def test_simhash_comes_first(spark, monkeypatch):
+    """Near copies within four bits are linked by SimHash alone; fingerprints that agree without similar texts are not."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(20):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        texts += [" ".join(w), " ".join([*w[:-1], "end"])]
+    rows = list(enumerate(texts))
+    codes = [minhash.simhash.fingerprint(t, 5) for t in texts]
+    near = sum((codes[i] ^ codes[i + 1]).bit_count() <= 4 for i in range(0, 40, 2))
+    assert near > 10
+    real, left = minhash.candidates, []
+    monkeypatch.setattr(minhash, "candidates", lambda *a: left.append(real(*a)) or left[-1])
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(cases.documents(spark, texts)).collect()) == kept(rows)
+    assert left[0].count() == 20 - near  # the bands are left with what lies farther apart
+    both = lambda first: first.select(F.col("fp").alias("u")).join(first.select(F.col("fp").alias("v")), F.col("u") > F.col("v"))
+    monkeypatch.setattr(minhash, "_close", both)  # fingerprints that agree, though most texts don't
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(cases.documents(spark, texts[:8])).collect()) == [0, 2, 4, 6]
