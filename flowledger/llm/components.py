@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowledger.llm.scratch import keep
@@ -34,24 +36,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """(u, root) for every node of ``links`` (long columns u and v) but the roots; root is its component's smallest node.
 
-    Each round is two aggregations and two equi-joins over the links; every round's links are written out, so that a
-    lost executor costs no more than its own tasks. A node with many links, the hub of a star, has its minimum
-    pre-aggregated, and the join of that back to its links is salted. The rounds grow with the logarithm of the size.
+    Each round is a large-star and a small-star step over the links; every round's links are written out, so that a
+    lost executor costs no more than its own tasks. Where no node has more than the links of a hub, a step is a window
+    over each node's links: three exchanges a round. A node with more, the hub of a star, has its minimum pre-aggregated,
+    and the join of that back to its links is salted. The rounds end when every link leads to a node that leads nowhere,
+    and grow with the logarithm of the size.
     """
     tidy = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges, seen = keep(tidy, "links"), None
+    edges = keep(tidy, "links")
     while True:
-        mark = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first()
-        if mark == seen or mark[0] == 0:
+        ends = edges.select("u", F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        open_ = (F.col("up") > 0) & (F.col("n") > 1)
+        count, most, left = nodes.agg(F.sum("up"), F.max("n"), F.max(open_)).first()
+        if not left:
             return edges.select("u", F.col("v").alias("root"))
-        seen = mark
-        hub = max(HUB, mark[0] // HUBS)
+        hub = max(HUB, count // HUBS)
+        star = partial(_with_least, hub=hub) if most > hub else _with_least_of_few
         both = edges.union(edges.select("v", "u"))
-        large = _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
-        small = _with_least(large, hub).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
+        large = star(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
+        small = star(large.distinct() if most > hub else large).select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
         edges = keep(small.distinct(), "links")
 
 
+def _with_least_of_few(links: DataFrame) -> DataFrame:
+    """``links`` (u, v) with the least v of each u, none of which has many. In a small-star step a node has as many links
+    as before the round at most: one from each neighbour."""
+    return links.withColumn("low", F.min("v").over(Window.partitionBy("u")))
+
+
 def _with_least(links: DataFrame, hub: int) -> DataFrame:
     """``links`` (u, v) with the least v of each u; the links of a u that has more than ``hub`` are dealt over several keys."""
     of = links.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", "low", F.ceil(F.col("n") / hub).cast("int").alias("salts"))

@@ -88,3 +88,14 @@ def test_anchors_cover():
                 near, _, _ = simhash.anchors(fp[i : i + 1] ^ np.uint64(1 << (low + b)))
                 assert int(own[i][k]) in near
         assert len(at[i]) == (row == i).sum()
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars need no round; others, with hubs and without, end as soon as they are stars."""
+    real, wrote = components.keep, []
+    monkeypatch.setattr(components, "keep", lambda df, name: wrote.append(name) or real(df, name))
+    of = lambda pairs: {r["u"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert of([(k, 0) for k in range(1, 400)] + [(1001, 1000), (1000, 1001), (7, 7)]) == dict.fromkeys(range(1, 400), 0) | {1001: 1000}
+    assert len(wrote) == 1
+    assert of([(k, k - 1) for k in range(1, 20)] + [(30, 29), (31, 29)]) == dict.fromkeys(range(1, 20), 0) | {30: 29, 31: 29}
+    assert of([(k, 500) for k in range(2, 400)] + [(600, 500), (600, 1)]) == dict.fromkeys([*range(2, 400), 500, 600], 1)
