@@ -166,13 +166,13 @@ def _compare(times: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
             at = to
         stay = np.flatnonzero(home[first[-1] :]) + first[-1]
         held_key, held, held_sk = key[stay], fp[stay], sk[stay]
-    a, b, *_ = reduced()
+    a, b, _, x, y = reduced()
     if len(a):
-        yield pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
+        yield pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b), "lu": np.where(a > b, x, y), "lv": np.where(a > b, y, x)})
 
 
 def candidates(texts: DataFrame, times: int = 1) -> DataFrame:
-    """Pairs (u, v), u > v, of the distinct texts (long fp, binary sketch, array<long> keys, long label, array<long> failed)
+    """Pairs (u, v, lu, lv), u > v, with their labels, of the distinct texts (long fp, binary sketch, array<long> keys, long label, array<long> failed)
     that may be similar: of all pairs under one key that have different labels and haven't failed, ``times`` forests. A key
     with more than HOMES texts is split into chunks, and all its texts meet each."""
     rows = texts.select("fp", "sketch", "label", "failed", F.explode("keys").alias("anchor"))
@@ -183,14 +183,14 @@ def candidates(texts: DataFrame, times: int = 1) -> DataFrame:
     rows = rows.select("anchor", "fp", "sketch", "label", "failed", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     rows = rows.select("anchor", "chunk", "fp", "sketch", "label", "failed", (F.col("own") == F.col("chunk")).alias("home"))
     rows = rows.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk", F.desc("home"))
-    return rows.mapInPandas(partial(_compare, times), "u long, v long").distinct()
+    return rows.mapInPandas(partial(_compare, times), "u long, v long, lu long, lv long").distinct()
 
 
 def _similar(words: int, least: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = lru_cache(64)(partial(shingles, words=words))
     for pdf in batches:
         ok = [similarity(known(a), known(b)) >= least for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-        yield pdf.loc[ok, ["u", "v"]]
+        yield pdf.drop(columns=["a", "b"]).assign(ok=ok)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -204,17 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), sign(F.col(text)).alias("s"))
     signed = keep(rows.select(id_col, "text_hash", "s.*"), "signatures")
     first = keep(signed.groupBy("fp").agg(F.min(id_col).alias("first"), F.min("text_hash").alias("text_hash"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys"), F.min("code").alias("code")), "distinct")
-    found = _links(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), first, words, similarity)
-    return simhash.grouped(signed.select(id_col, "text_hash", "fp"), first.select("fp", "first"), found, id_col)
+    roots = _roots(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), first, words, similarity)
+    return simhash.grouped(signed.select(id_col, "text_hash", "fp"), first.select("fp", "first"), roots, id_col)
 
 
 def _checked(docs: DataFrame, first: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` that are similar."""
+    """The ``pairs``, and in ``ok`` whether they are similar."""
     some = keep(first.join(pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "fp", "left_semi").select("fp", "text_hash"), "some")
     some = F.broadcast(some) if some.count() <= FEW else some
     plain = keep(docs.join(some, "text_hash").dropDuplicates(["fp"]).select("fp", "t"), "texts")
-    both = pairs.join(plain.toDF("u", "a"), "u").join(plain.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return keep(both.mapInPandas(partial(_similar, words, similarity), "u long, v long"), "alike")
+    both = pairs.join(plain.toDF("u", "a"), "u").join(plain.toDF("v", "b"), "v").select(*pairs.columns, "a", "b")
+    return keep(both.mapInPandas(partial(_similar, words, similarity), "".join(f"{c} long, " for c in pairs.columns) + "ok boolean"), "checked")
 
 
 def _close(first: DataFrame) -> DataFrame:
@@ -227,30 +227,33 @@ def _close(first: DataFrame) -> DataFrame:
     return own.unionAll(other).where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
-def _links(docs: DataFrame, first: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) that join all similar texts: what SimHash finds and the texts confirm, then what bands find. Between two
-    texts of different groups no pair may be left that a key brings together, that agrees enough, and that has not been
-    checked. In a further round take part only the groups that a pair of the bands that failed touches: no other could be
-    torn by it, as groups that no failed pair joins had no candidate between them."""
-    pairs = keep(_close(first), "close")
-    linked = _checked(docs, first, pairs, words, similarity)
-    wrong = keep(pairs.join(linked, ["u", "v"], "left_anti"), "failed")
-    torn, times = None, 1
+def _roots(docs: DataFrame, first: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, root) for every text but the smallest of its group: what SimHash finds and the texts confirm, then what bands
+    find. Between two texts of different groups no pair may be left that a key brings together, that agrees enough, and
+    that has not been checked. In a further round take part only the groups that a failed pair of the last round touches:
+    a forest joins all groups that have candidates between them, so where two of them stay apart, a pair has failed
+    at each. The pairs that are similar join the groups themselves, so that a round looks at no other text again."""
+    seen = _checked(docs, first, keep(_close(first), "close"), words, similarity)
+    roots, wrong, times = components(seen.where("ok")), seen.where("not ok").select("u", "v"), 1
+    texts = first.select("fp", "sketch", "keys").join(roots.withColumnRenamed("u", "fp"), "fp", "left")
+    texts = texts.select("fp", "sketch", "keys", F.coalesce("root", "fp").alias("label"))
     while True:
-        roots = components(linked)
-        of = lambda t: t.join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left").select(*t.columns, F.coalesce("root", "fp").alias("label"))
-        active = keep(of(first.select("fp", "sketch", "keys")), "labels")
-        if torn is not None:
-            active = active.join(of(torn.select(F.explode(F.array("u", "v")).alias("fp")).distinct()).select("label").distinct(), "label", "left_semi")
         failed = wrong.groupBy(F.col("u").alias("fp")).agg(F.collect_set("v").alias("failed"))
-        pairs = keep(candidates(keep(active.join(failed, "fp", "left"), "active"), times), "candidates")
-        if not pairs.limit(1).count():
-            return linked
-        alike = _checked(docs, first, pairs, words, similarity)
-        bad = keep(pairs.join(alike, ["u", "v"], "left_anti"), "failed")
-        linked, wrong, torn = linked.unionAll(alike), wrong.unionAll(bad), bad if torn is None else torn.unionAll(bad)
-        if not bad.limit(1).count():
-            return linked
+        active = keep(texts.join(failed, "fp", "left"), "active")
+        pairs = keep(candidates(active, times), "candidates")
+        if pairs.isEmpty():
+            return roots
+        seen = _checked(docs, first, pairs, words, similarity)
+        merged = components(seen.where("ok").select(F.col("lu").alias("u"), F.col("lv").alias("v"))).toDF("label", "to")
+        now = F.coalesce("to", "label").alias("label")
+        roots = keep(roots.withColumnRenamed("root", "label").join(merged, "label", "left").select("u", now).unionAll(merged).toDF("u", "root"), "roots")
+        bad = seen.where("not ok")
+        if bad.isEmpty():
+            return roots
+        torn = keep(bad.select(F.explode(F.array("lu", "lv")).alias("label")).distinct().join(merged, "label", "left").select(now).distinct(), "torn")
+        old = merged.join(torn.toDF("to"), "to", "left_semi").select("label", "to").unionAll(torn.select("label", F.col("label").alias("to")))
+        texts = active.join(old, "label").select("fp", "sketch", "keys", F.col("to").alias("label"))
+        wrong = wrong.unionAll(bad.select("u", "v"))
         times *= 16
 
 

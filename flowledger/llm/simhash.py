@@ -196,14 +196,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     lean(docs.sparkSession)
     fps = keep(fingerprints(docs.select(F.col(id_col), F.col(text)), text).select(F.col(id_col), F.xxhash64(text).alias("text_hash"), "fp"), "fingerprints")
     first = keep(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    return grouped(fps, first, links(first.select("fp")), id_col)
+    return grouped(fps, first, components(links(first.select("fp"))), id_col)
 
 
-def grouped(fps: DataFrame, first: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+def grouped(fps: DataFrame, first: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     """(id, text_hash, fp, root, component_id) for each row of ``fps``, whose distinct fp are in ``first`` with their
-    smallest id, by the links ``found``."""
-    roots = components(found).withColumnRenamed("u", "fp")
-    named = keep(first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    smallest id; ``roots`` (u, root) has the root of each fp that isn't its component's smallest."""
+    named = keep(first.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return fps.join(named.join(least, "root").select("fp", "root", "component_id"), "fp").select(id_col, "text_hash", "fp", "root", "component_id")
 

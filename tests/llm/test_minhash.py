@@ -114,3 +114,22 @@ def test_simhash_comes_first(spark, monkeypatch):
     both = lambda first: first.select(F.col("fp").alias("u")).join(first.select(F.col("fp").alias("v")), F.col("u") > F.col("v"))
     monkeypatch.setattr(minhash, "_close", both)  # fingerprints that agree, though most texts don't
     assert sorted(r["doc_id"] for r in minhash.one_of_each(cases.documents(spark, texts[:8])).collect()) == [0, 2, 4, 6]
+
+
+def test_rounds_leave_settled_texts_alone(spark, monkeypatch):
+    """Pairs fail in a few groups among many other texts: only the first round looks at all of them."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(150)]
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(12):
+            w = list(base)
+            for at in rng.sample(range(400), rng.randint(6, 11)):
+                w[at] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    real, wrote = minhash.keep, []
+    monkeypatch.setattr(minhash, "keep", lambda df, name: wrote.append((name, real(df, name))) or wrote[-1][1])
+    got = minhash.one_of_each(cases.documents(spark, texts))
+    assert sorted(r["doc_id"] for r in got.collect()) == kept(list(enumerate(texts)))
+    looked = [df.count() for name, df in wrote if name in ("labels", "active")]
+    assert len(looked) > 1 and looked[0] == len(texts) and max(looked[1:]) <= 48
