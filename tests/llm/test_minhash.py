@@ -133,3 +133,34 @@ def test_rounds_leave_settled_texts_alone(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == kept(list(enumerate(texts)))
     looked = [df.count() for name, df in wrote if name in ("labels", "active")]
     assert len(looked) > 1 and looked[0] == len(texts) and max(looked[1:]) <= 48
+
+
+def test_similarities():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 60, 60, 90)]
+    for a in sets:
+        assert minhash.similarities(a, sets).tolist() == [minhash.similarity(a, b) for b in sets]
+
+
+def test_failed_pairs_of_a_large_group_make_no_rows(spark, monkeypatch):
+    """Of a group in which nearly every pair is a candidate and fails, no more pairs are written than a forest a task has."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for i in range(72):
+        near = i and i % 6 == 0  # every sixth is close to the one before
+        w = texts[-1].split() if near else list(base)
+        for at in rng.sample(range(400), 2 if near else 7):
+            w[at] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    want = kept(list(enumerate(texts)))
+    assert len(want) == 60
+    real, wrote = minhash.keep, []
+    monkeypatch.setattr(minhash, "keep", lambda df, name: wrote.append((name, real(df, name))) or wrote[-1][1])
+    for homes, held in ((8192, 32 << 20), (8192, 10_000), (7, 32 << 20)):
+        monkeypatch.setattr(minhash, "HOMES", homes)
+        monkeypatch.setattr(minhash, "HELD", held, raising=False)
+        wrote.clear()
+        got = minhash.one_of_each(cases.documents(spark, texts))
+        assert sorted(r["doc_id"] for r in got.collect()) == want
+        assert sum(df.count() for name, df in wrote if name == "checked") <= len(texts) * 9  # 8 tasks, and SimHash's own
